@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from quire.llm.line_dedup import OP9_SQL, op9_line_dedup
 from quire.llm.mixing import OP10_SQL, op10_mix_sources
+from quire.llm.packing import op4_packing
 from quire.llm.quality import OP2_SQL, op2_quality_rules
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op9_line_dedup, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_packing, op9_line_dedup, op10_mix_sources)}
 ORACLE_SQL = {
     "op2_quality_rules": OP2_SQL,
     "op9_line_dedup": OP9_SQL,
