@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from quire.llm._common import materialize, read, words_in
 
 WEIGHTS = (1.0, 2.0, 3.0)
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 2_000
 KEY_BITS = 60
 
 
