@@ -21,7 +21,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import struct
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
@@ -39,7 +39,7 @@ from quire.llm._common import materialize, read
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 STEP_TOKENS = 2048 * 256
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_200_000
 HELD_TOKENS = 4_000_000
 
 PIECES = pa.schema([
@@ -49,41 +49,57 @@ PIECES = pa.schema([
 PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, tier long, window long, offset long"
 
 
-class WordEncoder:
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class WordEncoder(dict):
     """Ids of texts by a tokenizer that never joins words across a blank or line end.
 
-    Texts are cut there and each distinct word is encoded once.  The cache is
+    Texts are cut there, and each distinct word is encoded once: the dictionary
+    has words with their ids as little-endian unsigned 32-bit numbers.  It is
     emptied when it has ``CACHED_WORDS`` words.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, list[int]] = {"": []}
+        self.letters = byte_letters()
         self.marks = {m: self._whole(m) for m in ".,"}
 
-    def _whole(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def _word(self, word: str) -> list[int]:
-        stem, mark = (word[:-1], self.marks[word[-1]]) if word[-1] in self.marks else (word, [])
-        if stem.isascii() and stem.isalpha():  # one pre-token, and its bytes are its characters
-            ids = [x.id for x in self.model.tokenize(stem.lower())] + mark
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _stem(self, low: str) -> bytes:
+        """Ids of one pre-token of lower-case letters."""
+        shown = low if low.isascii() else "".join(map(self.letters.__getitem__, low.encode()))
+        return struct.pack(f"<{len(ids)}I", *ids) if (ids := [x.id for x in self.model.tokenize(shown)]) else b""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+            self[""] = b""
+        stem, mark = (word[:-1], self.marks[word[-1]]) if word[-1] in self.marks else (word, b"")
+        # Letters below U+0250 are composed, and all but one have one lower-case letter each.
+        if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
+            low = stem.lower()
+            ids = self.get(low)
+            if ids is None:
+                ids = self[low] = self._stem(low)
+            ids += mark
         else:
             ids = self._whole(word)
-        if len(self.known) >= CACHED_WORDS:
-            self.known = {"": []}
-        self.known[word] = ids
+        self[word] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for word in re.split("[ \n]+", text):
-            ids = self.known.get(word)
-            out += self._word(word) if ids is None else ids
-        return out
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -193,11 +209,10 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokeniz
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = encoder(path), Packer(TaskContext.get().partitionId(), tiers)
+        end = struct.pack("<I", end_id)
         for batch in batches:
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.encode(body.as_py() or "")
-                ids.append(end_id)
-                packer.add(doc, np.array(ids, "<u4"))
+                packer.add(doc, np.frombuffer(words.encode(body.as_py() or "") + end, "<u4"))
                 if len(packer.rows) >= 20_000:
                     yield packer.flush()
         packer.pack()

@@ -82,6 +82,6 @@ def test_windows_are_full():
     assert sum(v != k[0] for k, v in sizes.items()) <= 1
 
 
-@pytest.mark.parametrize("text", ["The,the. THE", "x" * 3000, "naïve café.", "a.b,c", ".", ",,", "don't 's it's,"])
+@pytest.mark.parametrize("text", ["The,the. THE", "x" * 3000, "naïve café.", "a.b,c", ".", ",,", "don't 's it's,", "Öffnung. ŒUVRE ß, ǅungla İx ſtern ﬁn. Ŀl ŉ", "中文, ру́сский Σίσυφος ΣΑΣ."])
 def test_encoder_equals_tokenizer(text):
-    assert WordEncoder(PATH).encode(text) == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(WordEncoder(PATH).encode(text), "<u4").tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
