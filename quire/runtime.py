@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -27,3 +32,58 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(archive))
     _SHIPPED.add(app)
+
+
+def vectorised(kind: str) -> Callable[[Callable], Callable[..., Column]]:
+    """A pandas UDF that is made when it is called, as its type needs a session."""
+
+    def wrap(f: Callable) -> Callable[..., Column]:
+        @functools.wraps(f)
+        def call(*cols: Column | str) -> Column:
+            return F.pandas_udf(f, kind)(*cols)
+
+        return call
+
+    return wrap
+
+
+_ROOTS: dict[str, str] = {}
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A folder of this application below the cluster's ``spark.checkpoint.dir``.
+
+    Where the setting is absent (tests, one machine) a temporary folder is made
+    and registered as the checkpoint folder.
+    """
+    ship(spark)
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(base)
+        _ROOTS[app] = f"{base.rstrip('/')}/quire-{app}"
+        atexit.register(_remove, spark, _ROOTS[app])
+    return _ROOTS[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete the work folder when the driver ends, if the JVM still answers."""
+    try:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the JVM has gone: nothing left to clean with
+        pass
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet to the shared folder and read it back.
+
+    Cuts the lineage: later stages reread files that every executor can see,
+    so a lost executor costs its own tasks only.
+    """
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
