@@ -2,69 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.runtime import ship
+from quire.runtime import materialize, ship, work_dir
+
+__all__ = ["ASCII_SPACE", "UPPER", "WORD", "fixed_partitions", "materialize", "read", "slices", "words_in"]
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_ROOTS: dict[str, str] = {}
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A folder of this application below the cluster's ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests, one machine) a temporary folder is made
-    and registered as the checkpoint folder.
-    """
-    ship(spark)
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(base)
-        _ROOTS[app] = f"{base.rstrip('/')}/quire-{app}"
-        atexit.register(_remove, spark, _ROOTS[app])
-    return _ROOTS[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    """Delete the work folder when the driver ends, if the JVM still answers."""
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM has gone: nothing left to clean with
-        pass
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as Parquet to the shared folder and read it back.
-
-    Cuts the lineage: later stages reread files that every executor can see,
-    so a lost executor costs its own tasks only.
-    """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fixed_partitions(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: keeps rows, their order and the partitions they are in."""
     work_dir(df.sparkSession)
