@@ -25,7 +25,8 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column, Column
     d = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / d
     half = (F.lit(z) / d) * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
-    return p, F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    # greatest and least skip nulls, so the bounds need the test of their own
+    return p, F.when(n.isNotNull(), F.greatest(F.lit(0.0), centre - half)), F.when(n.isNotNull(), F.least(F.lit(1.0), centre + half))
 
 
 def magnitude(delta: Column) -> Column:
