@@ -91,10 +91,10 @@ def _shares(counted: Column, total: Column) -> Column:
 
 
 def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two histograms, base 2."""
+    """Jensen-Shannon distance of two histograms, base 2; null if one is missing."""
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
     terms = F.zip_with(p, q, lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
+    return F.when(p.isNotNull() & q.isNotNull(), F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
 
 
 def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_divergence: float = MAX_DIVERGENCE, noise: float = NOISE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE) -> DataFrame:
