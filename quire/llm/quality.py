@@ -33,7 +33,8 @@ COMMON_WORDS = tuple(dict.fromkeys((
     "der die und den von zu das mit nicht ist ein eine im für auf "
     "el los las y por con una para es se"
 ).split()))
-SYMBOLS = "#*$%&|<>"
+#: Bytes of a word that can be one of them, with the marks after it.
+LONGEST_COMMON = 7
 SPACE = r"[\x20\x09-\x0D]+"
 #: Classes that are counted in what is left of a text without a-z and white space.
 CLASSES = {
@@ -55,7 +56,8 @@ def counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     """doc_id, lang, base counts (long), class_counts and word_counts (arrays)."""
     t = F.coalesce(F.col(text), F.lit(""))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), t.alias("t"))
-    d = d.withColumn("words", F.filter(F.split(F.btrim("t", F.lit(ASCII_SPACE)), SPACE), lambda w: w != ""))
+    trimmed = F.btrim("t", F.lit(ASCII_SPACE))
+    d = d.withColumn("words", F.when(trimmed == "", F.expr("CAST(array() AS ARRAY<STRING>)")).otherwise(F.split(trimmed, SPACE)))
     d = d.withColumn("n", F.size("words")).withColumn("rest", F.regexp_replace("t", r"[a-z\x20\x09-\x0D]+", ""))
     d = d.withColumn("word_chars", F.char_length(F.array_join("words", "")).cast("long"))
     # Windows of three words, sorted with their places: equal ones become neighbours.
@@ -64,14 +66,16 @@ def counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     windows = F.sort_array(zipped.cast("array<struct<a:string,b:string,c:string,i:int>>"))
     d = d.withColumn("windows", F.when(m > 0, windows))
     same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
-    twice = F.filter("windows", lambda x, j: F.coalesce(same(x, F.get("windows", j + 1)), F.lit(False)) | F.coalesce(same(x, F.get("windows", j - 1)), F.lit(False)))
-    d = d.withColumn("at", F.transform(twice, lambda x: x["i"]))
+    after = F.slice("windows", F.lit(2), F.greatest(m - 1, F.lit(0)))
+    pairs = F.zip_with(F.slice("windows", F.lit(1), F.greatest(m - 1, F.lit(0))), after, lambda x, y: F.when(same(x, y), F.struct(x["i"].alias("x"), y["i"].alias("y"))))
+    d = d.withColumn("twice", F.filter(pairs, lambda p: p.isNotNull()))
+    d = d.withColumn("at", F.array_union(F.transform("twice", lambda p: p["x"]), F.transform("twice", lambda p: p["y"])))
     repeated = F.array_union(F.array_union("at", F.transform("at", lambda i: i + 1)), F.transform("at", lambda i: i + 2))
     lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(ASCII_SPACE)) != "")
     d = d.withColumn("lines", lines)
     plain = lambda w: F.lower(F.rtrim(w, F.lit(".,;:")))
-    found = F.transform(F.filter("words", lambda w: plain(w).isin(*COMMON_WORDS)), plain)
-    d = d.withColumn("found", F.concat(F.lit(" "), F.array_join(found, "  "), F.lit(" ")))
+    found = F.transform(F.filter("words", lambda w: (F.octet_length(w) <= LONGEST_COMMON) & plain(w).isin(*COMMON_WORDS)), plain)
+    d = d.withColumn("found", found)
     others = [_left_after(F.col("rest"), p) for p in CLASSES.values()]
     return d.select(
         "doc_id", "lang", F.col("n").cast("long").alias("n_words"), "word_chars",
@@ -80,7 +84,7 @@ def counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
         F.when(m > 0, F.size(repeated)).otherwise(0).cast("long").alias("n_repeat_words"),
         F.char_length("t").cast("long").alias("n_chars"),
         F.array((F.char_length("t") - F.char_length("rest") - (F.char_length("t") - F.col("word_chars").cast("int"))), F.char_length("t") - F.col("word_chars").cast("int"), *others).alias("class_counts"),
-        F.array(*[((F.char_length("found") - F.char_length(F.replace("found", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int") for w in COMMON_WORDS]).alias("word_counts"),
+        F.array(*[F.size("found") - F.size(F.array_remove("found", w)) for w in COMMON_WORDS]).alias("word_counts"),
     )
 
 
@@ -138,7 +142,7 @@ counted AS (
          (SELECT len(x) - len(list_distinct(x)) FROM (SELECT list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS x))::BIGINT AS n_dup_lines,
          coalesce(r.n, 0)::BIGINT AS n_repeat_words, length(t)::BIGINT AS n_chars,
          [length(array_to_string(words, '')) - length(rest), length(t) - length(array_to_string(words, '')), {_CLASS_SQL}] AS class_counts,
-         list_filter(list_transform(words, lambda w: lower(rtrim(w, '.,;:'))), lambda w: w IN ({_WORDS_SQL})) AS found
+         list_filter(list_transform(list_filter(words, lambda w: strlen(w) <= {LONGEST_COMMON}), lambda w: lower(rtrim(w, '.,;:'))), lambda w: w IN ({_WORDS_SQL})) AS found
   FROM split s LEFT JOIN repeated r ON s.doc_id = r.doc_id),
 shares AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
