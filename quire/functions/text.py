@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -227,8 +228,12 @@ def first_word(col: Column) -> Column:
 
 
 def any_pattern(col: Column, patterns: list[str]) -> Column:
-    """Whether any of the patterns is found, whatever the case; word ends are those of Unicode."""
-    return col.rlike("(?iU)" + "|".join(f"(?:{p})" for p in patterns))
+    """Whether any of the (lower-case) patterns is found, whatever the case.
+
+    Words are those of Unicode.  The text is lower-cased first, since matching
+    without case is slower.
+    """
+    return F.lower(col).rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
 
 
 def chars_without_space(*cols: Column) -> Column:
@@ -332,6 +337,32 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * lcs / (len(a) + len(b))
 
 
+def _letters(strings: list[str]) -> np.ndarray:
+    """Counts of characters, folded to 64 classes, one row a string."""
+    out = np.zeros((len(strings), 64), np.int16)
+    for i, s in enumerate(strings):
+        points = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")
+        np.add.at(out[i], points % 64, 1)
+    return out
+
+
+@vectorised("double")
+def similarity_above(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """The ratio of pairs that may reach ``least``, null for pairs that can't.
+
+    A common subsequence has no more of a character than either string, so
+    counts of characters bound the ratio from above.
+    """
+    x, left = pd.factorize(a)
+    y, right = pd.factorize(b)
+    if (x < 0).any() or (y < 0).any():
+        return pd.Series([None if s is None or t is None else indel_ratio(s, t) for s, t in zip(a, b, strict=True)], dtype="float64")
+    shared = np.minimum(_letters(list(left))[x], _letters(list(right))[y]).sum(axis=1, dtype=np.int64)
+    total = a.str.len().to_numpy() + b.str.len().to_numpy()
+    possible = (total == 0) | (200.0 * shared >= least.to_numpy() * total - 1e-9)
+    return pd.Series([indel_ratio(s, t) if p else None for s, t, p in zip(a, b, possible, strict=True)], dtype="float64")
+
+
 @vectorised("double")
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.text import author_surnames, last_first, normalize_title, normalize_title_casefold, similarity, speaker_surname
+from quire.functions.text import author_surnames, last_first, normalize_title, normalize_title_casefold, similarity, similarity_above, speaker_surname
 from quire.runtime import ship
 
 ACCEPT, MARGIN, CONSIDER, RANKED = 92.0, 3.0, 82.0, 3
@@ -83,7 +83,9 @@ def match_talks(talks: DataFrame, papers: DataFrame, overrides: DataFrame, *, bl
     of those at 82 or more, in order, the first paper with an author of the
     speaker's surname.  Only talks that no earlier stage settles reach the
     similarity function, and only with titles of their own block.  A paper that
-    several talks reach keeps the last one; the others keep their match.
+    several talks reach keeps the last one; the others keep their match.  The
+    best title is given where it is at 82 or more; ``best_guesses`` has it for the
+    talks that stay unmatched.
     """
     ship(talks.sparkSession)
     p = papers.select(F.col(block).alias("_b"), "paper_id", normalize_title(F.col("title")).alias("norm"), "authors")
@@ -95,7 +97,11 @@ def match_talks(talks: DataFrame, papers: DataFrame, overrides: DataFrame, *, bl
     t = t.join(e, (F.col(block) == F.col("_b")) & (F.col("norm") == F.col("_norm")), "left").drop("_b", "_norm")
     settled = F.col("is_skip").isNotNull() | F.col("_exact").isNotNull()
     open_ = t.where(~settled).select(F.col(block).alias("_b"), "ord", "norm", "speaker")
-    scored = open_.join(titles.withColumnRenamed("norm", "title"), "_b").withColumn("score", similarity("norm", "title"))
+    # Titles below CONSIDER settle nothing; whether a pair may reach it is a bound that is cheap to have.
+    long = F.greatest(F.char_length("norm"), F.char_length("title"))
+    both = F.char_length("norm") + F.char_length("title")
+    pairs = open_.join(titles.withColumnRenamed("norm", "title"), "_b").where(200 * (both - long) >= CONSIDER * both)
+    scored = pairs.withColumn("score", similarity_above("norm", "title", F.lit(CONSIDER))).where(F.col("score") >= CONSIDER)
     by_talk = Window.partitionBy("_b", "ord").orderBy(F.desc("score"), "title")
     ranked = scored.withColumn("rank", F.row_number().over(by_talk)).where(F.col("rank") <= RANKED)
     best = ranked.groupBy("_b", "ord").agg(
@@ -123,8 +129,13 @@ def talk_of_paper(matched: DataFrame, block: str = "year") -> DataFrame:
     return held.groupBy(block, "paper_id").agg(F.max_by(F.struct(*[c for c in held.columns if c not in (block, "paper_id")]), "ord").alias("t")).select(block, "paper_id", "t.*")
 
 
-def unmatched(matched: DataFrame) -> DataFrame:
-    return matched.where(F.col("match") == "unmatched").select("year", "title_raw", "best_title", "best_score")
+def best_guesses(matched: DataFrame, papers: DataFrame, block: str = "year") -> DataFrame:
+    """block, title_raw, best_title, best_score of the unmatched talks, however far the best title is."""
+    titles = papers.select(F.col(block), normalize_title(F.col("title")).alias("title")).distinct()
+    left = matched.where(F.col("match") == "unmatched").select(block, "ord", "title_raw").withColumn("norm", normalize_title(F.col("title_raw")))
+    scored = left.join(titles, block, "left").withColumn("score", similarity("norm", "title"))
+    best = F.max(F.struct("score", "title"))
+    return scored.groupBy(block, "ord", "title_raw").agg(best.alias("b")).select(block, "title_raw", F.col("b.title").alias("best_title"), F.col("b.score").alias("best_score"))
 
 
 def contained_in(needles: DataFrame, hay: DataFrame, *, needle_id: str, needle: str, hay_id: str, text: str, words: int = 5) -> DataFrame:

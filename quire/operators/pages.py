@@ -45,7 +45,7 @@ def route(label: Column, score_field: Column, new_era: Column) -> Column:
         .when(post & any_of("justify your final", "justify your decision"), "text_post_rebuttal_justification")
         .when(any_of("justify your recommendation"), "text_detailed_comments")
         .when(any_of("reviewer confidence"), "confidence")
-        .when(~new_era & any_of("rank of this paper", "stack rank", "ranking of this paper"), "review_stack_rank")
+        .when(~new_era & any_of("ranking of this paper in your review stack"), "review_stack_rank")
         .when(~new_era & any_of("number of papers in your stack"), "review_stack_size")
     )
 

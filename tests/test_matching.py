@@ -30,7 +30,9 @@ def test_cascade(spark):
     assert got == {0: ("a", "exact"), 1: ("a", "fuzzy"), 2: ("c", "speaker"), 3: ("e", "speaker"), 4: ("f", "override"), 5: (None, "skipped"), 6: (None, "unmatched"), 7: (None, "unmatched"), 8: ("g", "exact")}
     last = {r.paper_id: r.ord for r in matching.talk_of_paper(m).collect()}
     assert last["a"] == 1
-    assert sorted(r.title_raw for r in matching.unmatched(m).collect()) == ["Nothing like it at all", "Unpaired translation of images by contrastx"]
+    guesses = {r.title_raw: r for r in matching.best_guesses(m, papers).collect()}
+    assert sorted(guesses) == ["Nothing like it at all", "Unpaired translation of images by contrastx"]
+    assert guesses["Nothing like it at all"].best_score < 82 < guesses["Unpaired translation of images by contrastx"].best_score
     s = {r.year: r for r in metrics.match_summary(m.withColumn("type", m["match"])).collect()}
     assert (s[1].extracted, s[1].matched, s[1].skipped, s[1].unmatched) == (8, 5, 1, 2)
     assert s[1].match_rate_pct == pytest.approx(500 / 7) and s[1].methods == {"exact": 1, "fuzzy": 1, "override": 1, "speaker": 2}
