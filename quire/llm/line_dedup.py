@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import ASCII_SPACE, UPPER, read
+from quire.llm._common import ASCII_SPACE, UPPER, materialize, read
 
 LAST_ID = 2**63 - 1
 
@@ -40,19 +40,22 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         repeated = hashed.groupBy("h1", "h2").agg(F.min("d").alias("first_d"), F.max("d").alias("last_d")).where("first_d < last_d")
     else:
         repeated = hashed.groupBy("h1", "h2").agg(F.min("d").alias("first_d"), F.countDistinct("d").alias("n")).where(F.col("n") >= min_docs)
-    repeated = repeated.select("h1", "h2", "first_d")
-    drops = hashed.join(repeated, ["h1", "h2"]).where("d > first_d").groupBy("d").agg(F.collect_set("pos").alias("_drop"))
-    out = docs.drop("n_lines", "n_dropped")
-    out = out.withColumn("_d", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))).join(drops.withColumnRenamed("d", "_d"), "_d", "left")
-    out = out.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-    n = F.size("_lines")
+    # Written first: joined as it stands, its aggregate would keep Spark from splitting a hot hash.
+    repeated = materialize(repeated.select("h1", "h2", "first_d"))
+    drops = hashed.join(repeated, ["h1", "h2"]).where("d > first_d").groupBy("d").agg(F.collect_set("pos").alias("drop"))
+    # The input's columns travel as one struct, so that no name of theirs clashes with one used here.
+    d = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    d = d.join(drops, "d", "left").withColumn("lines", F.split("t", "\n"))
+    places = F.sequence(F.lit(0), F.size("lines") - 1)
     # Positions of other rows with the same id may lie beyond this row's lines.
-    dropped = F.array_intersect(F.coalesce("_drop", F.expr("CAST(array() AS ARRAY<INT>)")), F.sequence(F.lit(0), n - 1))
-    out = out.withColumn("n_lines", n.cast("long")).withColumn("_gone", F.when(F.col("_drop").isNotNull(), dropped))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), n - 1), "_gone"), lambda i: F.get("_lines", i)), "\n")
-    out = out.withColumn(text, F.when(F.col("_gone").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(kept))
-    out = out.withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("long")))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    d = d.withColumn("gone", F.when(F.col("drop").isNotNull(), F.array_intersect("drop", places)))
+    kept = F.array_join(F.transform(F.array_except(places, "gone"), lambda i: F.get("lines", i)), "\n")
+    d = d.withColumn("kept", F.when(F.col("gone").isNull(), F.col("t")).otherwise(kept))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return d.select(
+        *[F.col("kept").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names],
+        F.size("lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
+    )
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

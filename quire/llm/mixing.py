@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 from quire.llm._common import materialize, read, words_in
 
 WEIGHTS = (1.0, 2.0, 3.0)
-ROWS_PER_RANGE = 2_000
+ROWS_PER_RANGE = 500
 KEY_BITS = 60
 
 
@@ -95,16 +95,21 @@ def apply_mix(docs: DataFrame, taken: DataFrame) -> DataFrame:
     Documents that the mix doesn't take go.  ``n_chars`` follows the text.
     Ids identify documents here; a null id matches nothing and its row goes.
     """
-    t = taken.where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    d = docs.join(t, "doc_id")
-    full = F.expr("CAST(_taken DIV _size AS INT)")
-    part = F.col("_taken") % F.col("_size")
-    d = d.withColumn("_keep", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), full), F.when(part > 0, F.array(part)).otherwise(F.expr("CAST(array() AS ARRAY<BIGINT>)")))))
-    cut = F.array_join(F.expr(r"slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), 1, CAST(_keep AS INT))"), " ")
-    d = d.withColumn("text", F.when(F.col("_keep") < 0, F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+    t = taken.where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
+    d = docs.select(F.struct("*").alias("row"), "doc_id", "text").join(t, "doc_id")
+    part = F.col("taken") % F.col("size")
+    whole = F.array_repeat(F.lit(-1).cast("long"), F.expr("CAST(taken DIV size AS INT)"))
+    keep = F.when(part > 0, F.concat(whole, F.array(part))).otherwise(whole)
+    d = d.select("row", "text", F.explode(keep).alias("keep"))
+    cut = F.array_join(F.expr(r"slice(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0), 1, CAST(keep AS INT))"), " ")
+    d = d.withColumn("new", F.when(F.col("keep") < 0, F.col("text")).otherwise(cut))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("new")
+        return F.char_length("new").cast(docs.schema[c].dataType) if c == "n_chars" else F.col("row").getField(c)
+
+    return d.select(*[column(c).alias(c) for c in docs.columns])
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,9 +291,9 @@ def _large(docs: DataFrame, placed: DataFrame, colliding: DataFrame, args: dict)
 
 def keep_one(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The documents that stand for their class; rows with a null id all stay."""
-    stay = found.where("doc_id = class_id").select(F.col("doc_id").alias("_stay")).distinct()
+    stay = found.where("doc_id = class_id").select(F.col("doc_id").alias(doc_id)).distinct()
     named = docs.where(F.col(doc_id).isNotNull())
-    kept = named.join(stay, F.col(doc_id) == F.col("_stay"), "left_semi").dropDuplicates([doc_id])
+    kept = named.join(stay, doc_id, "left_semi").dropDuplicates([doc_id]).select(*docs.columns)
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))
 
 

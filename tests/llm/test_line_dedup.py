@@ -40,7 +40,7 @@ def test_brute_force(spark, sf):
 
 def test_edge_rows(spark):
     docs = [(5, "A line of TEXT\r\nshort\nÄ line that is long"), (2, "  a line of text\t\nshort"), (9, None), (8, ""), (7, "\n\n"), (3, "ä line that is long\na line of text" + "\nx" * 20_000), (2, "  a line of text\t\nshort")]
-    df = spark.createDataFrame([(d, t, 0, "p") for d, t in docs], "doc_id long, text string, n_lines int, pos string")
+    df = spark.createDataFrame([(d, t, 0, "p", 1, "l") for d, t in docs], "doc_id long, text string, n_lines int, pos string, d int, lines string")
     got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in dedup_lines(df).collect())
     assert got == brute(docs)
     assert dedup_lines(df.limit(0)).collect() == []

@@ -60,11 +60,11 @@ def test_caps_and_edge_rows(spark):
 
 
 def test_mixed_documents(spark):
-    df = spark.createDataFrame([(i, f"w{i} " * 10, "a" if i < 5 else "b", 1) for i in range(50)], "doc_id long, text string, source string, n_chars long")
+    df = spark.createDataFrame([(i, f"w{i} " * 10, "a" if i < 5 else "b", 1, 2, "k") for i in range(50)], "doc_id long, text string, source string, n_chars long, size int, keep string")
     m = mix(df)
     out = apply_mix(df, m)
     words = out.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), r"\s+"))).alias("n")).collect()
     taken = {r.source: r.n for r in m.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
     assert {r.source: r.n for r in words} == taken
-    assert out.columns == df.columns
+    assert out.columns == df.columns and {(r.size, r.keep) for r in out.collect()} == {(2, "k")}
     assert all(r.n_chars == len(r.text) for r in out.collect())
