@@ -194,3 +194,19 @@ def export_name(query: BrowseQuery, extension: str, stem: str = "papers") -> str
     slug = lambda s: re.sub("[^A-Za-z0-9]+", "-", s)
     bits = [stem, str(query.year) if query.year else "", query.type or "", slug(query.area or "").strip("-").lower()[:40], "with-code" if query.code else "", "early" if query.early else "", slug(query.q)[:20]]
     return "-".join(b for b in bits if b) + "." + extension
+
+
+def json_document(index: DataFrame, query: BrowseQuery, scales: DataFrame, built: str, exported: str, link: str = "") -> DataFrame:
+    """One row: the query's records with the filters, order and counts that made them."""
+    query = query.checked()
+    shown = {"search": query.q, "year": query.year, "presentation_type": query.type, "subject_area": query.area, "has_code": query.code, "early_accepted": query.early}
+    filters = [F.lit(v).alias(k) for k, v in shown.items() if v]
+    held = index.where(query.predicate())
+    records = json_records(held, scales)
+    place = F.row_number().over(Window.orderBy(*query.order())).alias("_o")
+    keyed = records.join(held.select(F.col("id").alias("paper_id"), place), "paper_id")
+    papers = keyed.agg(F.count(F.lit(1)).alias("count"), F.transform(F.sort_array(F.collect_list(F.struct("_o", F.struct(*records.columns).alias("r")))), lambda x: x["r"]).alias("papers"))
+    total = index.agg(F.count(F.lit(1)).alias("total_papers"))
+    by_year = scales.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("year").cast("string").alias("k"), "scale")))).alias("review_scale_max_by_year"))
+    head = [F.lit(link).alias("link"), F.lit(exported).alias("exported"), F.lit(built).alias("index_built"), (F.struct(*filters) if filters else F.expr("map()")).alias("filters"), F.lit(query.sort).alias("sort")]
+    return papers.crossJoin(total).crossJoin(by_year).select(F.to_json(F.struct(*head, "count", "total_papers", "review_scale_max_by_year", "papers")).alias("value"))

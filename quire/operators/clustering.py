@@ -161,3 +161,10 @@ def unnamed_clusters(assignments: DataFrame, labels: DataFrame) -> DataFrame:
 def ring_distance(n: int) -> float:
     """Spacing of nodes in a layout of n."""
     return 2.5 / math.sqrt(max(n, 1))
+
+
+def attach_map(papers: DataFrame, coords: DataFrame, labels: DataFrame | None = None, digits: int = 3) -> DataFrame:
+    """papers with umap_x, umap_y (rounded), cluster_id and cluster_label of (paper_id, x, y, cluster_id)."""
+    c = coords.select("paper_id", F.round("x", digits).alias("umap_x"), F.round("y", digits).alias("umap_y"), "cluster_id")
+    out = papers.drop("umap_x", "umap_y", "cluster_id", "cluster_label").join(c, "paper_id", "left")
+    return out if labels is None else attach_labels(out, labels)

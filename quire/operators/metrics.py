@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.stats import wilson
+from quire.functions.stats import cliffs_delta, wilson
 from quire.functions.text import accepts, any_pattern, canonical_subject, chars_without_space, first_word, short_subject, verdict, verdict_rank
 
 
@@ -240,3 +240,30 @@ def error_gate(df: DataFrame, error: str = "error", limit: float = 0.05) -> floa
     if share > limit:
         raise ValueError(f"{share:.1%} of rows have errors; the limit is {limit:.0%}")
     return share
+
+
+def with_strata(df: DataFrame, of: Column, names: tuple[str, str, str] = ("all", "yes", "no"), name: str = "stratum") -> DataFrame:
+    """Each row once for all rows and once for its side of a boolean (null counts as false)."""
+    side = F.when(F.coalesce(of, F.lit(False)), names[1]).otherwise(names[2])
+    return df.withColumn(name, F.explode(F.array(F.lit(names[0]), side)))
+
+
+def years_with_talks(papers: DataFrame) -> DataFrame:
+    return papers.where(F.col("presentation_type").isin("oral", "spotlight")).select("year").distinct()
+
+
+#: Comparisons of presentation types: name, types on the first side, types on the second.
+COMPARISONS = (("oral vs poster", ("oral",), ("poster",)), ("spotlight vs poster", ("spotlight",), ("poster",)), ("oral vs spotlight", ("oral",), ("spotlight",)))
+
+
+def compared(papers: DataFrame, comparisons: Sequence[tuple[str, tuple[str, ...], tuple[str, ...]]] = COMPARISONS) -> DataFrame:
+    """papers once for each comparison they take part in, with ``comparison`` and ``first_side``."""
+    kind = F.col("presentation_type")
+    sides = F.array(*[F.when(kind.isin(*a, *b), F.struct(F.lit(n).alias("comparison"), kind.isin(*a).alias("first_side"))) for n, a, b in comparisons])
+    return papers.withColumn("_c", F.explode(F.filter(sides, lambda s: s.isNotNull()))).select(*papers.columns, "_c.*")
+
+
+def effects(papers: DataFrame, value: str, by: Sequence[str] = ("year",), least: int = 3) -> DataFrame:
+    """by..., comparison, n_a, n_b, delta, magnitude of a value between presentation types, with enough papers on both sides."""
+    out = cliffs_delta(compared(papers), [*by, "comparison"], value, "first_side")
+    return out.where((F.col("n_a") >= least) & (F.col("n_b") >= least))

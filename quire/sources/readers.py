@@ -114,6 +114,18 @@ def labels_json(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.explode("labels").alias("k", "label"), "clustering").where(F.col("k").rlike(r"^-?\d+$")).select(F.col("k").cast("int").alias("cluster_id"), "label", "clustering")
 
 
+def index_json(spark: SparkSession, path: str) -> DataFrame:
+    """The papers of a compact browse index, areas decoded to names and omitted links null."""
+    paper = (
+        "struct<id:string,year:int,title:string,authors:array<string>,areas:array<int>,url:string,score:double,score_norm:double,reviews:array<int>,"
+        "early:int,type:int,session:string,code_url:string,pdf_url:string,doi:string,sharedit_url:string,supp_url:string,lncs:string,dataset_urls:array<string>>"
+    )
+    raw = spark.read.schema(f"built string, areas array<string>, scales map<string,int>, papers array<{paper}>").json(path, multiLine=True)
+    d = raw.select("areas", "scales", F.explode("papers").alias("p")).select(F.col("areas").alias("names"), "scales", "p.*")
+    scale = F.coalesce(F.try_element_at("scales", F.col("year").cast("string")), F.lit(DEFAULT_SCALE))
+    return d.withColumn("areas", F.transform("areas", lambda i: F.get("names", i))).withColumn("scale", scale).drop("names", "scales")
+
+
 def embeddings(spark: SparkSession, path: str) -> DataFrame:
     """Vectors: Parquet, or NPZ files with parallel arrays (driver-side, for files of one machine)."""
     if not path.endswith(".npz"):
