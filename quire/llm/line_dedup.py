@@ -44,8 +44,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     repeated = materialize(repeated.select("h1", "h2", "first_d"))
     drops = hashed.join(repeated, ["h1", "h2"]).where("d > first_d").groupBy("d").agg(F.collect_set("pos").alias("drop"))
     # The input's columns travel as one struct, so that no name of theirs clashes with one used here.
-    d = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    d = d.join(drops, "d", "left").withColumn("lines", F.split("t", "\n"))
+    d = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("d"))
+    d = d.join(drops, "d", "left").withColumn("t", F.coalesce(F.col("row").getField(text), F.lit(""))).withColumn("lines", F.split("t", "\n"))
     places = F.sequence(F.lit(0), F.size("lines") - 1)
     # Positions of other rows with the same id may lie beyond this row's lines.
     d = d.withColumn("gone", F.when(F.col("drop").isNotNull(), F.array_intersect("drop", places)))
