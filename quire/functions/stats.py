@@ -161,7 +161,7 @@ def kde(df: DataFrame, by: list[str], value: str, points: int = GRID_POINTS, flo
     shape = shape.withColumn("_bw", F.greatest(0.9 * sigma * F.pow(F.col("_n").cast("double"), F.lit(-0.2)), F.lit(floor)))
     ends = held.agg((F.min(v) - margin).alias("_lo"), (F.max(v) + margin).alias("_hi"))
     grid = ends.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("_lo") + i * (F.col("_hi") - F.col("_lo")) / (points - 1))).alias("x"))
-    d = counts.join(F.broadcast(shape), by) if by else counts.crossJoin(F.broadcast(shape))
+    d = counts.join(shape, by) if by else counts.crossJoin(F.broadcast(shape))
     u = (F.col("x") - F.col("_v")) / F.col("_bw")
     part = F.col("_c") * F.exp(-0.5 * u * u) / (F.col("_n") * F.col("_bw") * F.sqrt(2 * F.pi()))
     return d.crossJoin(F.broadcast(grid)).groupBy(*by, "x").agg(F.sum(part).alias("density"))

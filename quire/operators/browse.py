@@ -159,7 +159,7 @@ def compact_index(index: DataFrame, scales: DataFrame, built: str) -> DataFrame:
 
 def csv_rows(index: DataFrame, scales: DataFrame) -> DataFrame:
     """The nineteen columns of the CSV export, in order, all strings."""
-    s = index.join(F.broadcast(scales), "year", "left")
+    s = index.join(scales, "year", "left")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "; ")
     return s.select(
@@ -180,7 +180,7 @@ def csv_lines(table: DataFrame) -> DataFrame:
 
 def json_records(index: DataFrame, scales: DataFrame) -> DataFrame:
     """Records of the JSON export; null fields are left out by the writer."""
-    s = index.join(F.broadcast(scales), "year", "left")
+    s = index.join(scales, "year", "left")
     return s.select(
         F.col("id").alias("paper_id"), "year", "title", "authors", F.col("areas").alias("subject_areas"), F.col("score").alias("mean_score"),
         F.coalesce("scale", F.lit(DEFAULT_SCALE)).alias("scale_max"), F.col("reviews").alias("reviewer_scores"), F.col("type").alias("presentation_type"),

@@ -94,7 +94,7 @@ def verify_labels(assignments: DataFrame, stamp: str | None, key: str = "paper_i
 
 def attach_labels(papers: DataFrame, labels: DataFrame) -> DataFrame:
     """cluster_label by cluster_id, ``Cluster N`` where none is given."""
-    out = papers.drop("cluster_label").join(F.broadcast(labels.select("cluster_id", F.col("label").alias("_l"))), "cluster_id", "left")
+    out = papers.drop("cluster_label").join(labels.select("cluster_id", F.col("label").alias("_l")), "cluster_id", "left")
     named = F.when(F.col("cluster_id").isNotNull(), F.coalesce("_l", F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string"))))
     return out.withColumn("cluster_label", named).drop("_l")
 
@@ -129,7 +129,7 @@ def extend(vectors: DataFrame, incoming: DataFrame, stamp: str, key: str = "pape
 
 def nearest_members(vectors: DataFrame, centres: DataFrame, n: int = 12, key: str = "paper_id") -> DataFrame:
     """The n members of each cluster closest to its centroid by cosine."""
-    d = vectors.join(F.broadcast(centres), "cluster_id").withColumn("cosine", cosine(F.col("embedding").cast("array<double>"), F.col("centroid")))
+    d = vectors.join(centres, "cluster_id").withColumn("cosine", cosine(F.col("embedding").cast("array<double>"), F.col("centroid")))
     return d.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("cosine"), key))).where(F.col("rank") <= n).drop("embedding", "centroid")
 
 
@@ -150,7 +150,7 @@ def cluster_terms(docs: DataFrame, cluster: str, title: Column, body: Column, n:
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
     s = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("raw", (1 + F.log("tf")) * (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1))
     norms = s.groupBy("cluster").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    out = s.join(F.broadcast(norms), "cluster").withColumn("score", F.col("raw") / F.col("norm"))
+    out = s.join(norms, "cluster").withColumn("score", F.col("raw") / F.col("norm"))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("score"), "term"))).where(F.col("rank") <= n).select("cluster", "rank", "term", "score")
 
 

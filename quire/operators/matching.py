@@ -91,7 +91,7 @@ def match_talks(talks: DataFrame, papers: DataFrame, overrides: DataFrame, *, bl
     p = papers.select(F.col(block).alias("_b"), "paper_id", normalize_title(F.col("title")).alias("norm"), "authors")
     titles = p.groupBy("_b", "norm").agg(F.count(F.lit(1)).alias("n"), F.min("paper_id").alias("one"))
     t = talks.withColumn("norm", normalize_title(F.col("title_raw")))
-    o = F.broadcast(overrides.select(F.col(block).alias("_b"), "norm_title", F.col("paper_id").alias("_to"), "is_skip"))
+    o = overrides.select(F.col(block).alias("_b"), "norm_title", F.col("paper_id").alias("_to"), "is_skip")
     t = t.join(o, (F.col(block) == F.col("_b")) & (F.col("norm") == F.col("norm_title")), "left").drop("_b", "norm_title")
     e = titles.where("n = 1").select(F.col("_b"), F.col("norm").alias("_norm"), F.col("one").alias("_exact"))
     t = t.join(e, (F.col(block) == F.col("_b")) & (F.col("norm") == F.col("_norm")), "left").drop("_b", "_norm")

@@ -22,7 +22,7 @@ def review_rollup(papers: DataFrame) -> DataFrame:
 
     ``reviews.score_raw`` is exploded alone, so the scan reads no review text.
     """
-    scores = papers.select("paper_id", F.explode_outer(F.arrays_zip(F.col("reviews.score_raw").alias("raw"), F.col("reviews.score_normalized").alias("norm"))).alias("s"), F.size("reviews").alias("n"))
+    scores = papers.select("paper_id", F.explode_outer(F.arrays_zip(F.col("reviews.score_raw").alias("raw"), F.col("reviews.score_normalized").alias("norm"))).alias("s"), F.size(F.col("reviews.score_raw")).alias("n"))
     return scores.groupBy("paper_id").agg(
         F.max("n").alias("num_reviews"), F.avg("s.raw").alias("avg_score_raw"), F.avg("s.norm").alias("avg_score_normalized"), (F.max("s.raw") - F.min("s.raw")).alias("score_range"),
     )
@@ -42,7 +42,7 @@ def year_stats(papers: DataFrame, years: DataFrame | None = None) -> DataFrame:
     out = per.join(authors, "year", "left").withColumn("n_authors", F.coalesce("n_authors", F.lit(0)))
     if years is None:
         return out.drop("n_early")
-    out = out.join(F.broadcast(years.select("year", "n_submitted", "city")), "year", "left")
+    out = out.join(years.select("year", "n_submitted", "city"), "year", "left")
     return out.withColumn("pct_early_subs", 100 * F.col("n_early") / F.nullif("n_submitted", F.lit(0))).withColumn("accept_rate", 100 * F.col("n_papers") / F.nullif("n_submitted", F.lit(0))).drop("n_early")
 
 
@@ -95,7 +95,7 @@ def share_with_presence(items: DataFrame, all_rows: DataFrame, key: str = "paper
     n = items.groupBy(year, area).agg(F.countDistinct(key).alias("n"))
     per_year = all_rows.groupBy(year).agg(F.countDistinct(key).alias("_of"))
     w = Window.partitionBy(area)
-    out = n.join(F.broadcast(per_year), year).withColumn("share", 100 * F.col("n") / F.col("_of"))
+    out = n.join(per_year, year).withColumn("share", 100 * F.col("n") / F.col("_of"))
     return out.withColumn("presence", F.count(F.lit(1)).over(w)).withColumn("total", F.sum("n").over(w)).drop("_of")
 
 
@@ -182,7 +182,7 @@ def selection_rates(items: DataFrame, rows: DataFrame, *, key: str, area: str, s
     if window:
         sets = items.groupingSets([(window, area), (area,)], window, area).agg(*agg, F.grouping(window).alias("_all"))
         base = rows.groupingSets([(window,), ()], window).agg((100 * F.avg(flag(F.col(selected)))).alias("baseline"), F.grouping(window).alias("_all"))
-        out = sets.join(F.broadcast(base.withColumnRenamed(window, "_w")), (sets["_all"] == base["_all"]) & sets[window].eqNullSafe(F.col("_w"))).drop(base["_all"]).drop("_w")
+        out = sets.join(base.withColumnRenamed(window, "_w"), (sets["_all"] == base["_all"]) & sets[window].eqNullSafe(F.col("_w"))).drop(base["_all"]).drop("_w")
         head = [F.when(F.col("_all") == 0, F.col(window)).alias(window), area]
     else:
         base = rows.agg((100 * F.avg(flag(F.col(selected)))).alias("baseline"))

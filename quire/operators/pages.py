@@ -149,7 +149,7 @@ def parse_papers(pages: DataFrame, years: DataFrame, areas: DataFrame | None = N
     """
     ship(pages.sparkSession)
     cfg = years.select("year", "era", "score_field_substring", "score_parse_mode", "post_rebuttal_has_score", "review_scale_max")
-    d = pages.join(F.broadcast(cfg), "year", "left").withColumn("p", page_blocks("html"))
+    d = pages.join(cfg, "year", "left").withColumn("p", page_blocks("html"))
     new = F.coalesce(F.col("era") == NEW_ERA, F.lit(True))
     b, heads = F.col("p.blocks"), F.col("p.headings")
     has = lambda i: F.exists(heads, lambda h: h["id"] == i)
@@ -235,7 +235,7 @@ def audit_fields(pages: DataFrame, years: DataFrame) -> DataFrame:
     """
     ship(pages.sparkSession)
     cfg = years.select("year", "era", "score_field_substring")
-    d = pages.join(F.broadcast(cfg), "year", "left").withColumn("p", page_blocks("html"))
+    d = pages.join(cfg, "year", "left").withColumn("p", page_blocks("html"))
     new = F.coalesce(F.col("era") == NEW_ERA, F.lit(True))
     d = d.select("paper_id", "score_field_substring", new.alias("new"), F.explode("p.blocks").alias("b")).where(F.col("b.head_id").rlike(r"^review-\d+$"))
     d = d.withColumn("route", F.when(F.col("b.kind") == "field", route(F.lower("b.label"), F.col("score_field_substring"), F.col("new"))))
