@@ -84,7 +84,8 @@ def counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
         F.when(m > 0, F.size(repeated)).otherwise(0).cast("long").alias("n_repeat_words"),
         F.char_length("t").cast("long").alias("n_chars"),
         F.array((F.char_length("t") - F.char_length("rest") - (F.char_length("t") - F.col("word_chars").cast("int"))), F.char_length("t") - F.col("word_chars").cast("int"), *others).alias("class_counts"),
-        F.array(*[F.size("found") - F.size(F.array_remove("found", w)) for w in COMMON_WORDS]).alias("word_counts"),
+        # One expression over all words: unrolled, the generated method is too large to be compiled.
+        F.transform(F.array(*[F.lit(w) for w in COMMON_WORDS]), lambda c: F.size("found") - F.size(F.array_remove("found", c))).alias("word_counts"),
     )
 
 
