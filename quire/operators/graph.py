@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import materialize
+from quire.runtime import discard, materialize
 
 #: Largest graph (edges) that communities and layout take to the driver.
 MAX_DRIVER_EDGES = 200_000
@@ -64,9 +64,11 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, u:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         larger = materialize(both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        discard(least, e)
         least = materialize(larger.groupBy("a").agg(F.min("b").alias("m")))
         moved = larger.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialize(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        discard(larger, least)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break
