@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.runtime import materialize, ship, work_dir
+from quire.runtime import discard, materialize, ship, work_dir
 
-__all__ = ["ASCII_SPACE", "UPPER", "WORD", "fixed_partitions", "materialize", "read", "slices", "words_in"]
+__all__ = ["ASCII_SPACE", "UPPER", "WORD", "discard", "fixed_partitions", "materialize", "read", "slices", "words_in"]
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import materialize, read, slices
+from quire.llm._common import discard, materialize, read, slices
 from quire.runtime import ship
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 256
@@ -145,9 +145,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = materialize(large.distinct())
+        discard(low, e)
         low = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        discard(large, low)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -258,6 +260,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         classes = classes.unionByName(_large(docs, placed.join(large.select("comp"), "comp"), colliding, args))
     named = reps.select("d1", "d2", "rep", "weight").join(classes.select("rep", "root", "links"), "rep", "left")
     named = materialize(named.select("d1", "d2", F.coalesce("root", "rep").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    discard(reps, buckets, colliding, comps, placed, large, found)
     out = sig.select("doc_id", "d1", "d2", "n").join(named, ["d1", "d2"], "left")
     out = out.select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
     nameless = docs.where(F.col(doc_id).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
