@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import materialize, read
+from quire.llm._common import bounded, materialize, read
 from quire.llm.line_dedup import dedup_lines
 from quire.llm.mixing import apply_mix, mix
 from quire.llm.near_duplicates import keep_one, near_duplicates
@@ -23,8 +23,8 @@ from quire.runtime import ship
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a base rule or diverge from their language go."""
     ship(spark)
-    rejected = materialize(judge(docs).where("NOT kept").select("doc_id"))
-    named = docs.where("doc_id IS NOT NULL").join(rejected.where("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti")
+    rejected = materialize(judge(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    named = docs.where("doc_id IS NOT NULL").join(bounded(rejected), "doc_id", "left_anti")
     nameless = docs.where("doc_id IS NULL")  # can't be told apart; judged by nothing
     return named.unionByName(nameless).select(*docs.columns)
 

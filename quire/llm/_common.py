@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.runtime import discard, materialize, ship, work_dir
 
-__all__ = ["ASCII_SPACE", "UPPER", "WORD", "discard", "fixed_partitions", "materialize", "read", "slices", "words_in"]
+__all__ = ["ASCII_SPACE", "UPPER", "WORD", "bounded", "discard", "fixed_partitions", "materialize", "read", "slices", "words_in"]
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,15 @@ def fixed_partitions(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow table (an id and a few numbers) that may be broadcast, some 100 MB at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """A materialised narrow table, marked for broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def words_in(text: Column) -> Column:
     """Number of words (see WORD), 0 for null, as long."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm._common import materialize, read, words_in
+from quire.llm._common import bounded, materialize, read, words_in
 
 WEIGHTS = (1.0, 2.0, 3.0)
 ROWS_PER_RANGE = 500
@@ -96,7 +96,7 @@ def apply_mix(docs: DataFrame, taken: DataFrame) -> DataFrame:
     Ids identify documents here; a null id matches nothing and its row goes.
     """
     t = taken.where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
-    d = docs.select(F.struct("*").alias("row"), "doc_id").join(t, "doc_id").withColumn("text", F.col("row.text"))
+    d = docs.select(F.struct("*").alias("row"), "doc_id").join(bounded(materialize(t)), "doc_id").withColumn("text", F.col("row.text"))
     part = F.col("taken") % F.col("size")
     whole = F.array_repeat(F.lit(-1).cast("long"), F.expr("CAST(taken DIV size AS INT)"))
     keep = F.when(part > 0, F.concat(whole, F.array(part))).otherwise(whole)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import discard, materialize, read, slices
+from quire.llm._common import bounded, discard, materialize, read, slices
 from quire.runtime import ship
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 256
@@ -294,9 +294,13 @@ def _large(docs: DataFrame, placed: DataFrame, colliding: DataFrame, args: dict)
 
 def keep_one(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The documents that stand for their class; rows with a null id all stay."""
-    stay = found.where("doc_id = class_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    rows = found.where("doc_id = class_id").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count(F.lit(1)).alias("rows"))
+    rows = materialize(rows)
     named = docs.where(F.col(doc_id).isNotNull())
-    kept = named.join(stay, doc_id, "left_semi").dropDuplicates([doc_id]).select(*docs.columns)
+    kept = named.join(bounded(rows.select(doc_id)), doc_id, "left_semi")
+    if not rows.where("rows > 1").isEmpty():
+        kept = kept.dropDuplicates([doc_id])
+    kept = kept.select(*docs.columns)
     return kept.unionByName(docs.where(F.col(doc_id).isNull()))
 
 
