@@ -10,6 +10,7 @@ from quire.functions.text import author_surnames, last_first, normalize_title, n
 from quire.runtime import ship
 
 ACCEPT, MARGIN, CONSIDER, RANKED = 92.0, 3.0, 82.0, 3
+BROADCAST_TITLES = 200_000
 
 
 def attach_types(papers: DataFrame, talks: DataFrame, default: str = "poster") -> DataFrame:
@@ -100,7 +101,11 @@ def match_talks(talks: DataFrame, papers: DataFrame, overrides: DataFrame, *, bl
     # Titles below CONSIDER settle nothing; whether a pair may reach it is a bound that is cheap to have.
     long = F.greatest(F.char_length("norm"), F.char_length("title"))
     both = F.char_length("norm") + F.char_length("title")
-    pairs = open_.join(titles.withColumnRenamed("norm", "title"), "_b").where(200 * (both - long) >= CONSIDER * both)
+    # Few blocks would mean few tasks: talks are dealt one by one, and titles sent to them if they are few enough.
+    side = titles.withColumnRenamed("norm", "title")
+    side = F.broadcast(side) if titles.count() <= BROADCAST_TITLES else side
+    tasks = max(talks.sparkSession.sparkContext.defaultParallelism, int(talks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = open_.repartition(tasks, "_b", "ord").join(side, "_b").where(200 * (both - long) >= CONSIDER * both)
     scored = pairs.withColumn("score", similarity_above("norm", "title", F.lit(CONSIDER))).where(F.col("score") >= CONSIDER)
     by_talk = Window.partitionBy("_b", "ord").orderBy(F.desc("score"), "title")
     ranked = scored.withColumn("rank", F.row_number().over(by_talk)).where(F.col("rank") <= RANKED)
