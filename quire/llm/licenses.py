@@ -7,7 +7,16 @@ if no document had them.  A line that could reach the threshold must hold one of
 a notice's anchor terms (the heaviest ones, such that the rest of the notice is
 too light), so only lines with an anchor are taken apart; nothing is lost by it.
 
-A file has the licence of its best line.  A licence file (by its name) gives its
+Headers and licence texts wrap over lines or stand inside longer ones, so the
+text is also read as one run of terms, and passages of a template's length are
+compared with the notices and with longer headers and texts: wherever an anchor
+of a template occurs, the passage that has it in the template's place.  Document
+frequencies are here counted for all terms.  Titles without a version count as
+whole lines, SPDX tags by their identifier.
+
+A file has the licence of its best line; if it has none, or only a reservation
+of rights, that of its best passage, title or tag.  Of the long licences (GPL,
+Apache, MPL, CC) the header and the title are templates, not the whole text.  A licence file (by its name) gives its
 licence to its directory, and a file without one of its own takes that of the
 nearest directory above it: distinct directories are exploded to their ancestors
 and joined with the licensed ones by path, then files with their directories.
@@ -29,7 +38,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import materialize, read
+from quire.llm._common import bounded, materialize, read
 
 #: (licence, notice); several notices of one licence are allowed.
 NOTICES = (
@@ -48,6 +57,37 @@ NOTICES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "All rights reserved."),
 )
+#: The one notice that says nothing against another licence in the same file.
+RESERVED = "proprietary"
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, "
+    "either version {version} of the License, or (at your option) any later version."
+)
+#: Headers, titles with their version and whole texts, compared with passages besides the notices.
+PASSAGES = (
+    ("AGPL-3.0", _GNU.format(name="GNU Affero General Public License", version="3")),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("GPL-2.0", _GNU.format(name="GNU General Public License", version="2")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", _GNU.format(name="GNU General Public License", version="3")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", _GNU.format(name="GNU Lesser General Public License", version="2.1")),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", _GNU.format(name="GNU Lesser General Public License", version="3")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
+#: Terms of a whole line, by licence.
+TITLES = (("Apache-2.0", "apache license"), ("Apache-2.0", "the apache license"), ("MIT", "mit license"), ("MIT", "the mit license"), ("MIT", "the mit license mit"))
+SPDX = r"(?i)SPDX-License-Identifier:[ \t(]*([a-z0-9.+\-]+)"
 THRESHOLD = 0.75
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.\-_].*)?$"
 NOT_TERM = "[^a-z0-9]+"
@@ -79,14 +119,15 @@ def notice_weights(n_docs: int, df: dict[str, int], notices: Sequence[tuple[str,
     return idf, rows, sorted(anchors)
 
 
-def own_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", notices: Sequence[tuple[str, str]] = NOTICES, threshold: float = THRESHOLD) -> DataFrame:
+def own_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", notices: Sequence[tuple[str, str]] = NOTICES, passages: Sequence[tuple[str, str]] = PASSAGES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, score (best cosine), found (all licences at the threshold) of documents with one."""
     spark = docs.sparkSession
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    vocabulary = sorted({t for _, notice in notices for t in terms_of(notice)})
-    # One row a notice term, a few hundred at most.
-    held = d.select(F.explode(F.array_intersect(_terms(F.col("text")), F.array(*[F.lit(t) for t in vocabulary]))).alias("term"))
-    df = {r.term: r.n for r in held.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    templates = (*notices, *passages)
+    vocabulary = sorted({t for _, notice in templates for t in terms_of(notice)})
+    counts = materialize(d.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    # One row a term of the templates, a few hundred at most.
+    df = {r.term: r.n for r in counts.where(F.col("term").isin(vocabulary)).collect()}
     n_docs = d.count()
     idf, weights, anchors = notice_weights(n_docs, df, notices, threshold)
     pattern = f"(?i)(?<![a-z0-9])(?:{'|'.join(anchors)})(?![a-z0-9])"
@@ -94,20 +135,83 @@ def own_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     # Equal lines need one look: lines are keyed by their terms.
     lines = materialize(lines.select("doc_id", F.array_join(F.sort_array(_terms(F.col("line"))), " ").alias("bag")).distinct())
     bags = lines.select("bag").distinct()
-    counted = bags.select("bag", F.explode(F.split("bag", " ")).alias("term")).groupBy("bag", "term").agg(F.count(F.lit(1)).alias("tf"))
-    idf_rows = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     rare = math.log(1 + n_docs) + 1
-    counted = counted.join(idf_rows, "term", "left").withColumn("u", (1 + F.log("tf")) * F.coalesce("idf", F.lit(rare)))
-    norms = counted.groupBy("bag").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("norm"))
-    weight_rows = F.broadcast(spark.createDataFrame(weights, "notice int, license string, term string, weight double"))
-    dots = counted.join(weight_rows, "term").groupBy("bag", "notice", "license").agg(F.sum(F.col("u") * F.col("weight")).alias("dot"))
-    cosines = dots.join(norms, "bag").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
+    cosines = _cosines(bags, spark.createDataFrame(sorted(idf.items()), "term string, idf double"), rare, weights, threshold)
     # The order of (-score, license): best first, ties by name.
-    matched = lines.join(cosines.select("bag", "license", "score"), "bag")
-    best = matched.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"), F.sort_array(F.collect_set("license")).alias("found"))
+    matched = lines.join(cosines, "bag").select("doc_id", "license", "score")
+    other = materialize(_passages(d, templates, counts, n_docs, df, threshold).unionByName(_named(d)))
+    every = matched.withColumn("line", F.lit(True)).unionByName(other.withColumn("line", F.lit(False)))
+    order = F.struct((-F.col("score")).alias("minus"), "license")
+    reserved = F.col("license") == RESERVED
+    best = every.groupBy("doc_id").agg(
+        F.min(F.when(F.col("line"), order)).alias("a"), F.min(F.when(~F.col("line") & ~reserved, order)).alias("b"), F.min(F.when(~F.col("line") & reserved, order)).alias("c"),
+        F.coalesce(F.bool_or(F.col("line") & ~reserved), F.lit(False)).alias("plain"), F.sort_array(F.collect_set("license")).alias("found"),
+    )
+    best = best.withColumn("best", F.when(F.col("plain"), F.col("a")).otherwise(F.coalesce("b", "a", "c")))
     return best.select("doc_id", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"), "found")
 
 
+def _cosines(bags: DataFrame, idf: DataFrame, rare: float, weights: list[tuple[int, str, str, float]], threshold: float) -> DataFrame:
+    """bag, license, score of the pairs of bags and notices at the threshold."""
+    counted = bags.select("bag", F.explode(F.split("bag", " ")).alias("term")).groupBy("bag", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = counted.join(F.broadcast(idf), "term", "left").withColumn("u", (1 + F.log("tf")) * F.coalesce("idf", F.lit(rare)))
+    norms = counted.groupBy("bag").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("norm"))
+    weight_rows = F.broadcast(bags.sparkSession.createDataFrame(weights, "notice int, license string, term string, weight double"))
+    dots = counted.join(weight_rows, "term").groupBy("bag", "notice", "license").agg(F.sum(F.col("u") * F.col("weight")).alias("dot"))
+    return dots.join(norms, "bag").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold).select("bag", "license", "score")
+
+
+def _passages(d: DataFrame, templates: Sequence[tuple[str, str]], counts: DataFrame, n_docs: int, df: dict[str, int], threshold: float) -> DataFrame:
+    """doc_id, license, score of passages of the text, whatever lines they are in.
+
+    A passage at the threshold holds an anchor of its template; it is looked for
+    where the anchor would have its place.
+    """
+    idf, weights, _ = notice_weights(n_docs, df, templates, threshold)
+    places: dict[str, set[tuple[int, int]]] = {}
+    for k, (name, body) in enumerate(templates):
+        terms = terms_of(body)
+        for anchor in notice_weights(n_docs, df, [(name, body)], threshold)[2]:
+            for i, t in enumerate(terms):
+                if t == anchor:
+                    places.setdefault(t, set()).add((i, len(terms)))
+    rows = [(t, sorted(at)) for t, at in sorted(places.items())]
+    at = F.broadcast(d.sparkSession.createDataFrame(rows, "term string, at array<struct<i:int,size:int>>"))
+    held = d.select("doc_id", _terms(F.col("text")).alias("terms"))
+    # A document without enough of any template has no passage at the threshold either.
+    enough = _possible(held, "doc_id", F.col("terms"), weights, threshold)
+    held = held.join(bounded(materialize(enough)), "doc_id", "left_semi")
+    hits = held.select("doc_id", "terms", F.posexplode("terms").alias("pos", "term")).join(at, "term")
+    hits = hits.select("doc_id", "terms", "pos", F.explode("at").alias("x")).withColumn("start", F.col("pos") - F.col("x.i"))
+    passage = F.slice("terms", F.greatest("start", F.lit(0)) + 1, F.col("x.size") + F.least("start", F.lit(0)))
+    found = materialize(hits.select("doc_id", F.array_join(F.sort_array(passage), " ").alias("bag")).distinct())
+    bags = materialize(_possible(found.select("bag").distinct(), "bag", F.split("bag", " "), weights, threshold))
+    # Frequencies of the passages' terms that no template has; a table of the terms of few documents.
+    used = bags.select(F.explode(F.split("bag", " ")).alias("term")).distinct()
+    seen = counts.join(used, "term").select("term", (F.log((1 + n_docs) / (1 + F.col("n"))) + 1).alias("idf"))
+    return found.join(_cosines(bags, seen, math.log(1 + n_docs) + 1, weights, threshold), "bag").select("doc_id", "license", "score")
+
+
+def _possible(df: DataFrame, key: str, terms: Column, weights: list[tuple[int, str, str, float]], threshold: float) -> DataFrame:
+    """Keys whose terms hold enough of a notice: a cosine is at most the length of the notice's part that is there."""
+    weight_rows = F.broadcast(df.sparkSession.createDataFrame(weights, "notice int, license string, term string, weight double"))
+    part = df.select(key, F.explode(F.array_distinct(terms)).alias("term")).join(weight_rows, "term")
+    part = part.groupBy(key, "notice").agg(F.sum(F.col("weight") * F.col("weight")).alias("part"))
+    return part.where(F.col("part") >= threshold * threshold - 1e-6).select(key).distinct()
+
+
+def _named(d: DataFrame) -> DataFrame:
+    """doc_id, license, score (1) of titles that are a whole line, and of SPDX tags."""
+    words = F.array_join(_terms(F.col("line")), " ")
+    titles = d.where(F.col("text").rlike("(?i)(mit|apache)[^a-z0-9]+license")).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.char_length("line") <= 80)
+    name = F.coalesce(*[F.when(words == title, licence) for licence, title in TITLES])
+    titles = titles.select("doc_id", name.alias("license"))
+    tags = d.where(F.col("text").rlike(SPDX)).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("tag"))
+    tag = F.regexp_replace(F.regexp_replace("tag", r"(?i)(-only|-or-later|\+)$", ""), r"(?i)^BSD-[0-9]-Clause$", "BSD")
+    both = titles.where("license IS NOT NULL").unionByName(tags.select("doc_id", tag.alias("license")))
+    return both.distinct().withColumn("score", F.lit(1.0))
+
+
 def directory(path: Column) -> Column:
     """Everything before the last slash; the root is the empty string."""
     return F.regexp_replace(path, "/?[^/]*$", "")

@@ -45,3 +45,22 @@ def test_lines_without_anchors_cannot_reach_the_threshold():
     _, rows, anchors = licenses.notice_weights(1000, {"the": 990, "license": 40, "work": 300, "is": 900, "licensed": 30})
     for k in {r[0] for r in rows}:
         assert math.sqrt(sum(w * w for n, _, t, w in rows if n == k and t not in anchors)) < licenses.THRESHOLD
+
+
+def test_wrapped_embedded_and_standard_headers(spark):
+    bsd = "# Copyright (c) 2020, A. All rights reserved.\n#\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:\n# one"
+    gpl = "/* a.c\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version.\n */"
+    mit = dict(licenses.PASSAGES)["MIT"].replace(" ", "\n", 40)
+    rows = [
+        (1, "a/1", bsd, "BSD"), (2, "b/2", gpl.format(2), "GPL-2.0"), (3, "c/3", gpl.format(3), "GPL-3.0"), (4, "d/4", gpl.format(3).replace("General", "Lesser General"), "LGPL-3.0"),
+        (5, "e/5", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n text", "GPL-3.0"),
+        (6, "f/6", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "Apache-2.0"), (7, "g/7", "MIT License\n\nCopyright (c) A", "MIT"),
+        (8, "h/8", "// SPDX-License-Identifier: Zlib\nint a;", "Zlib"), (9, "i/9", "# SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), (10, "j/10", "All rights reserved.\n" + mit, "MIT"),
+        (11, "k/11", "this long line says that all of the code which it goes with has been released under the MIT License by those who wrote it some years ago", "MIT"),
+        (12, "l/12", "one may compare the MIT License and others; the software is free and so is the permission to copy", None),
+        (13, "m/13", "A corporation of 2020, all rights reserved, and further words that make this line a long one", "proprietary"),
+    ]
+    others = [(100 + i, f"z/{i}", "the software is in the public domain of all people and the rights to use it are with you, as a copy of this work " * 3, None) for i in range(20)]
+    df = spark.createDataFrame([r[:3] for r in rows + others], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin) for r in scan(df).collect()}
+    assert got == {k: (w, "own" if w else "none") for k, _, _, w in rows + others}
