@@ -39,7 +39,7 @@ def fuzzy_match_cascade(t: Tables) -> DataFrame:
     parts = t.part.select(F.col("p_type").alias("year"), F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", F.col("p_partkey").cast("string"), F.hex(F.xxhash64("p_partkey"))).alias("title"))
     papers = parts.select("year", F.col("id").cast("string").alias("paper_id"), "title", F.array(F.concat(F.lit("Maker"), F.col("id") % 7, F.lit(", A"))).alias("authors"))
     changed = F.when(F.col("id") % 3 == 0, F.expr("overlay(title PLACING '' FROM 4 FOR 1)")).when(F.col("id") % 3 == 1, F.upper("title")).otherwise(F.expr("overlay(title PLACING 'xyzw' FROM 2 FOR 4)"))
-    talks = parts.where("id % 10 = 0").select("year", F.col("id").alias("ord"), changed.alias("title_raw"), F.concat(F.lit("A Maker"), F.col("id") % 7, F.lit(", Lab")).alias("speaker"))
+    talks = parts.select("year", F.col("id").alias("ord"), changed.alias("title_raw"), F.concat(F.lit("A Maker"), F.col("id") % 7, F.lit(", Lab")).alias("speaker"))
     none = t.spark.createDataFrame([], "year string, norm_title string, paper_id string, is_skip boolean")
     m = matching.match_talks(talks, papers, none)
     return m.select("year", "ord", "paper_id", "match", F.round("best_score", 4).alias("best_score"))

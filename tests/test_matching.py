@@ -63,3 +63,10 @@ def test_containment(spark):
     b = spark.createDataFrame([(10, "x one two three four five six y"), (11, "a short one"), (12, None), (13, "one two three four five seven")], "d long, t string")
     got = sorted(tuple(r) for r in matching.contained_in(a, b, needle_id="i", needle="t", hay_id="d", text="t").collect())
     assert (1, 10) in got and (3, 10) not in got and (1, 13) not in got
+
+
+def test_every_part_is_a_talk(spark, sf):
+    from quire.plans.catalog import QUERIES
+
+    got = [r.ord for r in QUERIES["fuzzy_match_cascade"](spark, sf).select("ord").collect()]
+    assert sorted(got) == sorted(r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").collect())
