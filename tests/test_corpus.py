@@ -282,3 +282,24 @@ def test_posters(spark):
     rows = [line(0, "Title above"), line(1, "1 2 M-AM-001"), line(2, "Jane Doe, Lab, Inst,"), line(3, "France"), line(4, "Bold head", bold=True), line(5, "7 3 T-PM-010 On the row"), line(6, "Solo")]
     got = layout.poster_records(spark.createDataFrame(rows, LINES)).orderBy("number").collect()
     assert [tuple(r)[1:] for r in got] == [(1, 2, "M-AM-001", "Title above", "Jane Doe", "Lab, Inst", "France"), (7, 3, "T-PM-010", "On the row", "Solo", None, None)]
+
+
+def test_components_of_all_parts(spark, sf, tmp_path):
+    from quire.plans.catalog import QUERIES
+
+    rows = [(r.l_orderkey, r.l_partkey) for r in spark.read.parquet(f"{sf}/lineitem.parquet").where("l_partkey % 7 < 2 AND l_orderkey % 5 = 0").select("l_orderkey", "l_partkey").collect()]
+    rows += [(-1, 10**9), (-2, 10**9 + 2), (-2, 10**9 + 1), (-3, 10**9 + 2), (-3, 10**9 + 3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    parent = {p: p for _, p in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    first = {}
+    for o, p in rows:
+        a, b = find(first.setdefault(o, p)), find(p)
+        parent[max(a, b)] = min(a, b)
+    got = [tuple(r) for r in QUERIES["connected_components_all"](spark, str(tmp_path)).select("id", "component").collect()]
+    assert sorted(got) == sorted((p, find(p)) for p in parent)
