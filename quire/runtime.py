@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,13 +54,18 @@ _ROOTS: dict[str, str] = {}
 def work_dir(spark: SparkSession) -> str:
     """A folder of this application below the cluster's ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, one machine) a temporary folder is made
-    and registered as the checkpoint folder.
+    Where the setting is absent on one machine (tests) a temporary folder is
+    made and registered as the checkpoint folder; on a cluster that is an error,
+    since each executor would write to its own disk.
     """
     ship(spark)
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="quire-")
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(base)
         _ROOTS[app] = f"{base.rstrip('/')}/quire-{app}"
@@ -77,15 +83,36 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Removes an action's shuffle files when it ends, instead of at some later garbage collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: For plans that send texts to Python workers: batches of a few MB, whatever the texts' lengths.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Session settings that hold inside the block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, **values: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
     Cuts the lineage: later stages reread files that every executor can see,
-    so a lost executor costs its own tasks only.
+    so a lost executor costs its own tasks only.  The write's shuffle files go
+    with it.  ``values`` are settings for the write, as ``SMALL_BATCHES``.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, {CLEANUP: "true"} | values):
+        df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._quire_path = path
     return table
