@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.runtime import discard, materialize, ship, work_dir
+from quire.runtime import SMALL_BATCHES, discard, materialize, ship, work_dir
 
-__all__ = ["ASCII_SPACE", "UPPER", "WORD", "bounded", "discard", "fixed_partitions", "materialize", "read", "slices", "words_in"]
+__all__ = ["ASCII_SPACE", "SMALL_BATCHES", "UPPER", "WORD", "discard", "fixed_partitions", "keyed", "materialize", "read", "slices", "words_in"]
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,13 +29,34 @@ def fixed_partitions(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of a narrow table (an id and a few numbers) that may be broadcast, some 100 MB at most.
-BROADCAST_ROWS = 1_000_000
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """A materialised narrow table, marked for broadcast if it has few enough rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether every row of ``df`` is one row of a file, the same ones whenever it is read."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """row (a struct of all columns), r1, r2: 128 bits that no two rows share, equal rows included.
+
+    The key is a hash of a row's file and place in it, so it is the same each
+    time the table is read, by whatever tasks.  Tables that aren't plain scans
+    of Parquet files are written first.  Ids may thus be null or repeated; and
+    as the columns travel in one struct, no name clashes with one used beside it.
+    """
+    for again in (False, True):
+        if again or not _plain_scan(df):
+            df = materialize(df)
+        place = df.metadataColumn("_metadata")
+        try:
+            return df.select(F.struct("*").alias("row"), *[F.xxhash64(F.lit(seed), place["file_path"], place["row_index"]).alias(f"r{seed}") for seed in (1, 2)])
+        except AnalysisException:  # files without row numbers
+            if again:
+                raise
+    raise AssertionError
 
 
 def words_in(text: Column) -> Column:

@@ -3,17 +3,19 @@
 Lines are exploded, their normalised keys hashed to 128 bits, documents counted
 by hash, and the lines of keys found in enough documents dropped everywhere but
 in the smallest id that holds the key.  Positions of dropped lines come back by
-document, and the text is put together again from the others.
+row, and the text is put together again from the others.
 
 Counting is a hash aggregate, so a line that a third of all documents holds is
 combined before the shuffle; only hashes, ids and positions move.  The join
-back to the lines has a unique side, so that Spark may split a hot hash.
+back to the lines has a unique side, so that Spark may split a hot hash.  Texts
+cross one join, by a key that every row has for itself.
 
 Defined cases: null or empty text is one empty line; lines whose key is shorter
-than ``min_chars`` stay; a null id counts as the largest id and all rows with
-null ids as one document; repeated rows of one id are one document for counting
-and each keeps its lines; an empty table gives no rows; columns beyond id and
-text are carried along unless they are named like a result.
+than ``min_chars`` stay; rows of one id are one document, whatever their texts,
+and what the document may keep each of its rows keeps; rows with null ids come
+after all others, each a document of its own (those of equal text are copies of
+one document); an empty table gives no rows; columns beyond id and text are
+carried along unless they are named like a result.
 """
 
 from __future__ import annotations
@@ -21,9 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import ASCII_SPACE, UPPER, materialize, read
-
-LAST_ID = 2**63 - 1
+from quire.llm._common import ASCII_SPACE, UPPER, keyed, materialize, read
 
 
 def line_keys(text: Column) -> Column:
@@ -34,26 +34,28 @@ def line_keys(text: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """All columns of ``docs`` with ``text`` deduplicated, and n_lines, n_dropped (long)."""
-    keyed = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("d"), F.posexplode(line_keys(F.col(text))).alias("pos", "key")).where(F.char_length("key") >= min_chars)
-    hashed = keyed.select("d", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(9), "key").alias("h2"))
+    rows = keyed(docs)
+    body, d = F.col("row").getField(text), F.col("row").getField(doc_id).cast("long")
+    # A document is an id or, without one, a text.
+    lines = rows.select("r1", "r2", d.alias("d"), F.when(d.isNull(), F.xxhash64(body)).alias("t"), F.posexplode(line_keys(body)).alias("pos", "key"))
+    hashed = lines.where(F.char_length("key") >= min_chars).select("r1", "r2", "d", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(9), "key").alias("h2"))
+    firsts = [F.min("d").alias("first_d"), F.min("t").alias("first_t")]
     if min_docs == 2:
-        repeated = hashed.groupBy("h1", "h2").agg(F.min("d").alias("first_d"), F.max("d").alias("last_d")).where("first_d < last_d")
+        several = "first_d < last_d OR first_t < last_t OR (first_d IS NOT NULL AND first_t IS NOT NULL)"
+        repeated = hashed.groupBy("h1", "h2").agg(*firsts, F.max("d").alias("last_d"), F.max("t").alias("last_t")).where(several)
     else:
-        repeated = hashed.groupBy("h1", "h2").agg(F.min("d").alias("first_d"), F.countDistinct("d").alias("n")).where(F.col("n") >= min_docs)
+        repeated = hashed.groupBy("h1", "h2").agg(*firsts, F.countDistinct(F.struct("d", "t")).alias("n")).where(F.col("n") >= min_docs)
     # Written first: joined as it stands, its aggregate would keep Spark from splitting a hot hash.
-    repeated = materialize(repeated.select("h1", "h2", "first_d"))
-    drops = hashed.join(repeated, ["h1", "h2"]).where("d > first_d").groupBy("d").agg(F.collect_set("pos").alias("drop"))
-    # The input's columns travel as one struct, so that no name of theirs clashes with one used here.
-    d = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("d"))
-    d = d.join(drops, "d", "left").withColumn("t", F.coalesce(F.col("row").getField(text), F.lit(""))).withColumn("lines", F.split("t", "\n"))
+    repeated = materialize(repeated.select("h1", "h2", "first_d", "first_t"))
+    later = "d > first_d OR (d IS NULL AND (first_d IS NOT NULL OR t > first_t))"
+    drops = hashed.join(repeated, ["h1", "h2"]).where(later).groupBy("r1", "r2").agg(F.collect_list("pos").alias("gone"))
+    kept = rows.join(drops.hint("merge"), ["r1", "r2"], "left").withColumn("lines", F.split(F.coalesce(body, F.lit("")), "\n"))
     places = F.sequence(F.lit(0), F.size("lines") - 1)
-    # Positions of other rows with the same id may lie beyond this row's lines.
-    d = d.withColumn("gone", F.when(F.col("drop").isNotNull(), F.array_intersect("drop", places)))
-    kept = F.array_join(F.transform(F.array_except(places, "gone"), lambda i: F.get("lines", i)), "\n")
-    d = d.withColumn("kept", F.when(F.col("gone").isNull(), F.col("t")).otherwise(kept))
+    rest = F.array_join(F.transform(F.array_except(places, "gone"), lambda i: F.get("lines", i)), "\n")
+    new = F.when(F.col("gone").isNull(), F.coalesce(body, F.lit(""))).otherwise(rest)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return d.select(
-        *[F.col("kept").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in names],
+    return kept.select(
+        *[(new if c == text else F.col("row").getField(c)).alias(c) for c in names],
         F.size("lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
     )
 

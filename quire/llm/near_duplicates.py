@@ -19,12 +19,16 @@
 No two texts that collide in a band go unverified, whatever the size of their
 bucket.  A pair at the threshold collides with probability ``recall`` at least.
 
+Representatives are told apart by numbers of their own, rows by their place in
+the table (see ``keyed``), so neither needs an id.  Texts are joined to members
+by row, with the same plan at every size.
+
 Defined cases: words are runs of anything but ASCII white space, as they are;
 a text of one to four words is one shingle; null or wordless text is its own
-class without links; a null id can't be named: its row has class null and no
-links; rows that repeat an id with another text are judged by their text, rows
-that repeat both are copies; an empty table gives no rows; other columns are
-ignored.
+class without links; rows of null ids are judged like others, but name a class
+only (as null) that has no other id; rows that repeat an id, with another text
+or the same, are rows of their own; an empty table gives no rows; other columns
+are ignored by ``near_duplicates`` and carried along by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -37,14 +41,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quire.llm._common import bounded, discard, materialize, read, slices
-from quire.runtime import ship
+from quire.llm._common import SMALL_BATCHES, discard, keyed, materialize, read, slices
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 256
-GROUP_DOCS, GROUP_SHINGLES, SMALL_BUCKET = 1_000, 2_000_000, 32
-BROADCAST_ROWS = 500_000
-CACHED_WORDS = 1_000_000
+GROUP_DOCS, GROUP_SHINGLES, SMALL_BUCKET = 1_000, 1_000_000, 32
+CACHED_BYTES = 24_000_000
+ENTRY_BYTES = 150  # of a dictionary entry, beside the word's own
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,14 +65,21 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashe
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, as bytes; emptied when it has CACHED_WORDS words."""
+    """64-bit hashes of words, as bytes; emptied when it takes some CACHED_BYTES."""
+
+    room = CACHED_BYTES
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
+        self.room -= ENTRY_BYTES + len(word)
+        if self.room < 0:
+            self.empty()
         h = self[word] = xxhash.xxh64_digest(word)
         return h
 
+    def empty(self) -> None:
+        self.clear()
+        self.room = CACHED_BYTES
+
 
 _HASHES = WordHashes()
 
@@ -112,24 +123,26 @@ class Signer:
         return ((keys + np.arange(self.bands, dtype=np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def signatures(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bands: int, rows: int) -> DataFrame:
-    """doc_id, d1, d2 (digest of the shingle set), n (its size), bands."""
-    ship(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+def signatures(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bands: int, bands_rows: int) -> DataFrame:
+    """doc_id, r1, r2, d1, d2 (digest of the shingle set), n (its size), bands of rows (see ``keyed``)."""
+    names = ["doc_id", "r1", "r2", "d1", "d2", "n", "bands"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(bands, rows)
+        signer = Signer(bands, bands_rows)
         for b in batches:
             d, n, keys = [], [], []
-            for x in b.column(1):
+            for x in b.column(3):
                 s = shingles(x.as_py(), words)
                 d.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8"))
                 n.append(len(s))
                 keys.append(signer.sign(s) if len(s) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([int(x[0]) for x in d], pa.int64()), pa.array([int(x[1]) for x in d], pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            digests = [pa.array([int(x[i]) for x in d], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *digests, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names)
+        _HASHES.empty()  # the worker lives on
 
-    ids = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return ids.mapInArrow(run, "doc_id long, d1 long, d2 long, n long, bands array<long>")
+    row = F.col("row")
+    ids = rows.select(row.getField(doc_id).cast("long").alias("doc_id"), "r1", "r2", row.getField(text).cast("binary").alias("text"))
+    return ids.mapInArrow(run, "doc_id long, r1 long, r2 long, d1 long, d2 long, n long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,8 +201,8 @@ def links_of(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> Iter
         yield x, np.flatnonzero(alike)
 
 
-def verify(docs: DataFrame, members: DataFrame, *, doc_id: str, text: str, words: int, threshold: float) -> DataFrame:
-    """(key, rep, links, root) of members (key, rep, d1, weight, side) that have links.
+def verify(rows: DataFrame, members: DataFrame, *, text: str, words: int, threshold: float) -> DataFrame:
+    """(key, rep, links, root) of members (key, rep, r1, r2, weight, side) that have links.
 
     The members of one key meet in one task; the pairs compared are all of
     them or, where ``side`` has both values, those across.  ``root`` is the
@@ -200,17 +213,10 @@ def verify(docs: DataFrame, members: DataFrame, *, doc_id: str, text: str, words
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in slices(batches, "key"):
             key = group.column("key")[0].as_py()
-            reps, weights, sides, sets = [], [], [], []
-            for rep, d1, weight, side, body in zip(*(group.column(c).to_pylist() for c in ("rep", "d1", "weight", "side", "text")), strict=True):
-                s = shingles(body, words)
-                if (reps and reps[-1] == rep) or int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8")[0]) != d1:
-                    continue  # another row of the same id
-                reps.append(rep)
-                weights.append(weight)
-                sides.append(side)
-                sets.append(s)
+            reps, weights, sides = (group.column(c).to_pylist() for c in ("rep", "weight", "side"))
             if len(reps) < 2 or (key[0] == "x" and len(set(sides)) < 2):
                 continue
+            sets = [shingles(x.as_py(), words) for x in group.column("text")]
             weight, links, parent = np.array(weights), np.zeros(len(reps), np.int64), list(range(len(reps)))
 
             def find(i: int, parent=parent) -> int:
@@ -230,44 +236,62 @@ def verify(docs: DataFrame, members: DataFrame, *, doc_id: str, text: str, words
                         parent[j] = i
             has = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array([key] * len(has), pa.string()), pa.array([reps[i] for i in has], pa.int64()), pa.array(links[has], pa.int64()), pa.array([reps[find(int(i))] for i in has], pa.int64())], schema=out_schema)
+        _HASHES.empty()
 
-    rows = members.count()
-    small = F.broadcast(members) if rows <= BROADCAST_ROWS else members
-    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("rep"), F.col(text).cast("binary").alias("text"))
-    joined = texts.join(small, "rep").select("key", "rep", "d1", "weight", "side", "text")
+    texts = rows.select("r1", "r2", F.col("row").getField(text).cast("binary").alias("text"))
+    joined = texts.join(members.hint("merge"), ["r1", "r2"]).select("key", "rep", "weight", "side", "text")
     return joined.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(run, "key string, rep long, links long, root long")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest id reached by links), n_links
-    (other documents at the threshold, exact copies included)."""
-    bands, rows = choose_bands(threshold, recall, max_hashes)
-    sig = materialize(signatures(docs, doc_id=doc_id, text=text, words=words, bands=bands, rows=rows))
-    reps = materialize(sig.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    # Two shingle sets may have the same smallest id only where an id is repeated with another text.
+MEMBER = ("rep", "r1", "r2", "weight")
+
+
+def _classes(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> DataFrame:
+    """One row per row: doc_id, r1, r2, class_id, n_links, first (whether it stands for its class)."""
+    bands, per_band = choose_bands(threshold, recall, max_hashes)
+    sig = materialize(signatures(rows, doc_id=doc_id, text=text, words=words, bands=bands, bands_rows=per_band), **SMALL_BATCHES)
+    # The row of the smallest id stands for a shingle set; null ids come last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "r1", "r2")).alias("first")
+    reps = sig.where("n > 0").groupBy("d1", "d2").agg(first, F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = materialize(reps.select("*", "first.r1", "first.r2", F.monotonically_increasing_id().alias("rep")))
     banded = reps.select("rep", F.explode("bands").alias("band"))
     buckets = materialize(banded.groupBy("band").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1"))
     colliding = materialize(banded.join(buckets, "band"))
     comps = materialize(components(colliding.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))))
-    placed = materialize(comps.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(reps.select("rep", "d1", "weight", "n"), "rep"))
+    placed = materialize(comps.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(reps.select(*MEMBER, "n"), "rep"))
     sizes = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
     large = materialize(sizes.where((F.col("docs") > GROUP_DOCS) | (F.col("total") > GROUP_SHINGLES)))
-    inside = placed.join(large.select("comp"), "comp", "left_anti").select(F.concat(F.lit("w:"), F.col("comp").cast("string")).alias("key"), "rep", "d1", "weight", F.lit(0).alias("side"))
-    args = {"doc_id": doc_id, "text": text, "words": words, "threshold": threshold}
-    found = materialize(verify(docs, materialize(inside), **args))
-    classes = found.select("rep", "root", "links")
+    inside = materialize(placed.join(large.select("comp"), "comp", "left_anti").select(F.concat(F.lit("w:"), F.col("comp").cast("string")).alias("key"), *MEMBER, F.lit(0).alias("side")))
+    args = {"text": text, "words": words, "threshold": threshold}
+    found = materialize(verify(rows, inside, **args), **SMALL_BATCHES)
+    linked = found.select("rep", "root", "links")
     if large.count():
-        classes = classes.unionByName(_large(docs, placed.join(large.select("comp"), "comp"), colliding, args))
-    named = reps.select("d1", "d2", "rep", "weight").join(classes.select("rep", "root", "links"), "rep", "left")
-    named = materialize(named.select("d1", "d2", F.coalesce("root", "rep").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
-    discard(reps, buckets, colliding, comps, placed, large, found)
-    out = sig.select("doc_id", "d1", "d2", "n").join(named, ["d1", "d2"], "left")
-    out = out.select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
-    nameless = docs.where(F.col(doc_id).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(nameless)
+        linked = linked.unionByName(_large(rows, placed.join(large.select("comp"), "comp"), colliding, args))
+    linked = materialize(linked.join(reps.select("rep", "d1", "d2", "first", "weight"), "rep"))
+    # The first of each class of several shingle sets; classes of one set have their own.
+    best = materialize(linked.groupBy("root").agg(F.min("first").alias("best")))
+    linked = linked.join(best, "root").select("d1", "d2", F.col("best").alias("of_class"), F.col("links").alias("more"))
+    named = reps.select("d1", "d2", "first", "weight").join(linked, ["d1", "d2"], "left")
+    named = materialize(named.select("d1", "d2", F.coalesce("of_class", "first").alias("class"), (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("links")))
+    discard(reps, buckets, colliding, comps, placed, large, inside, found, best)
+    out = sig.select("doc_id", "r1", "r2", "d1", "d2", "n").join(named, ["d1", "d2"], "left")
+    worded = F.col("n") > 0
+    return out.select(
+        "doc_id", "r1", "r2", F.when(worded, F.col("class.doc_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(worded, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        (~worded | ((F.col("class.r1") == F.col("r1")) & (F.col("class.r2") == F.col("r2")))).alias("first"),
+    )
+
+
+def near_duplicates(docs: DataFrame, **how: object) -> DataFrame:
+    """One row per document: doc_id, class_id (smallest id reached by links), n_links
+    (other documents at the threshold, exact copies included).
+
+    ``how``: names of the columns doc_id and text; words, threshold, recall, max_hashes.
+    """
+    return _classes(keyed(docs), **how).select("doc_id", "class_id", "n_links")
 
 
-def _large(docs: DataFrame, placed: DataFrame, colliding: DataFrame, args: dict) -> DataFrame:
+def _large(rows: DataFrame, placed: DataFrame, colliding: DataFrame, args: dict) -> DataFrame:
     """(rep, root, links) of the members of large components."""
     placed = materialize(placed)
     within = materialize(colliding.join(placed.select("rep"), "rep"))
@@ -279,29 +303,32 @@ def _large(docs: DataFrame, placed: DataFrame, colliding: DataFrame, args: dict)
     dealt = sub.join(parts, "sub").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "rep"), "q").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     i, j = F.least("block", "other"), F.greatest("block", "other")
-    blocks = dealt.select(F.concat_ws(":", F.when(i == j, "w").otherwise("x"), F.col("sub").cast("string"), i.cast("string"), j.cast("string")).alias("key"), "rep", "d1", "weight", (F.col("block") > i).cast("int").alias("side"))
+    blocks = dealt.select(F.concat_ws(":", F.when(i == j, "w").otherwise("x"), F.col("sub").cast("string"), i.cast("string"), j.cast("string")).alias("key"), *MEMBER, (F.col("block") > i).cast("int").alias("side"))
     # Pairs of small buckets, unless both are in one of the groups above.
     few = within.where(F.col("members") <= SMALL_BUCKET).select("band", "rep").join(hot, "rep", "left")
     pairs = few.alias("a").join(few.alias("b"), "band").where("a.rep < b.rep AND (a.sub IS NULL OR b.sub IS NULL OR a.sub <> b.sub)")
-    pairs = materialize(pairs.select(F.col("a.rep").alias("centre"), F.col("b.rep").alias("rep")).distinct())
-    star = pairs.select("centre", "rep", F.lit(1).alias("side")).unionByName(pairs.select("centre", F.col("centre").alias("rep"), F.lit(0).alias("side")).distinct())
-    star = star.join(placed.select("rep", "d1", "weight"), "rep").select(F.concat(F.lit("x:p:"), F.col("centre").cast("string")).alias("key"), "rep", "d1", "weight", "side")
-    found = materialize(verify(docs, materialize(blocks.unionByName(star)), **args))
+    pairs = pairs.select(F.col("a.rep").alias("centre"), F.col("b.rep").alias("rep")).distinct().join(placed.select("rep", "n"), "rep")
+    # A centre's partners, at most SMALL_BUCKET a band, are dealt to tasks of a bounded number of shingles.
+    upto = Window.partitionBy("centre").orderBy("rep").rowsBetween(Window.unboundedPreceding, -1)
+    chunk = F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / GROUP_SHINGLES).cast("string")
+    pairs = materialize(pairs.select(F.concat_ws(":", F.lit("x:p"), F.col("centre").cast("string"), chunk).alias("key"), "centre", "rep"))
+    star = pairs.select("key", "rep", F.lit(1).alias("side")).unionByName(pairs.select("key", F.col("centre").alias("rep"), F.lit(0).alias("side")).distinct())
+    star = star.join(placed.select(*MEMBER), "rep").select("key", *MEMBER, "side")
+    members = materialize(blocks.unionByName(star))
+    found = materialize(verify(rows, members, **args), **SMALL_BATCHES)
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    return links.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "root", "links")
-
-
-def keep_one(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents that stand for their class; rows with a null id all stay."""
-    rows = found.where("doc_id = class_id").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count(F.lit(1)).alias("rows"))
-    rows = materialize(rows)
-    named = docs.where(F.col(doc_id).isNotNull())
-    kept = named.join(bounded(rows.select(doc_id)), doc_id, "left_semi")
-    if not rows.where("rows > 1").isEmpty():
-        kept = kept.dropDuplicates([doc_id])
-    kept = kept.select(*docs.columns)
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    out = materialize(found.groupBy("rep").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "links"))
+    discard(placed, within, hot, pairs, members, found)
+    return out
+
+
+def keep_one(docs: DataFrame, **how: object) -> DataFrame:
+    """One row of each class of near copies, the one of the smallest id (null last;
+    of equal ids any one); ``how`` as in ``near_duplicates``."""
+    rows = keyed(docs)
+    gone = materialize(_classes(rows, **how).where("NOT first").select("r1", "r2"))
+    kept = rows.join(gone.hint("merge"), ["r1", "r2"], "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm._common import materialize, read
+from quire.llm._common import SMALL_BATCHES, materialize, read
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 STEP_TOKENS = 2048 * 256
-CACHED_WORDS = 1_200_000
-HELD_TOKENS = 4_000_000
+CACHED_BYTES = 40_000_000
+ENTRY_BYTES = 200  # of a dictionary entry, beside the word's and its ids' own
+HELD_TOKENS = 2_000_000
+CHUNK = 1_000_000
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -61,18 +63,28 @@ class WordEncoder(dict):
 
     Texts are cut there, and each distinct word is encoded once: the dictionary
     has words with their ids as little-endian unsigned 32-bit numbers.  It is
-    emptied when it has ``CACHED_WORDS`` words.
+    emptied when it takes some ``CACHED_BYTES``.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
+        super().__init__()
+        self.empty()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.marks = {m: self._whole(m) for m in ".,"}
 
+    def empty(self) -> None:
+        self.clear()
+        self[""] = b""
+        self.room = CACHED_BYTES
+
+    def _put(self, word: str, ids: bytes) -> None:
+        self.room -= ENTRY_BYTES + len(word) + len(ids)
+        self[word] = ids
+
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -82,24 +94,33 @@ class WordEncoder(dict):
         return struct.pack(f"<{len(ids)}I", *ids) if (ids := [x.id for x in self.model.tokenize(shown)]) else b""
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-            self[""] = b""
+        if self.room < 0:
+            self.empty()
         stem, mark = (word[:-1], self.marks[word[-1]]) if word[-1] in self.marks else (word, b"")
         # Letters below U+0250 are composed, and all but one have one lower-case letter each.
         if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
             low = stem.lower()
             ids = self.get(low)
             if ids is None:
-                ids = self[low] = self._stem(low)
+                ids = self._stem(low)
+                if low != word:
+                    self._put(low, ids)
             ids += mark
         else:
             ids = self._whole(word)
-        self[word] = ids
+        self._put(word, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        text = text.replace("\n", " ")
+        if len(text) <= CHUNK:
+            return b"".join(map(self.__getitem__, text.split(" ")))
+        found, at = [], 0
+        while at < len(text):  # in parts that end at blanks, so that never all words are in a list
+            end = text.find(" ", at + CHUNK) + 1 or len(text)
+            found.append(b"".join(map(self.__getitem__, text[at:end].split(" "))))
+            at = end
+        return b"".join(found)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -150,7 +171,7 @@ class Packer:
             self._emit(longest, [(doc, at, ids[at : at + longest], len(ids))])
             at += longest
         if at < len(ids):
-            self._hold((doc, at, ids[at:], len(ids)))
+            self._hold((doc, at, ids[at:].copy(), len(ids)))  # a view would keep the whole document
         if self.tokens >= HELD_TOKENS:
             self.pack()
 
@@ -218,8 +239,9 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokeniz
         packer.pack()
         packer.pack(last=True)
         yield packer.flush()
+        words.empty()  # the worker lives on
 
-    pieces = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES_DDL))
+    pieces = materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES_DDL), **SMALL_BATCHES)
     # One row per (task, tier): numbers of windows, and the first number of each.
     counts = pieces.groupBy("task", "tier").agg((F.max("window") + 1).alias("n"), F.sum("length").alias("tokens"))
     by_task = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

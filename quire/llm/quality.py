@@ -8,9 +8,10 @@ Jensen-Shannon distances (base 2, 0 to 1) to its language's reference, is above
 a threshold.  Distances of short documents are noise: ``noise / sqrt(n_words)``
 is taken off, and below ``min_words`` or ``min_chars`` nothing is judged.
 
-One pass over the texts makes a narrow table of counts, which is written to the
+One pass over the texts makes a table of counts, which is written to the
 shared folder; references are aggregates of that table with one row a language,
-and the verdict is a join with them.  Texts are never shuffled.
+and the verdict is a join with them.  ``keep_good`` writes the rows beside their
+counts, so that the verdict needs no join by id.  Texts are never shuffled.
 
 Defined cases: null or empty text has no words and fails the base rules; a null
 language is a language of its own; a language with fewer than ``min_reference``
@@ -52,10 +53,11 @@ def _left_after(text: Column, pattern: str) -> Column:
     return F.char_length(F.regexp_replace(text, pattern, ""))
 
 
-def counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, lang, base counts (long), class_counts and word_counts (arrays)."""
+def counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: bool = False) -> DataFrame:
+    """doc_id, lang, base counts (long), class_counts and word_counts (arrays); with ``rows`` also row, a struct of all columns."""
     t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), t.alias("t"))
+    carried = [F.struct("*").alias("row")] if rows else []
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), t.alias("t"), *carried)
     trimmed = F.btrim("t", F.lit(ASCII_SPACE))
     d = d.withColumn("words", F.when(trimmed == "", F.expr("CAST(array() AS ARRAY<STRING>)")).otherwise(F.split(trimmed, SPACE)))
     d = d.withColumn("n", F.size("words")).withColumn("rest", F.regexp_replace("t", r"[a-z\x20\x09-\x0D]+", ""))
@@ -78,7 +80,7 @@ def counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     d = d.withColumn("found", found)
     others = [_left_after(F.col("rest"), p) for p in CLASSES.values()]
     return d.select(
-        "doc_id", "lang", F.col("n").cast("long").alias("n_words"), "word_chars",
+        *(["row"] if rows else []), "doc_id", "lang", F.col("n").cast("long").alias("n_words"), "word_chars",
         _left_after(F.col("rest"), CLASSES["symbol"]).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(m > 0, F.size(repeated)).otherwise(0).cast("long").alias("n_repeat_words"),
@@ -102,20 +104,32 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when(p.isNotNull() & q.isNotNull(), F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))))
 
 
-def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_divergence: float = MAX_DIVERGENCE, noise: float = NOISE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE) -> DataFrame:
-    """Base counts, base_failed, distances to the language's reference and ``kept``."""
-    c = materialize(counts(docs, doc_id=doc_id, text=text, lang=lang))
+def _verdicts(c: DataFrame, *, max_divergence: float = MAX_DIVERGENCE, noise: float = NOISE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_reference: int = MIN_REFERENCE) -> DataFrame:
+    """Adds base_failed, distances to the language's reference and ``kept`` to a written table of counts."""
     c = c.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     c = c.withColumn("p", _shares(F.col("class_counts"), F.col("n_chars"))).withColumn("w", _shares(F.col("word_counts"), F.col("n_words")))
     usable = c.where(~F.col("base_failed") & (F.col("n_chars") >= min_chars) & (F.col("n_words") >= min_words))
     mean = lambda name, n: F.array(*[F.avg(F.get(name, F.lit(i))) for i in range(n)])
     refs = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("ref_docs"), mean("p", len(CLASSES) + 3).alias("ref_p"), mean("w", len(COMMON_WORDS) + 1).alias("ref_w")).where(F.col("ref_docs") >= min_reference)
+    # Written first: its size is known then, and the other side isn't shuffled to meet a handful of rows.
+    refs = materialize(refs)
     j = c.alias("c").join(refs.alias("r"), F.col("c.lang").eqNullSafe(F.col("r.lang")), "left").drop(F.col("r.lang"))
     j = j.withColumn("char_distance", F.round(js_distance(F.col("p"), F.col("ref_p")), 6)).withColumn("word_distance", F.round(js_distance(F.col("w"), F.col("ref_w")), 6))
     excess = F.col("char_distance") + F.col("word_distance") - noise / F.sqrt("n_words")
     strange = (F.col("n_chars") >= min_chars) & (F.col("n_words") >= min_words) & (excess > max_divergence)
-    kept = ~F.col("base_failed") & ~F.coalesce(strange, F.lit(False))
-    return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "char_distance", "word_distance")
+    return j.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(strange, F.lit(False)))
+
+
+def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **limits: float) -> DataFrame:
+    """Base counts, base_failed, distances to the language's reference and ``kept``; ``limits`` as in ``_verdicts``."""
+    j = _verdicts(materialize(counts(docs, doc_id=doc_id, text=text, lang=lang)), **limits)
+    return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+
+
+def keep_good(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **limits: float) -> DataFrame:
+    """The rows of ``docs`` that are kept, each judged by its own text and language whatever its id."""
+    j = _verdicts(materialize(counts(docs, doc_id=doc_id, text=text, lang=lang, rows=True)), **limits)
+    return j.where("kept").select(*[F.col("row").getField(x).alias(x) for x in docs.columns])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

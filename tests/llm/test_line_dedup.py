@@ -51,6 +51,20 @@ def test_null_ids_come_last(spark):
     assert {r.doc_id: r.text for r in dedup_lines(df).collect()} == {None: "", 4: "the same long line"}
 
 
+def test_rows_of_one_id_or_none(spark):
+    """Rows lose their own repeated lines only, at their own places."""
+    docs = [
+        (1, "a line of text\nown line one"), (7, "own line seven\na line of text"), (7, "a line of text\nanother line of seven"),
+        (None, "first of none\na line of text"), (None, "a line of text\nsecond of none"), (None, "only without id\nx"), (None, "y\nonly without id"), (None, "y\nonly without id"),
+    ]
+    got = sorted(((r.doc_id or 0), r.text, r.n_dropped) for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    named = [(0, "first of none", 1), (0, "second of none", 1), (1, "a line of text\nown line one", 0), (7, "another line of seven", 1), (7, "own line seven", 1)]
+    assert [g for g in got if "only" not in g[1] and g[1] not in ("x", "y")] == named
+    # One of the texts without id keeps their common line, in all its rows.
+    rest = sorted(g[1] for g in got if g not in named)
+    assert rest in (["only without id\nx", "y", "y"], ["x", "y\nonly without id", "y\nonly without id"])
+
+
 def test_higher_threshold(spark):
     docs = [(i, "the same long line\nown line number %d" % i) for i in range(4)] + [(9, "in two documents\nx"), (10, "in two documents\ny")]
     df = spark.createDataFrame(docs, "doc_id long, text string")

@@ -62,9 +62,33 @@ def test_caps_and_edge_rows(spark):
 def test_mixed_documents(spark):
     df = spark.createDataFrame([(i, f"w{i} " * 10, "a" if i < 5 else "b", 1, 2, "k") for i in range(50)], "doc_id long, text string, source string, n_chars long, size int, keep string")
     m = mix(df)
-    out = apply_mix(df, m)
+    out = apply_mix(df)
     words = out.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), r"\s+"))).alias("n")).collect()
     taken = {r.source: r.n for r in m.groupBy("source").agg(F.sum("taken").alias("n")).collect()}
     assert {r.source: r.n for r in words} == taken
     assert out.columns == df.columns and {(r.size, r.keep) for r in out.collect()} == {(2, "k")}
     assert all(r.n_chars == len(r.text) for r in out.collect())
+
+
+@pytest.mark.parametrize("rows", [500, 2])
+def test_mixed_rows_without_or_with_one_id(spark, monkeypatch, rows):
+    """Null and repeated ids are mixed as rows of their own, to the word."""
+    monkeypatch.setattr(mixing, "ROWS_PER_RANGE", rows)
+    data = [(None, f"n{i} " * (i % 5), "a" if i % 3 else None, 7, 8) for i in range(30)] + [(4, "same text here", "b", 7, 8)] * 9 + [(4, f"other {i}", "b", 7, 8) for i in range(9)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, key int, extra int")
+    m = mix(df).collect()
+    want = {}
+    for r in m:
+        want[r.source] = want.get(r.source, 0) + r.taken
+    target = iterated({s: sum(r.size for r in m if r.source == s) for s in want})
+    assert want == {s: int(t + 0.5) for s, t in target.items()}
+    out = apply_mix(df)
+    assert out.columns == df.columns
+    got = dict.fromkeys(want, 0)
+    for r in out.collect():
+        got[r.source] += len(r.text.split())
+        assert (r.key, r.extra) == (7, 8) and r.text.split()
+    assert got == want
+    taken = sorted((r.size, r.taken) for r in m if r.source == "b")
+    assert all(t <= 3 * s for s, t in taken)
+    assert apply_mix(df.limit(0)).collect() == []

@@ -72,11 +72,33 @@ def test_edge_rows(spark):
     rows = [(1, None, 0), (2, "", 0), (3, " \n", 0), (4, "a b", 0), (5, "a\tb", 0), (6, "a b c", 0), (None, "a b", 0), (7, "x " * 5000, 0), (7, "x " * 5000, 0), (8, "x x x x x", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, comp int")
     got = sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in nd.near_duplicates(df).collect())
-    assert got == [(-1, -1, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 1), (5, 4, 1), (6, 6, 0), (7, 7, 2), (7, 7, 2), (8, 7, 2)]
+    assert got == [(-1, 4, 2), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 2), (5, 4, 2), (6, 6, 0), (7, 7, 2), (7, 7, 2), (8, 7, 2)]
     assert nd.near_duplicates(df.limit(0)).collect() == []
 
 
 def test_one_document_of_each_class_stays(spark):
-    df = spark.createDataFrame([(1, "a b c"), (2, "a b c"), (2, "a b c"), (3, "z"), (None, "a b c")], "doc_id long, text string")
-    kept = nd.keep_one(df, nd.near_duplicates(df)).collect()
-    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 3]
+    df = spark.createDataFrame([(1, "a b c", 0), (2, "a b c", 0), (2, "a b c", 0), (3, "z", 0), (None, "a b c", 0), (None, "y", 0), (None, "y", 0), (None, None, 0)], "doc_id long, text string, r1 int")
+    kept = nd.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "y"), (1, "a b c"), (3, "z")]
+
+
+@pytest.mark.parametrize("limits", [(1000, 32, 10**6), (12, 3, 2_000)])
+def test_repeated_ids_with_other_texts(spark, monkeypatch, limits):
+    """Rows are judged by their texts: two families under the same ids, each linked within itself."""
+    for name, value in zip(("GROUP_DOCS", "SMALL_BUCKET", "GROUP_SHINGLES"), limits, strict=True):
+        monkeypatch.setattr(nd, name, value)
+    rng = random.Random(8)
+    one, two = family(rng, 20), family(rng, 20)
+    rows = [(i % 5 if i % 5 else None, t) for i, t in enumerate(one + two)]
+    plain = brute(list(enumerate(t for _, t in rows)))
+    members = {}
+    for i, (root, _) in plain.items():
+        members.setdefault(root, []).append(rows[i][0])
+    want = sorted((rows[i][0] or 0, min((d for d in members[root] if d), default=0), n) for i, (root, n) in plain.items())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.n_links) for r in nd.near_duplicates(df).collect()) == want
+    kept = nd.keep_one(df).collect()
+    assert len(kept) == len(members)
+    text_of = {t: root for (i, (root, _)), (_, t) in zip(plain.items(), rows, strict=True)}
+    assert sorted(text_of[r.text] for r in kept) == sorted(members)

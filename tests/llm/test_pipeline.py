@@ -5,6 +5,7 @@ from llm.test_line_dedup import brute as plain_lines
 from llm.test_near_duplicates import brute as plain_near
 from llm.test_packing import check as check_packing
 
+from quire.llm._common import materialize
 from quire.llm.mixing import mix
 from quire.llm.quality import judge
 
@@ -47,3 +48,17 @@ def test_empty_table_and_nulls(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             d = stage(spark, d, sf).cache()
             d.count()
+
+
+def test_ids_do_not_matter(spark, sf):
+    """Without ids, or with one for all, the filters keep the same texts as with unique ids."""
+    stage = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = lambda d: sorted(r.text for r in d.select("text").collect())
+    want = texts(stage["quality rules"](spark, docs, sf))
+    for same in ("CAST(NULL AS BIGINT)", "CAST(5 AS BIGINT)"):
+        odd = docs.selectExpr(f"{same} AS doc_id", "text", "lang", "source", "n_chars")
+        good = materialize(stage["quality rules"](spark, odd, sf))
+        assert texts(good) == want
+        groups = plain_near(list(enumerate(want)))
+        assert stage["near-duplicate join"](spark, good, sf).count() == len({root for root, _ in groups.values()})
