@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,11 +37,19 @@ PROFILE = 400
 FOLDS = 5
 FLUSH = 1_000_000
 NO_LETTER = re.compile(r"[\W\d_]+")
+#: Numbers beyond decimal digits (fractions, superscripts, Roman numerals), which the class above takes for letters.
+NUMBERS = regex.compile(r" ?(?:\p{N} ?)+")
+
+
+def letters_of(text: str | None) -> str:
+    """Lower-case runs of letters (categories L*), set apart by one blank."""
+    letters = NO_LETTER.sub(" ", (text or "").lower())
+    return (letters if letters.isascii() else NUMBERS.sub(" ", letters)).strip()
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of all n-grams; a code has 21 bits for each character."""
-    letters = NO_LETTER.sub(" ", (text or "").lower()).strip()
+    letters = letters_of(text)
     if not letters:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     points = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), "<u4")

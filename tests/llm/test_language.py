@@ -1,6 +1,7 @@
 """Language identification: held-out accuracy, profiles by brute force, edge rows."""
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -45,6 +46,57 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == truth[r.doc_id].lang for r in held) / len(held) >= 0.98
 
 
+def test_distances_and_winners_against_brute_force(spark, sf):
+    """Lists, distances out of place and winners of the whole table, plainly."""
+    size = 120
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    plain = {r.doc_id: Counter(x for x in plain_words(r.text)) for r in rows}
+    trained = {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            trained.setdefault(r.lang, Counter()).update(plain[r.doc_id])
+    order = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code_of(x[0])))[:size]]
+    places = {lang: {g: i for i, g in enumerate(order(c))} for lang, c in trained.items()}
+    lists = learn(docs.where(~language.held_out(docs.doc_id)), profile=size)
+    assert {lang: [decode(c) for c in codes] for lang, codes in lists.items()} == {lang: list(p) for lang, p in places.items()}
+    got = {r.doc_id: r for r in identify(docs, lists, profile=size).collect()}
+    for r in rows:
+        own = order(plain[r.doc_id])
+        if not own:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        away = {lang: sum(abs(i - p[g]) if g in p else size for i, g in enumerate(own)) for lang, p in places.items()}
+        best = min(sorted(away), key=away.get)
+        assert got[r.doc_id].lang_pred == best
+        assert abs(got[r.doc_id].score - (1 - away[best] / len(own) / size)) < 1e-9
+
+
+def code_of(gram):
+    """Last character in the lowest 21 bits."""
+    return sum(ord(c) << (21 * j) for j, c in enumerate(reversed(gram)))
+
+
+def plain_words(text):
+    """All n-grams of the runs of letters of a text, each run between blanks."""
+    s = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    s = f" {' '.join(s.split())} "
+    if not s.strip():
+        return
+    for n in (1, 2, 3):
+        for i in range(len(s) - n + 1):
+            if s[i : i + n] != " ":
+                yield s[i : i + n]
+
+
+def test_letters_are_of_the_letter_categories(spark):
+    lists = {"en": [ord(c) for c in "etaoin"], "fr": [ord(c) for c in "esaitn"]}
+    texts = ["\u00b2", "\u00bd", "\u2167", "\u2460", "\u0663", "\u0301", "_", "1st\u00bd", "\u00aa", "\u4e2d", "\u00b2\u00b2 e \u2167"]
+    got = [r.lang_pred for r in identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lists).collect()]
+    assert [g == "und" for g in got] == [not any(unicodedata.category(c)[0] == "L" for c in t) for t in texts]
+    assert language.letters_of("A\u00bd \u2167b_3\u00c9") == "a b \u00e9"
+
+
 def test_edge_rows(spark):
     train = [(i, t, lang) for i, (t, lang) in enumerate([("the house and the dog", "en"), ("la maison et le chien", "fr"), (None, "en"), ("", "fr"), ("no label", None)])]
     df = spark.createDataFrame(train, "doc_id long, text string, lang string")
