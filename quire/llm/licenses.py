@@ -10,8 +10,9 @@ too light), so only lines with an anchor are taken apart; nothing is lost by it.
 Headers and licence texts wrap over lines or stand inside longer ones, so the
 text is also read as one run of terms, and passages of a template's length are
 compared with the notices and with longer headers and texts: wherever an anchor
-of a template occurs, the passage that has it in the template's place.  Document
-frequencies are here counted for all terms.  Titles without a version count as
+of a template occurs, the passage that has it in the template's place.  Passages
+are cut inside their row; only distinct ones leave it.  Document frequencies are
+here counted for all terms.  Titles without a version count as
 whole lines, SPDX tags by their identifier.
 
 A file has the licence of its best line; if it has none, or only a reservation
@@ -23,9 +24,9 @@ and joined with the licensed ones by path, then files with their directories.
 
 Defined cases: null or empty text has no licence of its own; a null path is in
 no directory and inherits nothing; of equal cosines the licence first in the
-alphabet wins; very long lines count whole; repeated rows are judged alike, one
-result each; a null id is kept; an empty table gives no rows; other columns are
-ignored.
+alphabet wins; very long lines count whole; each row is judged by its own text
+and path, whatever its id, which may be null or repeated, one result each; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm._common import bounded, materialize, read
+from quire.llm._common import keyed, materialize, read
 
 #: (licence, notice); several notices of one licence are allowed.
 NOTICES = (
@@ -119,10 +120,14 @@ def notice_weights(n_docs: int, df: dict[str, int], notices: Sequence[tuple[str,
     return idf, rows, sorted(anchors)
 
 
-def own_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", notices: Sequence[tuple[str, str]] = NOTICES, passages: Sequence[tuple[str, str]] = PASSAGES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, score (best cosine), found (all licences at the threshold) of documents with one."""
-    spark = docs.sparkSession
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+ROW = ("r1", "r2")
+LONGEST = 10_000  # terms of a template, below
+
+
+def own_licenses(rows: DataFrame, *, text: str = "text", notices: Sequence[tuple[str, str]] = NOTICES, passages: Sequence[tuple[str, str]] = PASSAGES, threshold: float = THRESHOLD) -> DataFrame:
+    """r1, r2, license, score (best cosine), found (all licences at the threshold) of rows (see ``keyed``) with one."""
+    spark = rows.sparkSession
+    d = rows.select(*ROW, F.coalesce(F.col("row").getField(text), F.lit("")).alias("text"))
     templates = (*notices, *passages)
     vocabulary = sorted({t for _, notice in templates for t in terms_of(notice)})
     counts = materialize(d.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
@@ -131,84 +136,103 @@ def own_licenses(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     n_docs = d.count()
     idf, weights, anchors = notice_weights(n_docs, df, notices, threshold)
     pattern = f"(?i)(?<![a-z0-9])(?:{'|'.join(anchors)})(?![a-z0-9])"
-    lines = d.where(F.col("text").rlike(pattern)).select("doc_id", F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))).alias("line"))
+    lines = d.where(F.col("text").rlike(pattern)).select(*ROW, F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(pattern))).alias("line"))
     # Equal lines need one look: lines are keyed by their terms.
-    lines = materialize(lines.select("doc_id", F.array_join(F.sort_array(_terms(F.col("line"))), " ").alias("bag")).distinct())
-    bags = lines.select("bag").distinct()
+    lines = materialize(_bagged(lines.select(*ROW, F.array_join(F.sort_array(_terms(F.col("line"))), " ").alias("bag"))))
+    bags = _distinct(lines)
     rare = math.log(1 + n_docs) + 1
     cosines = _cosines(bags, spark.createDataFrame(sorted(idf.items()), "term string, idf double"), rare, weights, threshold)
     # The order of (-score, license): best first, ties by name.
-    matched = lines.join(cosines, "bag").select("doc_id", "license", "score")
+    matched = lines.select(*ROW, *BAG).join(cosines, [*BAG]).select(*ROW, "license", "score").distinct()
     other = materialize(_passages(d, templates, counts, n_docs, df, threshold).unionByName(_named(d)))
     every = matched.withColumn("line", F.lit(True)).unionByName(other.withColumn("line", F.lit(False)))
     order = F.struct((-F.col("score")).alias("minus"), "license")
     reserved = F.col("license") == RESERVED
-    best = every.groupBy("doc_id").agg(
+    best = every.groupBy(*ROW).agg(
         F.min(F.when(F.col("line"), order)).alias("a"), F.min(F.when(~F.col("line") & ~reserved, order)).alias("b"), F.min(F.when(~F.col("line") & reserved, order)).alias("c"),
         F.coalesce(F.bool_or(F.col("line") & ~reserved), F.lit(False)).alias("plain"), F.sort_array(F.collect_set("license")).alias("found"),
     )
     best = best.withColumn("best", F.when(F.col("plain"), F.col("a")).otherwise(F.coalesce("b", "a", "c")))
-    return best.select("doc_id", F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"), "found")
+    return best.select(*ROW, F.col("best.license").alias("license"), (-F.col("best.minus")).alias("score"), "found")
+
+
+BAG = ("b1", "b2")
+
+
+def _bagged(df: DataFrame) -> DataFrame:
+    """Adds a 128-bit key for the bag, which would else travel with each of its terms."""
+    return df.select("*", F.xxhash64("bag").alias("b1"), F.xxhash64(F.lit(8), "bag").alias("b2"))
+
+
+def _distinct(df: DataFrame) -> DataFrame:
+    return df.groupBy(*BAG).agg(F.first("bag").alias("bag"))
 
 
 def _cosines(bags: DataFrame, idf: DataFrame, rare: float, weights: list[tuple[int, str, str, float]], threshold: float) -> DataFrame:
-    """bag, license, score of the pairs of bags and notices at the threshold."""
-    counted = bags.select("bag", F.explode(F.split("bag", " ")).alias("term")).groupBy("bag", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counted = counted.join(F.broadcast(idf), "term", "left").withColumn("u", (1 + F.log("tf")) * F.coalesce("idf", F.lit(rare)))
-    norms = counted.groupBy("bag").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("norm"))
+    """b1, b2, license, score of the pairs of bags and notices at the threshold."""
+    counted = bags.select(*BAG, F.explode(F.split("bag", " ")).alias("term")).groupBy(*BAG, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = counted.join(idf, "term", "left").withColumn("u", (1 + F.log("tf")) * F.coalesce("idf", F.lit(rare)))
+    norms = counted.groupBy(*BAG).agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("norm"))
     weight_rows = F.broadcast(bags.sparkSession.createDataFrame(weights, "notice int, license string, term string, weight double"))
-    dots = counted.join(weight_rows, "term").groupBy("bag", "notice", "license").agg(F.sum(F.col("u") * F.col("weight")).alias("dot"))
-    return dots.join(norms, "bag").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold).select("bag", "license", "score")
+    dots = counted.join(weight_rows, "term").groupBy(*BAG, "notice", "license").agg(F.sum(F.col("u") * F.col("weight")).alias("dot"))
+    return dots.join(norms, [*BAG]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold).select(*BAG, "license", "score")
 
 
 def _passages(d: DataFrame, templates: Sequence[tuple[str, str]], counts: DataFrame, n_docs: int, df: dict[str, int], threshold: float) -> DataFrame:
-    """doc_id, license, score of passages of the text, whatever lines they are in.
+    """r1, r2, license, score of passages of the text, whatever lines they are in.
 
     A passage at the threshold holds an anchor of its template; it is looked for
     where the anchor would have its place.
     """
-    idf, weights, _ = notice_weights(n_docs, df, templates, threshold)
+    weights = notice_weights(n_docs, df, templates, threshold)[1]
     places: dict[str, set[tuple[int, int]]] = {}
-    for k, (name, body) in enumerate(templates):
+    for name, body in templates:
         terms = terms_of(body)
         for anchor in notice_weights(n_docs, df, [(name, body)], threshold)[2]:
             for i, t in enumerate(terms):
                 if t == anchor:
                     places.setdefault(t, set()).add((i, len(terms)))
-    rows = [(t, sorted(at)) for t, at in sorted(places.items())]
-    at = F.broadcast(d.sparkSession.createDataFrame(rows, "term string, at array<struct<i:int,size:int>>"))
-    held = d.select("doc_id", _terms(F.col("text")).alias("terms"))
-    # A document without enough of any template has no passage at the threshold either.
-    enough = _possible(held, "doc_id", F.col("terms"), weights, threshold)
-    held = held.join(bounded(materialize(enough)), "doc_id", "left_semi")
-    hits = held.select("doc_id", "terms", F.posexplode("terms").alias("pos", "term")).join(at, "term")
-    hits = hits.select("doc_id", "terms", "pos", F.explode("at").alias("x")).withColumn("start", F.col("pos") - F.col("x.i"))
-    passage = F.slice("terms", F.greatest("start", F.lit(0)) + 1, F.col("x.size") + F.least("start", F.lit(0)))
-    found = materialize(hits.select("doc_id", F.array_join(F.sort_array(passage), " ").alias("bag")).distinct())
-    bags = materialize(_possible(found.select("bag").distinct(), "bag", F.split("bag", " "), weights, threshold))
+    anchors = sorted(places)
+    # Of each anchor: the places it has in templates, and the templates' lengths.
+    at = F.array(*[F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(size).cast("long").alias("size")) for i, size in sorted(places[t])]) for t in anchors])
+    pattern = f"(?i)(?<![a-z0-9])(?:{'|'.join(anchors)})(?![a-z0-9])"
+    held = d.where(F.col("text").rlike(pattern)).select(*ROW, _terms(F.col("text")).alias("terms"))
+    # Both columns need the terms, so that they aren't taken apart anew for each hit.
+    names = F.array(*[F.lit(t) for t in anchors])
+    marked = F.filter(F.transform("terms", lambda t, pos: F.when(t.isin(anchors), F.struct(pos.alias("pos"), F.get(at, (F.array_position(names, t) - 1).cast("int")).alias("at")))), lambda x: x.isNotNull())
+    held = held.select(*ROW, "terms", marked.alias("hits"))
+    # A passage's start and size in one number, as equal structs would be looked for pair by pair.
+    starts = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.transform(h["at"], lambda x: (h["pos"] - x["i"]) * LONGEST + x["size"]))))
+
+    def bag(s: Column) -> Column:
+        start, size = F.floor(s / LONGEST).cast("int"), F.pmod(s, F.lit(LONGEST)).cast("int")
+        return F.array_join(F.sort_array(F.slice("terms", F.greatest(start, F.lit(0)) + 1, F.greatest(size + F.least(start, F.lit(0)), F.lit(0)))), " ")
+
+    found = materialize(_bagged(held.select(*ROW, "terms", starts.alias("starts")).select(*ROW, F.explode(F.array_distinct(F.transform("starts", bag))).alias("bag"))))
+    bags = materialize(_possible(_distinct(found), weights, threshold))
     # Frequencies of the passages' terms that no template has; a table of the terms of few documents.
     used = bags.select(F.explode(F.split("bag", " ")).alias("term")).distinct()
     seen = counts.join(used, "term").select("term", (F.log((1 + n_docs) / (1 + F.col("n"))) + 1).alias("idf"))
-    return found.join(_cosines(bags, seen, math.log(1 + n_docs) + 1, weights, threshold), "bag").select("doc_id", "license", "score")
+    return found.select(*ROW, *BAG).join(_cosines(bags, seen, math.log(1 + n_docs) + 1, weights, threshold), [*BAG]).select(*ROW, "license", "score")
 
 
-def _possible(df: DataFrame, key: str, terms: Column, weights: list[tuple[int, str, str, float]], threshold: float) -> DataFrame:
-    """Keys whose terms hold enough of a notice: a cosine is at most the length of the notice's part that is there."""
-    weight_rows = F.broadcast(df.sparkSession.createDataFrame(weights, "notice int, license string, term string, weight double"))
-    part = df.select(key, F.explode(F.array_distinct(terms)).alias("term")).join(weight_rows, "term")
-    part = part.groupBy(key, "notice").agg(F.sum(F.col("weight") * F.col("weight")).alias("part"))
-    return part.where(F.col("part") >= threshold * threshold - 1e-6).select(key).distinct()
+def _possible(bags: DataFrame, weights: list[tuple[int, str, str, float]], threshold: float) -> DataFrame:
+    """Bags that hold enough of a notice: a cosine is at most the length of the notice's part that is there."""
+    weight_rows = F.broadcast(bags.sparkSession.createDataFrame(weights, "notice int, license string, term string, weight double"))
+    part = bags.select(*BAG, F.explode(F.array_distinct(F.split("bag", " "))).alias("term")).join(weight_rows, "term")
+    part = part.groupBy(*BAG, "notice").agg(F.sum(F.col("weight") * F.col("weight")).alias("part"))
+    return bags.join(part.where(F.col("part") >= threshold * threshold - 1e-6).select(*BAG).distinct(), [*BAG])
 
 
 def _named(d: DataFrame) -> DataFrame:
-    """doc_id, license, score (1) of titles that are a whole line, and of SPDX tags."""
+    """r1, r2, license, score (1) of titles that are a whole line, and of SPDX tags."""
     words = F.array_join(_terms(F.col("line")), " ")
-    titles = d.where(F.col("text").rlike("(?i)(mit|apache)[^a-z0-9]+license")).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.char_length("line") <= 80)
+    titles = d.where(F.col("text").rlike("(?i)(mit|apache)[^a-z0-9]+license")).select(*ROW, F.explode(F.split("text", "\n")).alias("line")).where(F.char_length("line") <= 80)
     name = F.coalesce(*[F.when(words == title, licence) for licence, title in TITLES])
-    titles = titles.select("doc_id", name.alias("license"))
-    tags = d.where(F.col("text").rlike(SPDX)).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("tag"))
+    titles = titles.select(*ROW, name.alias("license"))
+    tags = d.where(F.col("text").rlike(SPDX)).select(*ROW, F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("tag"))
     tag = F.regexp_replace(F.regexp_replace("tag", r"(?i)(-only|-or-later|\+)$", ""), r"(?i)^BSD-[0-9]-Clause$", "BSD")
-    both = titles.where("license IS NOT NULL").unionByName(tags.select("doc_id", tag.alias("license")))
+    both = titles.where("license IS NOT NULL").unionByName(tags.select(*ROW, tag.alias("license")))
     return both.distinct().withColumn("score", F.lit(1.0))
 
 
@@ -219,9 +243,11 @@ def directory(path: Column) -> Column:
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", path: str = "path", text: str = "text", notices: Sequence[tuple[str, str]] = NOTICES, threshold: float = THRESHOLD, licence_file: str = LICENCE_FILE) -> DataFrame:
     """doc_id, path, license, score, origin (own, inherited, none), inherited_from."""
-    own = materialize(own_licenses(docs, doc_id=doc_id, text=text, notices=notices, threshold=threshold))
-    files = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).alias("path"), directory(F.col(path)).alias("dir"), F.element_at(F.split(F.col(path), "/"), -1).alias("base"))
-    files = materialize(files.join(own, "doc_id", "left"))
+    rows = keyed(docs)
+    own = materialize(own_licenses(rows, text=text, notices=notices, threshold=threshold))
+    at = F.col("row").getField(path)
+    files = rows.select(*ROW, F.col("row").getField(doc_id).alias("doc_id"), at.alias("path"), directory(at).alias("dir"), F.element_at(F.split(at, "/"), -1).alias("base"))
+    files = materialize(files.join(own, [*ROW], "left"))
     licensed = files.where(F.col("license").isNotNull() & F.col("base").rlike(licence_file)).groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("best"))
     licensed = licensed.select(F.col("dir").alias("above"), F.col("best.license").alias("dir_license"), (-F.col("best.minus")).alias("dir_score"))
     dirs = files.where(F.col("license").isNull() & F.col("dir").isNotNull()).select("dir").distinct()

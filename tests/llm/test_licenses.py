@@ -64,3 +64,20 @@ def test_wrapped_embedded_and_standard_headers(spark):
     df = spark.createDataFrame([r[:3] for r in rows + others], "doc_id long, path string, text string")
     got = {r.doc_id: (r.license, r.origin) for r in scan(df).collect()}
     assert got == {k: (w, "own" if w else "none") for k, _, _, w in rows + others}
+
+
+def test_rows_without_or_with_one_id(spark):
+    """Each row has its own text's licence, and a licence file needs no id for its directory."""
+    rows = [
+        (None, "a/LICENSE", "Released under the MIT License.", "MIT"), (None, "a/x", "code", "MIT"), (None, "b/x", "code", None),
+        (7, "c/x", "Licensed under CC BY 4.0.", "CC-BY-4.0"), (7, "d/x", "other text", None), (7, "e/COPYING", "Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), (7, "e/y", "other text", "CC-BY-NC-4.0"),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")
+    assert sorted((r.path, r.license) for r in scan(df).collect()) == sorted((p, w) for _, p, _, w in rows)
+
+
+def test_a_very_long_licence_file(spark):
+    """Whole texts count, and an anchor on every line costs one short passage each."""
+    mit = dict(licenses.PASSAGES)["MIT"]
+    df = spark.createDataFrame([(1, "a/LICENSE", "word " * 30_000 + mit + " word" * 30_000), (2, "b/x", "license software\n" * 3_000)], "doc_id long, path string, text string")
+    assert {r.doc_id: r.license for r in scan(df).collect()} == {1: "MIT", 2: None}
