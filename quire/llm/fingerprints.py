@@ -7,8 +7,9 @@ The digest is 128 bits of xxhash (two chained 64-bit hashes).  Digests that more
 than one document has are the buckets in which canonical bytes are compared:
 grouping by digest and bytes gives the classes.
 
-Copies of one text are combined by partial aggregation before the shuffle, and
-only texts of documents in buckets of two or more are moved at all.
+Copies of one text are combined by partial aggregation before they are grouped.
+Texts cross two shuffles, one to meet their bucket and one to meet the next
+document, by the same plan at every size.
 
 Defined cases: null text is empty; the empty text is a text like others, with
 its own class; a null id is ordered after all others and never a class id;
@@ -29,7 +30,6 @@ from quire.llm._common import materialize, read
 SPACES = r"[\s\p{Z}]+"
 ROWS_PER_RANGE = 4_000
 MAX_RANGE_BITS = 16
-BROADCAST_ROWS = 1_000_000
 FIRST = -(2**63)
 
 
@@ -48,11 +48,6 @@ def as_text(h1: Column, h2: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")))
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table of narrow rows if there are few enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def classes(docs: DataFrame, narrow: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Classes of equal canonical bytes among documents with a digest in common.
 
@@ -63,7 +58,7 @@ def classes(docs: DataFrame, narrow: DataFrame, *, doc_id: str = "doc_id", text:
     shared = materialize(narrow.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     canon = docs.select(F.col(doc_id).alias("doc_id"), canonical(F.col(text)).alias("canon"))
     h1, h2 = digest(F.col("canon"))
-    rows = canon.withColumn("h1", h1).withColumn("h2", h2).join(_bounded(shared, shared.count()), ["h1", "h2"])
+    rows = canon.withColumn("h1", h1).withColumn("h2", h2).join(shared.hint("merge"), ["h1", "h2"])
     found = materialize(rows.groupBy("h1", "h2", "canon").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")))
     variants = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("variants"))
     single = found.join(variants.where("variants = 1"), ["h1", "h2"]).select("h1", "h2", "class_id", "copies")
@@ -82,12 +77,11 @@ def fingerprint(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 
 def _with_classes(rows: DataFrame, single: DataFrame, collided: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Adds class_id and copies by digest; where texts collide on one, by their bytes."""
-    out = rows.join(_bounded(single, single.count()), ["h1", "h2"], "left")
-    n = collided.count()
-    if n:
+    out = rows.join(single.hint("merge"), ["h1", "h2"], "left")
+    if not collided.isEmpty():
         canon = docs.select(F.col(doc_id).alias("doc_id"), canonical(F.col(text)).alias("canon"))
         h1, h2 = digest(F.col("canon"))
-        exact = canon.withColumn("h1", h1).withColumn("h2", h2).join(_bounded(collided.withColumnRenamed("class_id", "c").withColumnRenamed("copies", "k"), n), ["h1", "h2", "canon"]).select("doc_id", "h1", "h2", "c", "k")
+        exact = canon.withColumn("h1", h1).withColumn("h2", h2).join(collided.withColumnRenamed("class_id", "c").withColumnRenamed("copies", "k"), ["h1", "h2", "canon"]).select("doc_id", "h1", "h2", "c", "k")
         out = out.join(exact.dropDuplicates(["doc_id", "h1", "h2"]), ["doc_id", "h1", "h2"], "left")
         out = out.withColumn("class_id", F.coalesce("c", "class_id")).withColumn("copies", F.coalesce("k", "copies")).drop("c", "k")
     return out.withColumn("class_id", F.coalesce("class_id", "doc_id")).withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
