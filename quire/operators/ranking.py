@@ -84,7 +84,7 @@ def scored_papers(papers: DataFrame) -> DataFrame:
     pre_rank = lambda r: verdict_rank(verdict(r["recommendation_label"]))
     post_rank = lambda r: verdict_rank(verdict(r["post_rebuttal_label"]))
     known = lambda c: F.filter(c, lambda x: x.isNotNull())
-    mean = lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0), lambda a, x: a + x) / F.size(c))
+    mean = lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / F.size(c))
     p = papers.select(
         "year", "paper_id", "title", "url", F.when(F.size("subject_areas") > 0, short_subject(F.get("subject_areas", F.lit(0)))).otherwise("n/a").alias("subject"),
         F.coalesce("early_accepted", F.lit(False)).alias("early"), "presentation_type",
