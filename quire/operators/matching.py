@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -146,18 +146,27 @@ def best_guesses(matched: DataFrame, papers: DataFrame, block: str = "year") ->
 def contained_in(needles: DataFrame, hay: DataFrame, *, needle_id: str, needle: str, hay_id: str, text: str, words: int = 5) -> DataFrame:
     """(needle_id, hay_id) where the needle stands whole in the text.
 
-    Candidates share the needle's first ``words`` words as a window; the full
-    text then decides.  Needles of fewer words are looked for as one window.
+    A needle may begin and end inside words of the text, but the words between
+    its first and last one stand there as they are: candidates share the first
+    ``words`` of those as a window, and the full text then decides.  A needle of
+    one or two words has none between; it is found where it begins and ends with
+    words.  Null and blank needles are found nowhere.
     """
     split = lambda c: F.split(F.trim(F.regexp_replace(F.col(c), r"\s+", " ")), " ")
-    first = F.array_join(F.slice(split(needle), 1, words), " ")
-    a = needles.select(F.col(needle_id).alias("needle_id"), F.col(needle).alias("needle"), first.alias("w"))
-    keys = F.broadcast(a.select("w").distinct()) if needles.count() <= 100_000 else a.select("w").distinct()
+    n = F.size("parts")
+    a = needles.select(F.col(needle_id).alias("needle_id"), F.col(needle).alias("needle"), split(needle).alias("parts")).where(F.trim("needle") != "")
+    a = a.withColumn("m", F.when(n > 2, F.least(F.lit(words), n - 2)).otherwise(n))
+    a = a.withColumn("w", F.array_join(F.slice("parts", F.when(n > 2, 2).otherwise(1), F.col("m")), " "))
+    lengths = sorted(r.m for r in a.select("m").distinct().collect())  # ``words`` numbers at most
+    keys = a.select("w").distinct()
     b = hay.select(F.col(hay_id).alias("hay_id"), F.col(text).alias("text"))
     # The words are a column of their own: inside the lambda they would be split for each window.
     parts = b.select("hay_id", split("text").alias("parts"))
-    last = F.greatest(F.size("parts") - words + 1, F.lit(1))
-    windows = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice("parts", i, F.lit(words)), " "))
-    hits = parts.select("hay_id", F.explode(F.array_distinct(windows)).alias("w")).join(keys, "w", "left_semi")
+
+    def windows(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("parts", i, F.lit(k)), " "))
+
+    every = F.flatten(F.array(*[windows(k) for k in lengths or [words]]))
+    hits = parts.select("hay_id", F.explode(F.array_distinct(every)).alias("w")).join(keys, "w", "left_semi")
     pairs = hits.join(a.select("needle_id", "needle", "w"), "w").select("hay_id", "needle_id", "needle").distinct()
     return pairs.join(b, "hay_id").where(F.contains("text", F.col("needle"))).select("needle_id", "hay_id")

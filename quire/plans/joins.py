@@ -33,6 +33,13 @@ def exact_containment(t: Tables) -> DataFrame:
     return matching.contained_in(t.benchmark, t.documents, needle_id="item_id", needle="text", hay_id="doc_id", text="text")
 
 
+@query("SELECT item_id AS needle_id, doc_id AS hay_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 3, 34))")
+def inner_containment(t: Tables) -> DataFrame:
+    """Short pieces of benchmark items, cut inside words, that stand in a document."""
+    pieces = t.benchmark.select("item_id", F.substring("text", 3, 34).alias("text"))
+    return matching.contained_in(pieces, t.documents, needle_id="item_id", needle="text", hay_id="doc_id", text="text")
+
+
 @query()
 def fuzzy_match_cascade(t: Tables) -> DataFrame:
     """Part names with a lost or doubled letter, matched to the parts of their type."""

@@ -65,6 +65,14 @@ def test_containment(spark):
     assert (1, 10) in got and (3, 10) not in got and (1, 13) not in got
 
 
+def test_containment_of_short_needles_and_inner_starts(spark):
+    needles = [(1, "two three four"), (2, "wo three fo"), (3, "ne two three four five si"), (4, "short one"), (5, "absent"), (6, " "), (7, None), (8, "three  four five six")]
+    hay = [(10, "one two three four five six seven"), (11, "a short one"), (12, None), (13, "three  four five six"), (14, "two three")]
+    a, b = spark.createDataFrame(needles, "i long, t string"), spark.createDataFrame(hay, "d long, t string")
+    got = sorted(tuple(r) for r in matching.contained_in(a, b, needle_id="i", needle="t", hay_id="d", text="t").collect())
+    assert got == sorted((i, d) for i, x in needles for d, y in hay if (x or "").strip() and y and x in y)
+
+
 def test_every_part_is_a_talk(spark, sf):
     from quire.plans.catalog import QUERIES
 
