@@ -59,7 +59,9 @@ def classes(docs: DataFrame, narrow: DataFrame, *, doc_id: str = "doc_id", text:
     canon = docs.select(F.col(doc_id).alias("doc_id"), canonical(F.col(text)).alias("canon"))
     h1, h2 = digest(F.col("canon"))
     rows = canon.withColumn("h1", h1).withColumn("h2", h2).join(shared.hint("merge"), ["h1", "h2"])
-    found = materialize(rows.groupBy("h1", "h2", "canon").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")))
+    found = rows.groupBy("h1", "h2", "canon").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    # A third of all rows may be copies of one text: their side of the join is split, and combined again.
+    found = materialize(found, **{"spark.sql.adaptive.forceOptimizeSkewedJoin": "true"})
     variants = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("variants"))
     single = found.join(variants.where("variants = 1"), ["h1", "h2"]).select("h1", "h2", "class_id", "copies")
     collided = found.join(variants.where("variants > 1"), ["h1", "h2"]).select("h1", "h2", "canon", "class_id", "copies")
