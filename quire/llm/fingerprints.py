@@ -63,7 +63,8 @@ def classes(docs: DataFrame, narrow: DataFrame, *, doc_id: str = "doc_id", text:
     # A third of all rows may be copies of one text: their side of the join is split, and combined again.
     found = materialize(found, **{"spark.sql.adaptive.forceOptimizeSkewedJoin": "true"})
     variants = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("variants"))
-    single = found.join(variants.where("variants = 1"), ["h1", "h2"]).select("h1", "h2", "class_id", "copies")
+    # Written, so that the join with it is one of two plain shuffles, whose hot buckets Spark can split.
+    single = materialize(found.join(variants.where("variants = 1"), ["h1", "h2"]).select("h1", "h2", "class_id", "copies"))
     collided = found.join(variants.where("variants > 1"), ["h1", "h2"]).select("h1", "h2", "canon", "class_id", "copies")
     return single, collided
 
