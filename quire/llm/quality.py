@@ -46,7 +46,8 @@ CLASSES = {
     "beyond_ascii": r"[\x00-\x7F]+",
 }
 MIN_CHARS, MIN_WORDS, MIN_REFERENCE = 200, 50, 20
-MAX_DIVERGENCE, NOISE = 0.38, 1.0
+#: Chosen on the labels of even ids of a table of 10,000 documents, among bounds that lose no more good documents than others.
+MAX_DIVERGENCE, NOISE = 0.32, 1.4
 
 
 def _left_after(text: Column, pattern: str) -> Column:
