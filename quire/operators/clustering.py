@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.ml.clustering import KMeans
@@ -67,17 +68,22 @@ def project_2d(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
 
 
 def partition_fingerprint(assignments: DataFrame, key: str = "paper_id", cluster: str = "cluster_id", chunk_bits: int = 0) -> DataFrame:
-    """One row: SHA-256 of the sorted lines ``key TAB cluster``.
+    """One row: SHA-256 of the sorted lines ``key TAB cluster``, and their number n.
 
-    The digest is of one text by definition, so its lines meet in one place;
-    with ``chunk_bits`` lines are hashed by ranges of their hash first, which
-    scales but gives another digest.
+    The lines are sorted by ranges and pass through the driver in order, a
+    partition at a time, into one running digest; they are never held together.
+    With ``chunk_bits`` they are hashed by ranges of their hash first, which
+    needs no single stream but gives another digest.
     """
     line = F.concat(F.col(key).cast("string"), F.lit("\t"), F.col(cluster).cast("string"), F.lit("\n"))
     rows = assignments.where(F.col(cluster).isNotNull()).select(F.col(key).cast("string").alias("k"), line.alias("line"))
-    text = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda s: s["line"]), "")
     if not chunk_bits:
-        return rows.agg(F.sha2(text(), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+        digest, n = hashlib.sha256(), 0
+        for r in rows.orderBy(F.asc_nulls_last("k"), "line").select("line").toLocalIterator():
+            digest.update((r.line or "").encode())
+            n += 1
+        return assignments.sparkSession.createDataFrame([(digest.hexdigest(), n)], "fingerprint string, n long")
+    text = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda s: s["line"]), "")
     parts = rows.groupBy(F.shiftrightunsigned(F.xxhash64("k"), 64 - chunk_bits).alias("part")).agg(F.sha2(text(), 256).alias("h"), F.count(F.lit(1)).alias("n"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda s: s["h"]), ""), 256).alias("fingerprint"), F.sum("n").alias("n"))
 

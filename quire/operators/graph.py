@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quire.runtime import discard, materialize
+from quire.runtime import discard, materialize, ship
 
-#: Largest graph (edges) that communities and layout take to the driver.
-MAX_DRIVER_EDGES = 200_000
+#: Largest graph that the layout takes to the driver; its forces are arrays of vertices by vertices.
+MAX_DRIVER_EDGES, MAX_LAYOUT_VERTICES = 200_000, 3_000
+#: Edges of a component that one task merges into communities (some 500 bytes each).
+MAX_COMPONENT_EDGES = 2_000_000
 
 
 def cooccurrence(items: DataFrame, group: str, item: str, keep: DataFrame | None = None) -> DataFrame:
@@ -81,12 +86,14 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, u:
     return out
 
 
-def greedy_modularity(edges: list[tuple[str, str, float]], nodes: list[str]) -> list[list[str]]:
-    """Communities by merging the pair that raises modularity most; ties by smallest members.
+def greedy_modularity(edges: list[tuple[str, str, float]], nodes: list[str], total: float | None = None) -> list[list[str]]:
+    """Communities by merging the pair that raises modularity most; ties (to 12 places) by smallest members.
 
-    The groups come largest first, equal sizes by smallest member.
+    ``total`` is the weight of the whole graph where ``edges`` are one component
+    of it.  Pairs wait in a heap; an entry counts while neither side has merged
+    since.  The groups come largest first, equal sizes by smallest member.
     """
-    total = sum(w for _, _, w in edges)
+    total = total or sum(w for _, _, w in edges)
     if not total:
         return sorted(([n] for n in nodes))
     member = {n: [n] for n in nodes}
@@ -97,17 +104,20 @@ def greedy_modularity(edges: list[tuple[str, str, float]], nodes: list[str]) ->
         strength[b] += w / (2 * total)
         between[a][b] = between[a].get(b, 0) + w / (2 * total)
         between[b][a] = between[b].get(a, 0) + w / (2 * total)
-    while True:
-        best, pair = 1e-12, None
-        for a in sorted(between):
-            for b, w in between[a].items():
-                if a < b:
-                    gain = 2 * (w - strength[a] * strength[b])
-                    if gain > best + 1e-12 or (pair and abs(gain - best) <= 1e-12 and (a, b) < pair):
-                        best, pair = gain, (a, b)
-        if pair is None:
+    merges = dict.fromkeys(nodes, 0)
+
+    def entry(a: str, b: str) -> tuple[float, str, str, int, int]:
+        a, b = min(a, b), max(a, b)
+        return -round(2 * (between[a][b] - strength[a] * strength[b]), 12), a, b, merges[a], merges[b]
+
+    heap = [entry(a, b) for a in between for b in between[a] if a < b]
+    heapq.heapify(heap)
+    while heap:
+        loss, a, b, at_a, at_b = heapq.heappop(heap)
+        if loss >= 0:
             break
-        a, b = pair
+        if merges.get(a) != at_a or merges.get(b) != at_b:
+            continue
         member[a] += member.pop(b)
         for c, w in between.pop(b).items():
             between[c].pop(b, None)
@@ -115,27 +125,51 @@ def greedy_modularity(edges: list[tuple[str, str, float]], nodes: list[str]) ->
                 between[a][c] = between[a].get(c, 0) + w
                 between[c][a] = between[a][c]
         strength[a] += strength.pop(b)
+        merges[a] += 1
+        del merges[b]
+        for c in between[a]:
+            heapq.heappush(heap, entry(a, c))
     return sorted((sorted(m) for m in member.values()), key=lambda m: (-len(m), m[0]))
 
 
-def _local(edges: DataFrame, vertices: DataFrame) -> tuple[list[tuple[str, str, float]], list[str]]:
-    """The graph on the driver, if it is small enough."""
-    n = edges.count()
-    if n > MAX_DRIVER_EDGES:
-        raise ValueError(f"{n} edges; at most {MAX_DRIVER_EDGES} are taken to the driver, raise the minimum support")
-    return [(r.u, r.v, float(r.weight)) for r in edges.orderBy("u", "v").collect()], [r.id for r in vertices.select("id").orderBy("id").collect()]
-
-
 def communities(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """id, community (0 is the largest).
+    """id, community (0 is the largest, equal sizes by smallest member).
 
-    Greedy modularity is sequential; it runs on the driver over the graph of
-    active items, whose size is checked.
+    Greedy modularity merges neighbours only, and beside the graph's total
+    weight a gain depends on nothing outside its component; so components are
+    merged apart, each in a task, and the result is that of the whole graph.
+    Within a component the method is sequential: one of more than
+    ``MAX_COMPONENT_EDGES`` edges is an error, never cut.
     """
-    local, nodes = _local(edges, vertices)
-    rows = [(n, i) for i, group in enumerate(greedy_modularity(local, nodes)) for n in group]
+    ship(edges.sparkSession)
     kind = vertices.schema["id"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame(rows, f"id {kind}, community int")
+    held = materialize(edges.select("u", "v", F.col("weight").cast("double").alias("weight")))
+    parts = materialize(connected_components(held, vertices))
+    total = held.agg(F.sum("weight")).first()[0] or 0.0
+    linked = held.join(parts.withColumnRenamed("id", "u"), "u")
+    most = linked.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > MAX_COMPONENT_EDGES:
+        raise ValueError(f"a component of {most} edges; at most {MAX_COMPONENT_EDGES} are merged in one task, raise the minimum support")
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        links = list(zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["weight"].tolist(), strict=True))
+        groups = greedy_modularity(sorted(links), sorted({x for a, b, _ in links for x in (a, b)}), total)
+        return pd.DataFrame([(x, g[0], len(g)) for g in groups for x in g], columns=["id", "first", "size"])
+
+    found = materialize(linked.groupBy("component").applyInPandas(merged, f"id {kind}, first {kind}, size long"))
+    lone = vertices.select("id").distinct().join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("first"), F.lit(1).cast("long").alias("size"))
+    every = found.unionByName(lone)
+    # One row a community is numbered, not one a vertex.
+    order = every.select("first", "size").distinct().select("first", (F.row_number().over(Window.orderBy(F.desc("size"), "first")) - 1).alias("community"))
+    return every.join(order, "first").select("id", "community")
+
+
+def _local(edges: DataFrame, vertices: DataFrame) -> tuple[list[tuple[str, str, float]], list[str]]:
+    """The graph on the driver, if it is small enough."""
+    for n, most, what in ((edges.count(), MAX_DRIVER_EDGES, "edges"), (vertices.count(), MAX_LAYOUT_VERTICES, "vertices")):
+        if n > most:
+            raise ValueError(f"{n} {what}; at most {most} are taken to the driver, raise the minimum support")
+    return [(r.u, r.v, float(r.weight)) for r in edges.orderBy("u", "v").collect()], [r.id for r in vertices.select("id").orderBy("id").collect()]
 
 
 def spring_layout(edges: DataFrame, vertices: DataFrame, rounds: int = 50, seed: int = 42) -> DataFrame:

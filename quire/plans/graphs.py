@@ -58,10 +58,8 @@ def connected_components_all(t: Tables) -> DataFrame:
 
 @query()
 def communities(t: Tables) -> DataFrame:
-    """Greedy modularity over the strongest pairs of suppliers."""
-    e = pairs(t).orderBy(F.desc("weight"), "u", "v").limit(300)
-    v = e.select(F.col("u").alias("id")).union(e.select("v")).distinct()
-    return graph.communities(e, v)
+    """Greedy modularity over all pairs of suppliers."""
+    return graph.communities(pairs(t), t.lineitem.where("l_suppkey IS NOT NULL").select(F.col("l_suppkey").alias("id")).distinct())
 
 
 @query("""

@@ -1,6 +1,8 @@
 """Papers from pages to metrics, ranks, browsing, exports and ingestion."""
 
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -242,6 +244,48 @@ def test_graph(spark):
     assert graph.spring_layout(e, v).count() == 4
 
 
+def plain_communities(edges, nodes):
+    """Merges the pair of largest gain, found by looking at all pairs each time."""
+    total = sum(w for *_, w in edges)
+    groups = {n: {n} for n in nodes}
+    while True:
+        weight = {}
+        where = {x: n for n, g in groups.items() for x in g}
+        strength = dict.fromkeys(groups, 0.0)
+        for a, b, w in edges:
+            strength[where[a]] += w / (2 * total)
+            strength[where[b]] += w / (2 * total)
+            if where[a] != where[b]:
+                key = tuple(sorted((where[a], where[b])))
+                weight[key] = weight.get(key, 0) + w / (2 * total)
+        gains = sorted((-round(2 * (w - strength[a] * strength[b]), 12), a, b) for (a, b), w in weight.items())
+        if not gains or gains[0][0] >= 0:
+            return {x: i for i, g in enumerate(sorted((sorted(g) for g in groups.values()), key=lambda g: (-len(g), g[0]))) for x in g}
+        _, a, b = gains[0]
+        groups[a] |= groups.pop(b)
+
+
+def test_communities_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    # three components of their own sizes, and two vertices without an edge
+    edges = [(a, b, rng.randint(1, 4)) for lo, hi, p in ((0, 25, 0.25), (30, 45, 0.3), (50, 53, 1.0)) for a in range(lo, hi) for b in range(a + 1, hi) if rng.random() < p]
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)} | {98, 99})
+    e = spark.createDataFrame(edges, "u long, v long, weight long")
+    v = spark.createDataFrame([(n,) for n in nodes], "id long")
+    assert {r.id: r.community for r in graph.communities(e, v).collect()} == plain_communities(edges, nodes)
+    assert {r.id: r.community for r in graph.communities(e.limit(0), v).collect()} == {n: i for i, n in enumerate(nodes)}
+    monkeypatch.setattr(graph, "MAX_COMPONENT_EDGES", 2)
+    with pytest.raises(ValueError, match="component of"):
+        graph.communities(e, v)
+
+
+def test_fingerprint_is_of_the_sorted_lines(spark):
+    rows = [("b", 1), ("a", 2), ("é", 3), ("B", 4), ("a\U0001f600", 5), ("x", None)]
+    lines = sorted(f"{k}\t{c}\n".encode() for k, c in rows if c is not None)
+    got = clustering.partition_fingerprint(spark.createDataFrame(rows, "paper_id string, cluster_id int").repartition(3)).first()
+    assert (got.fingerprint, got.n) == (hashlib.sha256(b"".join(lines)).hexdigest(), 5)
+
+
 def test_components_of_a_path(spark):
     n = 200
     e = spark.createDataFrame([(i, i + 1) for i in range(n)], "u long, v long")
