@@ -7,6 +7,7 @@ UDFs, because no built-in has the same result.
 
 from __future__ import annotations
 
+import bisect
 import unicodedata
 
 import numpy as np
@@ -337,30 +338,59 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * lcs / (len(a) + len(b))
 
 
-def _letters(strings: list[str]) -> np.ndarray:
-    """Counts of characters, folded to 64 classes, one row a string."""
-    out = np.zeros((len(strings), 64), np.int16)
-    for i, s in enumerate(strings):
-        points = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4")
-        np.add.at(out[i], points % 64, 1)
-    return out
+def _steps(values: list[np.ndarray], classes: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by class as 0 and 1, one column a level of a class, and how many are above the levels."""
+    out = np.zeros((len(values), levels, classes), np.float32)
+    rest = np.zeros(len(values))
+    for i, v in enumerate(values):
+        n = np.bincount(v % classes, minlength=classes)
+        out[i] = n > np.arange(levels)[:, None]
+        rest[i] = np.maximum(n - levels, 0).sum()
+    return out.reshape(len(values), -1), rest
 
 
-@vectorised("double")
-def similarity_above(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
-    """The ratio of pairs that may reach ``least``, null for pairs that can't.
+def _shared(a: list[np.ndarray], b: list[np.ndarray], classes: int, levels: int) -> np.ndarray:
+    """At least the number of values that two lists have in common, for each pair of lists."""
+    (x, p), (y, q) = _steps(a, classes, levels), _steps(b, classes, levels)
+    return x @ y.T + np.minimum(p[:, None], q)
+
 
-    A common subsequence has no more of a character than either string, so
-    counts of characters bound the ratio from above.
+def ratio_bounds(a: list[str], b: list[str]) -> np.ndarray:
+    """Upper bounds of ``indel_ratio``, one row for each of ``a``.
+
+    A common subsequence of length L has no more of a character than either
+    string.  Of its L - 1 steps at most m + n - 2 L pass over characters, and the
+    others are adjacent pairs of both: these have at least 3 L - m - n - 1 pairs
+    in common.  Characters and pairs are folded to classes, which can only raise
+    what is shared.
     """
-    x, left = pd.factorize(a)
-    y, right = pd.factorize(b)
-    if (x < 0).any() or (y < 0).any():
-        return pd.Series([None if s is None or t is None else indel_ratio(s, t) for s, t in zip(a, b, strict=True)], dtype="float64")
-    shared = np.minimum(_letters(list(left))[x], _letters(list(right))[y]).sum(axis=1, dtype=np.int64)
-    total = a.str.len().to_numpy() + b.str.len().to_numpy()
-    possible = (total == 0) | (200.0 * shared >= least.to_numpy() * total - 1e-9)
-    return pd.Series([indel_ratio(s, t) if p else None for s, t, p in zip(a, b, possible, strict=True)], dtype="float64")
+    x, y = ([np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64) for s in t] for t in (a, b))
+    m, n = np.array([len(v) for v in x])[:, None], np.array([len(v) for v in y])
+    pairs = _shared([v[:-1] * 31 + v[1:] for v in x], [v[:-1] * 31 + v[1:] for v in y], 1024, 2)
+    longest = np.minimum(np.minimum(m, n), np.minimum(_shared(x, y, 64, 8), np.floor((pairs + (m + n + 1)) / 3)))
+    return np.where(m + n == 0, 100.0, 200.0 * longest / np.maximum(m + n, 1))
+
+
+def most_alike(a: list[str], b: list[str], least: float, top: int) -> list[tuple[int, str, float]]:
+    """(place in ``a``, string of ``b``, ratio): for each of ``a`` the ``top`` best at ``least`` or more, equal ones by string.
+
+    Strings are tried from the highest bound down, until no bound can reach the worst one held.
+    """
+    out = []
+    bounds = ratio_bounds(a, b)
+    for i, s in enumerate(a):
+        row = bounds[i]
+        tried = np.flatnonzero(row >= least - 1e-9)
+        held: list[tuple[float, str]] = []
+        for j in tried[np.argsort(-row[tried])]:
+            if len(held) == top and row[j] < -held[-1][0] - 1e-9:
+                break
+            score = indel_ratio(s, b[j])
+            if score >= least:
+                bisect.insort(held, (-score, b[j]))
+                del held[top:]
+        out += [(i, t, -score) for score, t in held]
+    return out
 
 
 @vectorised("double")

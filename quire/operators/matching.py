@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.text import author_surnames, last_first, normalize_title, normalize_title_casefold, similarity, similarity_above, speaker_surname
-from quire.runtime import ship
+from quire.functions.text import author_surnames, last_first, most_alike, normalize_title, normalize_title_casefold, speaker_surname
+from quire.runtime import materialize, ship
 
 ACCEPT, MARGIN, CONSIDER, RANKED = 92.0, 3.0, 82.0, 3
-BROADCAST_TITLES = 200_000
+#: Talks and titles, about, that one task compares at a time.
+TILE = 1000
 
 
 def attach_types(papers: DataFrame, talks: DataFrame, default: str = "poster") -> DataFrame:
@@ -74,6 +78,42 @@ def canonical_names(names: DataFrame, lookup: DataFrame, name: str = "name") ->
     return out.select(*names.columns, F.when(hit, F.col("_c")).otherwise(F.col("_p.name")).alias("canonical"), F.when(hit, "lookup").otherwise(F.col("_p.rule")).alias("rule"))
 
 
+def alike(talks: DataFrame, titles: DataFrame, least: float, top: int) -> DataFrame:
+    """(_b, ord, title, score): the ``top`` titles of a talk's block most alike at ``least`` or more, or somewhat more rows.
+
+    ``talks``: (_b, ord, norm), ``titles``: (_b, norm), both without repeated
+    rows.  Lengths in a ratio of more than (200 - least) / least can't reach
+    ``least``: titles are banded by length so that a talk meets three bands.
+    What is left of a block is cut on both sides, by hash, into parts of about
+    TILE rows; a task compares one part with one, by bounds first, and no pair is
+    a row.  Each part gives its ``top``, so the caller ranks what comes back.
+    Nulls are alike to nothing; an empty string only to an empty one.
+    """
+    if least > 0:
+        step = math.log(1.001 * (200 - least) / least)
+        band = F.floor(F.log(F.greatest(F.char_length("norm"), F.lit(1))) / step).cast("int")
+        bands = F.sequence(band - 1, band + 1)
+    else:
+        band, bands = F.lit(0), F.array(F.lit(0))
+    a = talks.where("norm IS NOT NULL").select("_b", "ord", "norm", F.explode(bands).alias("_band"))
+    b = titles.where("norm IS NOT NULL").select("_b", F.col("norm").alias("title"), band.alias("_band"))
+    parts = lambda df, n: df.groupBy("_b", "_band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(n))
+    sizes = parts(a, "_ps").join(parts(b, "_qs"), ["_b", "_band"])
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    key = ["_b", "_band", "_p", "_q"]
+    a = a.join(sizes, ["_b", "_band"]).select("_b", "_band", own("ord", "_ps").alias("_p"), other("_qs").alias("_q"), "ord", "norm")
+    b = b.join(sizes, ["_b", "_band"]).select("_b", "_band", other("_ps").alias("_p"), own("title", "_qs").alias("_q"), "title")
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = most_alike(list(x["norm"]), list(y["title"]), least, top) if len(x) and len(y) else []
+        rows = x.iloc[[i for i, _, _ in found]]
+        return pd.DataFrame({"_b": rows["_b"].to_numpy(), "ord": rows["ord"].to_numpy(), "title": [t for _, t, _ in found], "score": [s for _, _, s in found]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in a.schema.fields}
+    return a.groupBy(key).cogroup(b.groupBy(key)).applyInPandas(best, f"_b {kinds['_b']}, ord {kinds['ord']}, title string, score double")
+
+
 def match_talks(talks: DataFrame, papers: DataFrame, overrides: DataFrame, *, block: str = "year") -> DataFrame:
     """talks plus paper_id, match (override, skipped, exact, fuzzy, speaker, unmatched), best_title, best_score.
 
@@ -97,23 +137,17 @@ def match_talks(talks: DataFrame, papers: DataFrame, overrides: DataFrame, *, bl
     e = titles.where("n = 1").select(F.col("_b"), F.col("norm").alias("_norm"), F.col("one").alias("_exact"))
     t = t.join(e, (F.col(block) == F.col("_b")) & (F.col("norm") == F.col("_norm")), "left").drop("_b", "_norm")
     settled = F.col("is_skip").isNotNull() | F.col("_exact").isNotNull()
-    open_ = t.where(~settled).select(F.col(block).alias("_b"), "ord", "norm", "speaker")
-    # Titles below CONSIDER settle nothing; whether a pair may reach it is a bound that is cheap to have.
-    long = F.greatest(F.char_length("norm"), F.char_length("title"))
-    both = F.char_length("norm") + F.char_length("title")
-    # Few blocks would mean few tasks: talks are dealt one by one, and titles sent to them if they are few enough.
-    side = titles.withColumnRenamed("norm", "title")
-    side = F.broadcast(side) if titles.count() <= BROADCAST_TITLES else side
-    tasks = max(talks.sparkSession.sparkContext.defaultParallelism, int(talks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = open_.repartition(tasks, "_b", "ord").join(side, "_b").where(200 * (both - long) >= CONSIDER * both)
-    scored = pairs.withColumn("score", similarity_above("norm", "title", F.lit(CONSIDER))).where(F.col("score") >= CONSIDER)
+    open_ = materialize(t.where(~settled & F.col("ord").isNotNull()).select(F.col(block).alias("_b"), "ord", "norm", "speaker").distinct())
+    titles = materialize(titles)
+    # Titles below CONSIDER settle nothing.
+    scored = alike(open_.select("_b", "ord", "norm").distinct(), titles, CONSIDER, RANKED).join(titles.withColumnRenamed("norm", "title"), ["_b", "title"])
     by_talk = Window.partitionBy("_b", "ord").orderBy(F.desc("score"), "title")
     ranked = scored.withColumn("rank", F.row_number().over(by_talk)).where(F.col("rank") <= RANKED)
     best = ranked.groupBy("_b", "ord").agg(
         F.max(F.when(F.col("rank") == 1, F.struct("title", "score", "n", "one"))).alias("b"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0)).alias("second"),
     )
     near = p.withColumn("names", author_surnames("authors"))
-    speaking = ranked.where((F.col("score") >= CONSIDER) & F.col("speaker").isNotNull()).withColumn("surname", speaker_surname(F.col("speaker")))
+    speaking = ranked.join(open_.where("speaker IS NOT NULL").select("_b", "ord", "speaker"), ["_b", "ord"]).withColumn("surname", speaker_surname(F.col("speaker")))
     by_name = speaking.join(near.select(F.col("_b"), F.col("norm").alias("title"), "paper_id", "names"), ["_b", "title"]).where(F.array_contains("names", F.col("surname")))
     by_name = by_name.groupBy("_b", "ord").agg(F.min(F.struct("rank", "paper_id")).alias("s"))
     f = best.join(by_name, ["_b", "ord"], "left").select(F.col("_b").alias("_bf"), F.col("ord").alias("_of"), "b", "second", F.col("s.paper_id").alias("_speaker"))
@@ -135,12 +169,14 @@ def talk_of_paper(matched: DataFrame, block: str = "year") -> DataFrame:
 
 
 def best_guesses(matched: DataFrame, papers: DataFrame, block: str = "year") -> DataFrame:
-    """block, title_raw, best_title, best_score of the unmatched talks, however far the best title is."""
-    titles = papers.select(F.col(block), normalize_title(F.col("title")).alias("title")).distinct()
-    left = matched.where(F.col("match") == "unmatched").select(block, "ord", "title_raw").withColumn("norm", normalize_title(F.col("title_raw")))
-    scored = left.join(titles, block, "left").withColumn("score", similarity("norm", "title"))
-    best = F.max(F.struct("score", "title"))
-    return scored.groupBy(block, "ord", "title_raw").agg(best.alias("b")).select(block, "title_raw", F.col("b.title").alias("best_title"), F.col("b.score").alias("best_score"))
+    """block, title_raw, best_title, best_score of the unmatched talks, however far the best title is; of equal ones the first."""
+    ship(matched.sparkSession)
+    titles = materialize(papers.select(F.col(block).alias("_b"), normalize_title(F.col("title")).alias("norm")).distinct())
+    left = matched.where(F.col("match") == "unmatched").select(F.col(block).alias("_b"), "ord", "title_raw", normalize_title(F.col("title_raw")).alias("norm"))
+    left = materialize(left)
+    found = alike(left.where("ord IS NOT NULL").select("_b", "ord", "norm").distinct(), titles, 0.0, 1)
+    best = found.groupBy("_b", "ord").agg(F.min_by("title", F.struct(-F.col("score"), F.col("title"))).alias("best_title"), F.max("score").alias("best_score"))
+    return left.join(best, ["_b", "ord"], "left").select(F.col("_b").alias(block), "title_raw", "best_title", "best_score")
 
 
 def contained_in(needles: DataFrame, hay: DataFrame, *, needle_id: str, needle: str, hay_id: str, text: str, words: int = 5) -> DataFrame:

@@ -1,7 +1,10 @@
 """Joins and every stage of the title match, with ties and margins."""
 
+import random
+
 import pytest
 
+from quire.functions.text import indel_ratio, most_alike, ratio_bounds
 from quire.operators import matching, metrics
 from quire.schemas import OVERRIDES, TALKS
 
@@ -38,6 +41,48 @@ def test_cascade(spark):
     assert s[1].match_rate_pct == pytest.approx(500 / 7) and s[1].methods == {"exact": 1, "fuzzy": 1, "override": 1, "speaker": 2}
 
 
+def _strings(n, seed):
+    r = random.Random(seed)
+    base = ["".join(r.choices("abcd é\U0001f600 xyz0123", k=r.choice([0, 1, 2, 5, 20, 45, 60]))) for _ in range(n // 3)]
+    near = ["".join(c for c in s if r.random() > 0.1) + r.choice(["", "a", "zz"]) for s in base for _ in range(2)]
+    return sorted(set(base + near + ["", "a" * 300, "a" * 290 + "b"]))
+
+
+def test_bounds_hold_and_the_search_finds_what_all_pairs_give():
+    a, b = _strings(90, 1), _strings(90, 1)[::2] + _strings(60, 2)
+    bounds = ratio_bounds(a, b)
+    assert all(bounds[i, j] >= indel_ratio(s, t) - 1e-9 for i, s in enumerate(a) for j, t in enumerate(b))
+    for least, top in ((82.0, 3), (0.0, 1), (50.0, 2)):
+        want = [(i, t, -m) for i, s in enumerate(a) for m, t in sorted((-indel_ratio(s, t), t) for t in b)[:top] if -m >= least]
+        assert most_alike(a, b, least, top) == want
+
+
+@pytest.mark.parametrize("least", [82.0, 0.0])
+def test_tiles_give_what_all_pairs_give(spark, monkeypatch, least):
+    monkeypatch.setattr(matching, "TILE", 20)
+    a, b = _strings(120, 3), sorted(set(_strings(120, 3)[::2] + _strings(60, 4)))
+    talks = spark.createDataFrame([(k, i, s) for k in (1, None) for i, s in enumerate(a)] + [(1, 9999, None), (2, 0, "x")], "_b int, ord int, norm string")
+    titles = spark.createDataFrame([(k, s) for k in (1, 3, None) for s in b] + [(1, None)], "_b int, norm string")
+    got: dict = {}
+    for r in matching.alike(talks, titles, least, 2).collect():
+        assert r._b == 1
+        got.setdefault(r.ord, []).append((-r.score, r.title))
+    want = {i: [x for x in sorted((-indel_ratio(s, t), t) for t in b)[:2] if -x[0] >= least] for i, s in enumerate(a)}
+    assert {i: sorted(v)[:2] for i, v in got.items()} == {i: v for i, v in want.items() if v}
+
+
+def test_cascade_of_empty_tables_nulls_and_repeated_talks(spark):
+    papers = spark.createDataFrame([(1, "a", "Deep learning for liver segmentation", ["Doe, Jane"]), (1, "n", None, None), (None, "m", "Some title", None)], "year int, paper_id string, title string, authors array<string>")
+    talk = (1, 0, "Deep learning for liver segmentatin", None)
+    talks = spark.createDataFrame([talk, talk, (1, 1, None, "Jane Doe"), (None, 2, "Some titl", None)], "year int, ord int, title_raw string, speaker string")
+    none = spark.createDataFrame([], OVERRIDES)
+    m = matching.match_talks(talks, papers, none)
+    assert sorted((r.ord, r.paper_id, r.match) for r in m.collect()) == [(0, "a", "fuzzy"), (0, "a", "fuzzy"), (1, None, "unmatched"), (2, None, "unmatched")]
+    assert matching.match_talks(talks.limit(0), papers, none).collect() == []
+    assert {r.match for r in matching.match_talks(talks, papers.limit(0), none).collect()} == {"unmatched"}
+    assert {r.best_title for r in matching.best_guesses(m, papers.limit(0)).collect()} == {None}
+
+
 def test_exactly_one(spark):
     records = spark.createDataFrame([("1", "A title"), ("2", "B title"), ("3", "B  Title")], "paper_id string, title string")
     talks = spark.createDataFrame([("a TITLE", "oral", "S1")], "title string, presentation_type string, oral_session string")
