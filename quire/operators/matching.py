@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -105,13 +105,13 @@ def alike(talks: DataFrame, titles: DataFrame, least: float, top: int) -> DataFr
     a = a.join(sizes, ["_b", "_band"]).select("_b", "_band", own("ord", "_ps").alias("_p"), other("_qs").alias("_q"), "ord", "norm")
     b = b.join(sizes, ["_b", "_band"]).select("_b", "_band", other("_ps").alias("_p"), own("title", "_qs").alias("_q"), "title")
 
-    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        found = most_alike(list(x["norm"]), list(y["title"]), least, top) if len(x) and len(y) else []
-        rows = x.iloc[[i for i, _, _ in found]]
-        return pd.DataFrame({"_b": rows["_b"].to_numpy(), "ord": rows["ord"].to_numpy(), "title": [t for _, t, _ in found], "score": [s for _, _, s in found]})
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = most_alike(x["norm"].to_pylist(), y["title"].to_pylist(), least, top) if x.num_rows and y.num_rows else []
+        rows = x.select(["_b", "ord"]).take(pa.array([i for i, _, _ in found], pa.int64()))
+        return rows.append_column("title", pa.array([t for _, t, _ in found], pa.string())).append_column("score", pa.array([r for _, _, r in found], pa.float64()))
 
     kinds = {f.name: f.dataType.simpleString() for f in a.schema.fields}
-    return a.groupBy(key).cogroup(b.groupBy(key)).applyInPandas(best, f"_b {kinds['_b']}, ord {kinds['ord']}, title string, score double")
+    return a.groupBy(key).cogroup(b.groupBy(key)).applyInArrow(best, f"_b {kinds['_b']}, ord {kinds['ord']}, title string, score double")
 
 
 def match_talks(talks: DataFrame, papers: DataFrame, overrides: DataFrame, *, block: str = "year") -> DataFrame:
