@@ -78,8 +78,8 @@ class Block:
         self.terms.extend(counts)
         self.tfs.extend(counts.values())
 
-    def full(self) -> bool:
-        return len(self.ids) >= BLOCK_DOCS or len(self.terms) >= BLOCK_POSTINGS
+    def full(self, docs: int) -> bool:
+        return len(self.ids) >= docs or len(self.terms) >= BLOCK_POSTINGS
 
     def rows(self, task: int, seq: int) -> pa.RecordBatch:
         """One row a term, with documents in order of their ids, and first a row without a term that has all ids and lengths."""
@@ -110,7 +110,7 @@ class Block:
         return pa.RecordBatch.from_arrays(columns, schema=POSTINGS)
 
 
-def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def postings(docs: DataFrame, doc_id: str, text: str, block_docs: int) -> DataFrame:
     """Rows of all blocks, see Block.rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 terms = body.as_buffer().to_pybytes().translate(FOLD).split() if body.is_valid else []
                 if terms:
                     block.add(doc, terms)
-                if block.full():
+                if block.full(block_docs):
                     yield block.rows(task, seq)
                     seq, block = seq + 1, Block()
         if block.ids:
@@ -145,38 +145,38 @@ def impact(tf: Column, n: Column, n_docs: int, n_terms: int) -> Column:
 class Postings:
     """One term's postings in a block: places, impacts, and the leaves that they are in."""
 
-    def __init__(self, docs: np.ndarray, tfs: np.ndarray, ns: np.ndarray, n_docs: int, n_terms: int) -> None:
+    def __init__(self, docs: np.ndarray, tfs: np.ndarray, ns: np.ndarray, n_docs: int, n_terms: int, leaf: int) -> None:
         self.docs, tf = docs, tfs.astype(np.int64)
         self.impacts = 1_000_000_000 * tf // (1000 * tf + 8 * (25 + 75 * n_docs * ns.astype(np.int64) // n_terms))
-        leaves = docs // LEAF
+        leaves = docs // leaf
         self.starts = np.flatnonzero(np.diff(leaves, prepend=-1))
         self.leaves = leaves[self.starts]
         self.maxima = np.maximum.reduceat(self.impacts, self.starts)
         self.slices = dict(zip(self.leaves.tolist(), zip(self.starts.tolist(), [*self.starts[1:].tolist(), len(docs)], strict=True), strict=True))
 
 
-def best_in_block(terms: list[tuple[Postings, int]], n_docs: int, floor: int, k: int) -> list[tuple[int, int]]:
+def best_in_block(terms: list[tuple[Postings, int]], n_docs: int, floor: int, k: int, leaf: int) -> list[tuple[int, int]]:
     """The k best (score, place) of a block that reach ``floor``, leaves opened from the highest bound down."""
-    bounds = np.zeros(-(-n_docs // LEAF), np.int64)
+    bounds = np.zeros(-(-n_docs // leaf), np.int64)
     for p, weight in terms:
         bounds[p.leaves] += weight * p.maxima
     best: list[tuple[int, int]] = []
-    for leaf in np.argsort(-bounds, kind="stable").tolist():
-        if bounds[leaf] < floor:
+    for at in np.argsort(-bounds, kind="stable").tolist():
+        if bounds[at] < floor:
             break
-        scores = np.zeros(LEAF, np.int64)
+        scores = np.zeros(leaf, np.int64)
         for p, weight in terms:
-            if leaf in p.slices:
-                a, b = p.slices[leaf]
-                scores[p.docs[a:b] - leaf * LEAF] += weight * p.impacts[a:b]
+            if at in p.slices:
+                a, b = p.slices[at]
+                scores[p.docs[a:b] - at * leaf] += weight * p.impacts[a:b]
         reach = np.flatnonzero(scores >= floor)
-        best = sorted([*best, *((-int(scores[i]), int(i) + leaf * LEAF) for i in reach)])[:k]
+        best = sorted([*best, *((-int(scores[i]), int(i) + at * leaf) for i in reach)])[:k]
         if len(best) == k:
             floor = -best[-1][0]
     return [(-s, place) for s, place in best]
 
 
-def open_blocks(index: DataFrame, pairs: DataFrame, asked: DataFrame, groups: int, k: int, n_docs: int, n_terms: int) -> DataFrame:
+def open_blocks(index: DataFrame, pairs: DataFrame, asked: DataFrame, groups: int, k: int, n_docs: int, n_terms: int, leaf: int) -> DataFrame:
     """q1, q2, doc_id, score: each pair's (q1, q2, task, seq, floor) best documents that reach the floor."""
     lists = asked.groupBy("q1", "q2").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
     right = pairs.join(lists, ["q1", "q2"]).withColumn("part", F.pmod("q1", F.lit(groups)).cast("int"))
@@ -191,10 +191,10 @@ def open_blocks(index: DataFrame, pairs: DataFrame, asked: DataFrame, groups: in
             if term is None:
                 ids = rows.column("ids")[i].as_py()
             elif term in wanted:
-                held[term] = Postings(*[c[i].values.to_numpy(zero_copy_only=False) for c in columns], n_docs, n_terms)
+                held[term] = Postings(*[c[i].values.to_numpy(zero_copy_only=False) for c in columns], n_docs, n_terms, leaf)
         for item in items.select(["q1", "q2", "floor", "terms"]).to_pylist():
             terms = [(held[t["term"]], t["weight"]) for t in item["terms"] if t["term"] in held]
-            out += [(item["q1"], item["q2"], ids[place], score) for score, place in best_in_block(terms, len(ids), item["floor"], k)]
+            out += [(item["q1"], item["q2"], ids[place], score) for score, place in best_in_block(terms, len(ids), item["floor"], k, leaf)]
         columns = zip(*out, strict=True) if out else [[]] * 4
         return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("q1", "q2", "doc_id", "score"), columns, strict=True)})
 
@@ -213,12 +213,12 @@ def bounds(asked: DataFrame, level: DataFrame, alive: DataFrame | None) -> DataF
     return rows.groupBy("q1", "q2", "node").agg(F.sum(F.col("weight") * F.col("top")).alias("bound"), *place)
 
 
-def search(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 10) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 10, leaf: int = LEAF, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """item_id, rank (int, from 1), doc_id, score (long): each item's k best documents."""
     times = materialize(item_terms(items, item_id, item_text))
     # A table with a row without a term, so that the blocks' head rows stay.
     vocabulary = materialize(times.select("term").distinct().union(docs.sparkSession.createDataFrame([(None,)], "term string")))
-    rows = postings(docs, doc_id, text)
+    rows = postings(docs, doc_id, text, block_docs)
     index = materialize(rows.join(vocabulary.withColumnRenamed("term", "v"), F.col("term").eqNullSafe(F.col("v")), "left_semi"), **SMALL_BATCHES)
     heads = index.where("term IS NULL")
     total = heads.agg(F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + x)).alias("l"), F.count(F.lit(1)).alias("blocks"))
@@ -243,7 +243,7 @@ def search(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: s
     for level in reversed(levels):
         alive = bounds(asked, level, alive).withColumn("place", F.row_number().over(per_item.orderBy(F.col("bound").desc(), "node"))).where(F.col("place") <= BEAM).drop("place")
     dived = materialize(alive.withColumn("floor", F.lit(1).cast("long")))
-    first = materialize(open_blocks(index, dived, asked, groups, k, n_docs, n_terms))
+    first = materialize(open_blocks(index, dived, asked, groups, k, n_docs, n_terms, leaf))
     ranked = first.withColumn("rank", F.row_number().over(per_item.orderBy(F.col("score").desc())))
     floors = materialize(ranked.where(F.col("rank") == k).select("q1", "q2", F.col("score").alias("floor")))
 
@@ -252,7 +252,7 @@ def search(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: s
         reached = bounds(asked, level, alive).join(floors, ["q1", "q2"], "left").withColumn("floor", F.coalesce("floor", F.lit(1)))
         alive = reached.where(F.col("bound") >= F.col("floor"))
     rest = materialize(alive.join(dived.select("q1", "q2", "node"), ["q1", "q2", "node"], "left_anti"))
-    both = first.unionByName(open_blocks(index, rest, asked, groups, k, n_docs, n_terms))
+    both = first.unionByName(open_blocks(index, rest, asked, groups, k, n_docs, n_terms, leaf))
     order = per_item.orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     best = materialize(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
     names = asked.select("q1", "q2", "item_id").distinct()

@@ -124,8 +124,8 @@ def dictionary_of(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
 class ArchiveWriter:
     """Writes one task's records; ``places`` collects the manifest's rows."""
 
-    def __init__(self, folder: str, date: str) -> None:
-        self.folder, self.date = folder, date
+    def __init__(self, folder: str, date: str, archive_bytes: int, sample_bytes: int) -> None:
+        self.folder, self.date, self.archive_bytes, self.sample_bytes = folder, date, archive_bytes, sample_bytes
         self.fs, self.root = filesystem(folder)
         self.places: list[tuple] = []
         self.out = None
@@ -142,9 +142,10 @@ class ArchiveWriter:
         words = dictionary_of([body for _, body in held])
         words.precompute_compress(level=LEVEL)
         self.press = zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_checksum=True)
-        self.out = self.fs.open_output_stream(f"{self.root}/{self.name}")
+        self.out = self.fs.open_output_stream(f"{self.root}/{self.name}", compression=None)  # by its name it would be compressed again
         data = words.as_bytes()
-        self.at = self.out.write(struct.pack("<II", MAGIC, len(data)) + data)
+        self.out.write(struct.pack("<II", MAGIC, len(data)) + data)
+        self.at = 8 + len(data)
         for record, body in held:
             self._write(record, body)
 
@@ -160,11 +161,11 @@ class ArchiveWriter:
         if self.out is None:
             self.held.append((record, body))
             self.held_bytes += len(body)
-            if self.held_bytes >= SAMPLE_BYTES:
+            if self.held_bytes >= self.sample_bytes:
                 self._open()
         else:
             self._write(record, body)
-        if self.bytes >= ARCHIVE_BYTES:
+        if self.bytes >= self.archive_bytes:
             self.close()
             self._begin()
 
@@ -193,7 +194,8 @@ def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     return long.join(groups, "digest").where(other).select("r1", "r2", "best")
 
 
-def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z",
+                   archive_bytes: int = ARCHIVE_BYTES, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """Writes a record per row of ``pages`` to archives in ``folder``, which all
     executors share; the manifest has archive, offset, length, record_id and record_type.
     """
@@ -211,7 +213,7 @@ def write_archives(pages: DataFrame, folder: str, *, page_id: str = "page_id", u
         return str(uuid.UUID(bytes=struct.pack(">qq", r1, r2)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = ArchiveWriter(folder, date)
+        writer = ArchiveWriter(folder, date, archive_bytes, sample_bytes)
         for batch in batches:
             for r1, r2, page, target, data, n, sha1, first, f1, f2 in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if f1 is None:
@@ -297,7 +299,7 @@ def read_archives(manifest: DataFrame, folder: str, *, with_payload: bool = Fals
 
         for batch in batches:
             for archive in batch.column(0).to_pylist():
-                with there.open_input_stream(f"{root}/{archive}") as stream:
+                with there.open_input_stream(f"{root}/{archive}", compression=None) as stream:
                     words, _ = open_archive(stream)
                     plain = zstandard.ZstdDecompressor(dict_data=words).stream_reader(stream, read_across_frames=True)
                     rows, held = [], 0
