@@ -59,6 +59,8 @@ ARCHIVE_BYTES = 256 << 20
 SAMPLE_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
 MIN_SAMPLES = 16
+#: Most reading tasks; beyond it a task reads several archives, one after another.
+READERS = 20_000
 LEVEL = 3
 
 MANIFEST = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string())])
@@ -289,7 +291,9 @@ def record_row(archive: str, fields: dict[str, str], block: bytes, with_payload:
 
 def read_archives(manifest: DataFrame, folder: str, *, with_payload: bool = False) -> DataFrame:
     """Records of all archives that the manifest names, read from the files, see RECORDS."""
-    archives = manifest.groupBy("archive").agg(F.sum("length").alias("n"))
+    archives = materialize(manifest.select("archive").distinct())
+    # A task an archive: left to Spark, rows so small would all come into one task.
+    archives = archives.repartition(min(max(archives.count(), 1), READERS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         there, root = filesystem(folder)
@@ -312,7 +316,7 @@ def read_archives(manifest: DataFrame, folder: str, *, with_payload: bool = Fals
                     if rows:
                         yield batch_of(rows)
 
-    return archives.select("archive").mapInArrow(run, RECORDS_DDL)
+    return archives.mapInArrow(run, RECORDS_DDL)
 
 
 def read_record(folder: str, archive: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
