@@ -130,6 +130,11 @@ def nfkd_casefold(s: pd.Series) -> pd.Series:
     return s.map(fold, na_action="ignore")
 
 
+@vectorised("string")
+def casefold(s: pd.Series) -> pd.Series:
+    return s.str.casefold()
+
+
 def _words_only(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, "[^a-z0-9]+", " "))
 
@@ -290,8 +295,8 @@ def last_first(col: Column) -> Column:
 
 def join_lines(lines: Column) -> Column:
     """Wrapped lines as one text; a hyphen at a line's end keeps the next one close."""
-    joined = F.aggregate(lines, F.lit(""), lambda a, x: F.when(a == "", F.trim(x)).when(F.endswith(a, F.lit("-")), F.concat(a, F.trim(x))).otherwise(F.concat(a, F.lit(" "), F.trim(x))))
-    return F.trim(F.regexp_replace(joined, r"\s+", " "))
+    parts = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    return F.replace(F.replace(F.array_join(parts, "\n"), F.lit("-\n"), F.lit("-")), F.lit("\n"), F.lit(" "))
 
 
 def presenter(col: Column) -> Column:
@@ -310,7 +315,7 @@ def is_bold(font: Column) -> Column:
 
 
 def is_italic(font: Column) -> Column:
-    return font.rlike(r"(?i)ital|obli")
+    return font.rlike(r"(?i)italic|it$")
 
 
 def thousands(col: Column) -> Column:

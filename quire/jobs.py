@@ -5,6 +5,9 @@
     audit       PAGES CONFIG            questions that parsing would lose; fails if there are any
     ingest      SOURCE SCHEMA SINK CHECKPOINT [--key K]   new Parquet files, once
     match       PROGRAMS PAPERS OUT [--overrides YAML] [--report]   talks to papers; fails if any is unmatched
+    program     WORDS OUT --year Y --posters P [--venue V] [--orals N] [--spotlights N] [--names PAPERS]   booklet of talk
+                pages (before page P, three columns) and a poster table (from P): OUT/papers, OUT/talks; fails if a
+                talk isn't one paper's or a number doesn't hold
     cluster     VECTORS OUT [--k 20]    fit, and print the partition's fingerprint
     extend      VECTORS INCOMING STAMP OUT
     describe    VECTORS PAPERS [--terms 18] [--titles 12]
@@ -17,10 +20,12 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import browse, clustering, matching, metrics, pages
+from quire import runtime
+from quire.operators import booklet, browse, clustering, layout, matching, metrics, pages
 from quire.sources import readers, writers
 from quire.streaming import incremental
 
@@ -81,6 +86,24 @@ def match(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def program(spark: SparkSession, a: argparse.Namespace) -> int:
+    words = spark.read.parquet(a.words)
+    known = matching.name_lookup(spark.read.parquet(a.names)) if a.names else None
+    talk_lines = layout.to_lines(words.where(F.col("page") < a.posters), 3, "gaps")
+    poster_lines = layout.to_lines(words.where(F.col("page") >= a.posters), 1)
+    talks = runtime.materialize(booklet.talk_records(talk_lines))
+    records = runtime.materialize(booklet.poster_records(poster_lines, year=a.year, venue=a.venue or "conf", lookup=known))
+    try:
+        both = booklet.program(records, talks, *(None if n is None else int(n) for n in (a.orals, a.spotlights)))
+        both.drop("doc").write.mode("overwrite").json(f"{a.out}/papers")
+    except (ValueError, SparkRuntimeException) as e:
+        print(e, file=sys.stderr)
+        return 1
+    booklet.talks_program(talks, a.year, a.words).drop("doc").write.mode("overwrite").json(f"{a.out}/talks")
+    print(f"{records.count()} papers, {talks.count()} talks")
+    return 0
+
+
 def cluster(spark: SparkSession, a: argparse.Namespace) -> int:
     clustering.fit_kmeans(spark.read.parquet(a.vectors).drop("cluster_id"), a.k).write.mode("overwrite").parquet(a.out)
     print(clustering.partition_fingerprint(spark.read.parquet(a.out)).first().fingerprint)
@@ -125,7 +148,8 @@ def export(spark: SparkSession, a: argparse.Namespace) -> int:
 
 JOBS = {
     normalise: ["raw", "out"], parse: ["pages", "config", "out"], audit: ["pages", "config"], ingest: ["source", "schema", "sink", "checkpoint", "--key"],
-    match: ["programs", "papers", "out", "--overrides", "+report"], cluster: ["vectors", "out", "--k=20"], extend: ["vectors", "incoming", "stamp", "out"],
+    match: ["programs", "papers", "out", "--overrides", "+report"],
+    program: ["words", "out", "--year=2026", "--posters=1", "--venue", "--orals", "--spotlights", "--names"], cluster: ["vectors", "out", "--k=20"], extend: ["vectors", "incoming", "stamp", "out"],
     describe: ["vectors", "papers", "--terms=18", "--titles=12"], check: ["vectors", "labels"], export: ["papers", "out", "?query"],
 }
 

@@ -1,4 +1,4 @@
-"""Laid-out pages to programs: columns, lines, roles, blocks, sessions, talks, posters.
+"""Laid-out pages to programs: columns, lines, roles, blocks, sessions, talks.
 
 Words come as a table (one row a word).  Cutting columns, telling roles and
 finding where blocks begin are window functions; grouping words to lines
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.text import is_bold, is_italic, join_lines, presenter
+from quire.functions.text import is_bold, is_italic, join_lines
 from quire.runtime import ship
 from quire.schemas import LINES
 
@@ -37,10 +37,9 @@ BOILERPLATE = (
 # Patterns of entries of a program.
 TIME_PREFIX = r"^\d{1,2}:\d{2}\s*[-–—]\s*\d{1,2}:\d{2}\s*"
 TYPE_LINE = r"(?i)^(Oral|Spotlight)\s+Presentations\s*:\s*$"
-NO_PAPER = r"(?i)^Invited\s+Session\s+Speakers?|^Panel\s+Discussion\b|^Panell?ists\s*:"
+INVITED = r"(?i)^Invited\s+Session\s+Speakers?"
+PANEL = r"(?i)^Panel\s+Discussion\b|^Panell?ists\s*:"
 CHAIRS = r"(?i)^Session\s+Chairs?\s*:?|^Chairs\s*:"
-POSTER_ROW = r"^(\d+)\s+(\d+)\s+([MTW]-(?:AM|PM)-\d{3})\s*(.*)$"
-BANNER, SESSION, ROOM = 13.0, 11.5, 10.5
 
 
 def boilerplate(text: Column) -> Column:
@@ -48,13 +47,14 @@ def boilerplate(text: Column) -> Column:
 
 
 def column_bounds(words: DataFrame, n_columns: int, margin: float = GUTTER_MARGIN) -> DataFrame:
-    """doc, page, bounds: the centres of the n - 1 widest gaps between the words' midpoints, inside the margin."""
+    """doc, page, bounds: the centres of the n - 1 widest gaps between the words' midpoints whose centres are inside the margin; of equal gaps the right one."""
     mid = (F.col("x0") + F.col("x1")) / 2
     w = Window.partitionBy("doc", "page").orderBy("mid")
-    inside = words.select("doc", "page", mid.alias("mid"), "page_width").where((F.col("mid") > margin * F.col("page_width")) & (F.col("mid") < (1 - margin) * F.col("page_width")))
-    gaps = inside.withColumn("next", F.lead("mid").over(w)).where("next IS NOT NULL").withColumn("gap", F.col("next") - F.col("mid"))
-    wide = gaps.withColumn("r", F.row_number().over(Window.partitionBy("doc", "page").orderBy(F.desc("gap"), "mid"))).where(F.col("r") <= n_columns - 1)
-    return wide.groupBy("doc", "page").agg(F.sort_array(F.collect_list((F.col("mid") + F.col("next")) / 2)).alias("bounds"))
+    gaps = words.select("doc", "page", mid.alias("mid"), "page_width").withColumn("next", F.lead("mid").over(w)).where("next IS NOT NULL")
+    gaps = gaps.select("doc", "page", "page_width", (F.col("next") - F.col("mid")).alias("gap"), ((F.col("mid") + F.col("next")) / 2).alias("centre"))
+    inside = gaps.where((F.col("centre") > margin * F.col("page_width")) & (F.col("centre") < (1 - margin) * F.col("page_width")))
+    widest = Window.partitionBy("doc", "page").orderBy(F.desc("gap"), F.desc("centre"))
+    return inside.withColumn("r", F.row_number().over(widest)).where(F.col("r") <= n_columns - 1).groupBy("doc", "page").agg(F.sort_array(F.collect_list("centre")).alias("bounds"))
 
 
 def to_columns(words: DataFrame, n_columns: int, split: str = "midpoint") -> DataFrame:
@@ -69,21 +69,30 @@ def to_columns(words: DataFrame, n_columns: int, split: str = "midpoint") -> Dat
 
 
 def to_lines(words: DataFrame, n_columns: int, split: str = "midpoint", step: float = LINE_STEP) -> DataFrame:
-    """Lines of each column: words whose top is within ``step`` of the line's first word."""
+    """Lines of each column: words whose top is within ``step`` of the line's first word.
+
+    A line's size is the mean of its words'; it is bold or italic if most of them
+    are, a number sign with digits in the margin aside.
+    """
     ship(words.sparkSession)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top", "x0"], kind="stable")
+        pdf = pdf.assign(row=pdf["top"].round(1)).sort_values(["row", "x0"], kind="stable")
         rows, group, first = [], [], None
 
         def flush() -> None:
             if not group:
                 return
             g = pd.DataFrame(group).sort_values("x0", kind="stable")
-            rows.append((g["doc"].iloc[0], int(g["page"].iloc[0]), int(g["col"].iloc[0]), len(rows), " ".join(g["text"]), float(g["size"].max()), float(g["x0"].min()), float(g["top"].iloc[0]), bool(g["bold"].mean() > 0.5), bool(g["italic"].mean() > 0.5), len(rows) == 0))
+            text = " ".join(g["text"]).strip()
+            if not text:
+                return
+            voters = g[~g["text"].str.match(r"#\d+$")]
+            voters = voters if len(voters) else g
+            rows.append((g["doc"].iloc[0], int(g["page"].iloc[0]), int(g["col"].iloc[0]), len(rows), text, float(g["size"].mean()), float(g["x0"].min()), float(g["top"].min()), bool(voters["bold"].mean() > 0.5), bool(voters["italic"].mean() > 0.5), len(rows) == 0))
 
         for w in pdf.to_dict("records"):
-            if group and w["top"] - first >= step:
+            if group and abs(w["top"] - first) >= step:
                 flush()
                 group = []
             if not group:
@@ -149,7 +158,7 @@ def program_blocks(lines: DataFrame, *, session_re: str, mode: str, gap: float =
     strip = "|".join(f"(?:{p})" for p in (speaker_re, authors_re) if p) or "^$a"
     pieces = lambda name: join_lines(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("i", F.regexp_replace("t", f"(?i){strip}", "").alias("t"))))), lambda x: x["t"]))
     talks = d.groupBy("doc", "session", "session_line", "block").agg(
-        F.min("type").alias("type"), F.bool_or(F.col("t").rlike(NO_PAPER)).alias("_none"), pieces("title").alias("title_raw"), pieces("authors").alias("authors"), pieces("speaker").alias("speaker"),
+        F.min("type").alias("type"), F.bool_or(F.col("t").rlike(INVITED) | F.col("t").rlike(PANEL)).alias("_none"), pieces("title").alias("title_raw"), pieces("authors").alias("authors"), pieces("speaker").alias("speaker"),
         F.min("page").alias("page"), F.min("col").alias("col"),
     ).where("NOT _none AND title_raw <> ''")
     talks = talks.withColumn("authors_raw", F.filter(F.transform(F.split("authors", r"[,;]"), lambda a: F.trim(a)), lambda a: a != "")).withColumn("speaker", F.nullif("speaker", F.lit("")))
@@ -171,29 +180,3 @@ def program_document(talks: DataFrame) -> DataFrame:
     t = talks.join(first, ["doc", "session_line"])
     nested = F.array_sort(F.collect_list(F.struct("order", "type", "title_raw", "authors_raw", "speaker", "page", "col")))
     return t.groupBy("doc", "session_id", "session_line").agg(nested.alias("presentations"))
-
-
-def poster_records(lines: DataFrame) -> DataFrame:
-    """Poster rows of a table set as lines: the row with number, session and board, the
-    title (on the row or on the line before it), and what follows until the next row as
-    the presenter, up to a bold line."""
-    w = Window.partitionBy("doc").orderBy("page", "col", "ord")
-    row = F.col("text").rlike(POSTER_ROW)
-    d = sessionise(lines, ["doc"], ["page", "col", "ord"], row, "poster").withColumn("before", F.lag("text").over(w)).withColumn("row", row)
-    got = lambda i: F.regexp_extract("text", POSTER_ROW, i)
-    heads = d.where("row").select("doc", "poster", got(1).cast("int").alias("number"), got(2).cast("int").alias("poster_session"), got(3).alias("board_number"), F.coalesce(F.nullif(F.trim(got(4)), F.lit("")), F.col("before")).alias("title"))
-    stop = F.max(F.col("bold").cast("int")).over(Window.partitionBy("doc", "poster").orderBy("page", "col", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rest = d.where("NOT row AND poster > 0").withColumn("stop", stop).where("stop = 0").groupBy("doc", "poster").agg(join_lines(F.transform(F.array_sort(F.collect_list(F.struct("page", "col", "ord", "text"))), lambda x: x["text"])).alias("who"))
-    out = heads.join(rest, ["doc", "poster"], "left").withColumn("p", presenter(F.col("who")))
-    return out.select("doc", "number", "poster_session", "board_number", "title", F.col("p.name").alias("presenter"), F.col("p.affiliation").alias("presenter_affiliation"), F.col("p.country").alias("presenter_country"))
-
-
-def talk_lines(lines: DataFrame) -> DataFrame:
-    """doc, session, room, title of talk pages: type size tells banner, session, room and talk."""
-    order = ["page", "ord"]
-    w = Window.partitionBy("doc", "col").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.col("size")
-    level = F.when(size >= BANNER, "banner").when(size >= SESSION, "session").when(size >= ROOM, "room").otherwise("talk")
-    d = lines.withColumn("level", level)
-    held = lambda name: F.last(F.when(F.col("level") == name, F.col("text")), ignorenulls=True).over(w)
-    return d.withColumn("session", held("session")).withColumn("room", held("room")).where("level = 'talk' AND session IS NOT NULL").select("doc", "session", "room", F.col("text").alias("title"), "page", "col", "ord")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.text import author_surnames, last_first, most_alike, normalize_title, normalize_title_casefold, speaker_surname
+from quire.functions.text import author_surnames, casefold, last_first, most_alike, normalize_title, normalize_title_casefold, speaker_surname
 from quire.runtime import materialize, ship
 
 ACCEPT, MARGIN, CONSIDER, RANKED = 92.0, 3.0, 82.0, 3
@@ -63,18 +63,19 @@ def join_talks(records: DataFrame, talks: DataFrame, n_orals: int | None = None,
 
 
 def name_lookup(papers: DataFrame) -> DataFrame:
-    """folded ``first last``, canonical ``Last, First``; names that fold alike are dropped."""
+    """folded ``first last``, canonical ``Last, First`` of names with one comma and both parts; names that fold alike are dropped."""
     a = papers.select(F.explode("authors").alias("canonical")).distinct()
-    parts = F.split("canonical", ",", 2)
-    folded = F.lower(F.regexp_replace(F.concat_ws(" ", F.trim(F.get(parts, F.lit(1))), F.trim(F.get(parts, F.lit(0)))), r"\s+", " "))
-    return a.where(F.contains("canonical", F.lit(","))).groupBy(folded.alias("folded")).agg(F.countDistinct("canonical").alias("_n"), F.min("canonical").alias("canonical")).where("_n = 1").drop("_n")
+    parts = F.transform(F.split("canonical", ","), lambda x: F.trim(x))
+    a = a.withColumn("p", parts).where((F.size("p") == 2) & ~F.array_contains("p", ""))
+    folded = casefold(F.concat_ws(" ", F.get("p", F.lit(1)), F.get("p", F.lit(0))))
+    return a.groupBy(folded.alias("folded")).agg(F.count(F.lit(1)).alias("_n"), F.min("canonical").alias("canonical")).where("_n = 1").drop("_n")
 
 
 def canonical_names(names: DataFrame, lookup: DataFrame, name: str = "name") -> DataFrame:
     """names plus canonical and rule: the lookup's name, else the rule of inversion."""
-    folded = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"\s+", " ")))
-    out = names.withColumn("folded", folded).join(lookup.withColumnRenamed("canonical", "_c"), "folded", "left").withColumn("_p", last_first(F.col(name)))
-    hit = F.col("_c").isNotNull() & (F.col("folded") != "")
+    folded = casefold(F.trim(F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"\s+", " ")))
+    out = names.withColumn("_folded", folded).join(lookup.select(F.col("folded").alias("_folded"), F.col("canonical").alias("_c")), "_folded", "left").withColumn("_p", last_first(F.col(name)))
+    hit = F.col("_c").isNotNull() & (F.col("_folded") != "")
     return out.select(*names.columns, F.when(hit, F.col("_c")).otherwise(F.col("_p.name")).alias("canonical"), F.when(hit, "lookup").otherwise(F.col("_p.rule")).alias("rule"))
 
 

@@ -322,12 +322,6 @@ def test_program(spark):
     assert doc == {1: ["A title that wraps semi-supervised", "Second"], 2: ["Third talk"]}
 
 
-def test_posters(spark):
-    rows = [line(0, "Title above"), line(1, "1 2 M-AM-001"), line(2, "Jane Doe, Lab, Inst,"), line(3, "France"), line(4, "Bold head", bold=True), line(5, "7 3 T-PM-010 On the row"), line(6, "Solo")]
-    got = layout.poster_records(spark.createDataFrame(rows, LINES)).orderBy("number").collect()
-    assert [tuple(r)[1:] for r in got] == [(1, 2, "M-AM-001", "Title above", "Jane Doe", "Lab, Inst", "France"), (7, 3, "T-PM-010", "On the row", "Solo", None, None)]
-
-
 def test_components_of_all_parts(spark, sf, tmp_path):
     from quire.plans.catalog import QUERIES
 
