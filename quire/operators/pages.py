@@ -6,6 +6,8 @@ column expressions over arrays, so parsing needs no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,26 @@ from quire.functions.text import bare_int, blank_to_null, int_in_parens, label_w
 from quire.runtime import ship
 from quire.schemas import META_REVIEW, REVIEW
 
+# Fields of a review, the parts of a label that lead to them, the eras, and a part that must be there as well.
+ROUTES = (
+    ("text_contribution", ("describe the contribution",), "all", None),
+    ("text_strengths", ("major strengths", "main strengths"), "all", None),
+    ("text_weaknesses", ("major weaknesses", "main weaknesses"), "all", None),
+    ("clarity_label", ("rate the clarity",), "all", None),
+    ("text_ethics", ("code of ethics",), "new", None),
+    ("text_reproducibility", ("reproducibility",), "all", None),
+    ("text_detailed_comments", ("additional comments", "detailed and constructive comments"), "all", None),
+    ("score", (), "all", None),
+    ("post_rebuttal_label", ("final opinion", "overall opinion"), "all", "[post rebuttal]"),
+    ("text_post_rebuttal_justification", ("justify your final", "justify your decision"), "all", "[post rebuttal]"),
+    ("text_detailed_comments", ("justify your recommendation",), "all", None),
+    ("confidence", ("reviewer confidence",), "all", None),
+)
+# Classes of links by words of their paragraph.
+LINK_WORDS = {"pdf": ("main paper",), "shared": ("sharedit",), "supp": ("supplementary",), "new doi": ("springerlink", "doi"), "old doi": ("doi", "springer")}
+TITLE_SUFFIX = r"\s*-\s*MICCAI\s+\d{4}.*$"
+NOT_SUBMITTED, SHARED_HOST, DOI_HOST = "not submitted", "rdcu.be", "doi.org"
+
 ERAS = ("2021", "2022_2023", "2024_2025")
 NEW_ERA = "2024_2025"
 APPEND = ("text_reproducibility", "text_detailed_comments")
@@ -27,27 +49,31 @@ def check_eras(years: DataFrame) -> None:
         raise NotImplementedError(f"no parser for eras {sorted(map(str, unknown))}")
 
 
-def route(label: Column, score_field: Column, new_era: Column) -> Column:
-    """Field of a review that a question's label belongs to; the first rule that fits wins."""
-    has = lambda *parts: [F.contains(label, F.lit(p)) for p in parts]
-    any_of = lambda *parts: F.array_max(F.array(*[c.cast("int") for c in has(*parts)])) == 1
-    post = F.contains(label, F.lit("[post rebuttal]"))
-    return (
-        F.when(any_of("describe the contribution"), "text_contribution")
-        .when(any_of("major strengths", "main strengths"), "text_strengths")
-        .when(any_of("major weaknesses", "main weaknesses"), "text_weaknesses")
-        .when(any_of("rate the clarity"), "clarity_label")
-        .when(new_era & any_of("code of ethics"), "text_ethics")
-        .when(any_of("reproducibility"), "text_reproducibility")
-        .when(any_of("additional comments", "detailed and constructive comments"), "text_detailed_comments")
-        .when(score_field.isNotNull() & F.contains(label, F.lower(score_field)), "score")
-        .when(post & any_of("final opinion", "overall opinion"), "post_rebuttal_label")
-        .when(post & any_of("justify your final", "justify your decision"), "text_post_rebuttal_justification")
-        .when(any_of("justify your recommendation"), "text_detailed_comments")
-        .when(any_of("reviewer confidence"), "confidence")
-        .when(~new_era & any_of("ranking of this paper in your review stack"), "review_stack_rank")
-        .when(~new_era & any_of("number of papers in your stack"), "review_stack_size")
-    )
+def route(label: Column, score_field: Column, new_era: Column, extra: Column | None = None) -> Column:
+    """Field of a review that a question's label (lower case) belongs to; the first rule of ROUTES that fits wins.
+
+    ``extra`` is an array of (label_substring, store_as) for questions that the
+    year's configuration names; they come last.
+    """
+    out = None
+    for field, parts, era, also in ROUTES:
+        fits = F.contains(label, F.lower(score_field)) if field == "score" else _any(label, parts)
+        if era != "all":
+            fits &= new_era if era == "new" else ~new_era
+        if also:
+            fits &= F.contains(label, F.lit(also))
+        out = F.when(fits, field) if out is None else out.when(F.coalesce(fits, F.lit(False)), field)
+    if extra is None:
+        return out
+    named = F.get(F.filter(extra, lambda x: F.contains(label, F.lower(x["label_substring"]))), F.lit(0))["store_as"]
+    return out.otherwise(F.when(~new_era, named))
+
+
+def _any(text: Column, parts: Sequence[str]) -> Column:
+    out = F.contains(text, F.lit(parts[0]))
+    for p in parts[1:]:
+        out |= F.contains(text, F.lit(p))
+    return out
 
 
 def _under(blocks: Column, *ids: str) -> Column:
@@ -73,13 +99,12 @@ def _last_href(blocks: Column, test) -> Column:
 
 def _links(blocks: Column, new_era: Column) -> dict[str, Column]:
     """Link urls: each paragraph is of the first class that fits; a later one replaces an earlier."""
-    has = lambda t, *p: F.coalesce(F.array_max(F.array(*[F.contains(t, F.lit(x)).cast("int") for x in p])) == 1, F.lit(False))
-
     def kind(t: Column, href: Column) -> Column:
-        shared = has(t, "sharedit") | has(href, "rdcu.be")
-        supp = has(t, "supplementary") & ~has(t, "not submitted")
-        new = F.when(has(t, "main paper"), "pdf").when(shared, "shared").when(has(t, "springerlink", "doi"), "doi").when(supp, "supp")
-        old = F.when(F.endswith(F.lower(href), F.lit(".pdf")) | has(t, "main paper"), "pdf").when(shared, "shared").when(has(href, "doi.org") | has(t, "doi", "springer"), "doi").when(supp, "supp")
+        has = lambda name: _any(t, LINK_WORDS[name])
+        shared = has("shared") | F.contains(href, F.lit(SHARED_HOST))
+        supp = has("supp") & ~F.contains(t, F.lit(NOT_SUBMITTED))
+        new = F.when(has("pdf"), "pdf").when(shared, "shared").when(has("new doi"), "doi").when(supp, "supp")
+        old = F.when(F.endswith(F.lower(href), F.lit(".pdf")) | has("pdf"), "pdf").when(shared, "shared").when(F.contains(href, F.lit(DOI_HOST)) | has("old doi"), "doi").when(supp, "supp")
         return F.when(new_era, new).otherwise(old)
 
     b = _under(blocks, "link-id", "link-to-paper")
@@ -148,7 +173,7 @@ def parse_papers(pages: DataFrame, years: DataFrame, areas: DataFrame | None = N
     page without html has ``error`` set and nothing parsed.
     """
     ship(pages.sparkSession)
-    cfg = years.select("year", "era", "score_field_substring", "score_parse_mode", "post_rebuttal_has_score", "review_scale_max")
+    cfg = years.select("year", "era", "score_field_substring", "score_parse_mode", "post_rebuttal_has_score", "review_scale_max", "extra_review_fields")
     d = pages.join(cfg, "year", "left").withColumn("p", page_blocks("html"))
     new = F.coalesce(F.col("era") == NEW_ERA, F.lit(True))
     b, heads = F.col("p.blocks"), F.col("p.headings")
@@ -156,7 +181,7 @@ def parse_papers(pages: DataFrame, years: DataFrame, areas: DataFrame | None = N
 
     sections = ("abstract", "abstract-id", "link-to-paper", "link-id", "reviews", "review-id", "primary-meta-review", "metareview-id", "author-feedback", "authorFeedback-id")
     loose = F.get(F.transform(F.filter(heads, lambda h: (h["tag"] == "h1") & ~h["id"].isin(*sections) & (h["text"] != "")), lambda h: h["text"]), F.lit(0))
-    suffix = F.regexp_replace(F.col("p.title_tag"), r"\s*-\s*MICCAI\s+\d{4}.*$", "")
+    suffix = F.regexp_replace(F.col("p.title_tag"), TITLE_SUFFIX, "")
     title = F.when(new, F.coalesce("p.title_b", "p.title_h")).otherwise(F.coalesce(F.col("p.title_b"), F.col("p.title_h"), loose, blank_to_null(suffix)))
 
     named = _under(b, "author-id")
@@ -174,7 +199,7 @@ def parse_papers(pages: DataFrame, years: DataFrame, areas: DataFrame | None = N
 
     numbers = F.array_sort(F.array_distinct(F.transform(F.filter(heads, lambda h: (h["tag"] == "h3") & h["id"].rlike(r"^review-\d+$")), lambda h: F.regexp_extract(h["id"], r"(\d+)$", 1).cast("int"))))
     config = {c: F.col(c) for c in ("score_parse_mode", "post_rebuttal_has_score", "review_scale_max")} | {"new_era": new}
-    routed = F.transform(F.filter(b, lambda x: x["kind"] == "field"), lambda x: F.struct(x["head_id"].alias("head_id"), route(F.lower(x["label"]), F.col("score_field_substring"), new).alias("route"), x["lines"].alias("lines"), x["inline"].alias("inline")))
+    routed = F.transform(F.filter(b, lambda x: x["kind"] == "field"), lambda x: F.struct(x["head_id"].alias("head_id"), route(F.lower(x["label"]), F.col("score_field_substring"), new, F.col("extra_review_fields")).alias("route"), x["lines"].alias("lines"), x["inline"].alias("inline")))
     d = d.withColumn("routed", routed).withColumn("numbers", F.when(has("review-id") | ~new, numbers))
     reviews = F.transform("numbers", lambda n: _review(n, F.filter("routed", lambda f: f["head_id"] == F.concat(F.lit("review-"), n.cast("string"))), config))
     d = d.withColumn("reviews", F.coalesce(reviews, F.expr("array()").cast(f"array<{REVIEW}>")))
@@ -204,7 +229,7 @@ def parse_papers(pages: DataFrame, years: DataFrame, areas: DataFrame | None = N
     )
 
 
-def parse_index(pages: DataFrame, dated: bool = False) -> DataFrame:
+def parse_index(pages: DataFrame, dated: bool = False, *, venue: str) -> DataFrame:
     """year, paper_id, filename, paper_url, ord of index pages (year, base_url, html).
 
     The first link to a file wins; the order is that of the page.  Dated paths
@@ -216,7 +241,7 @@ def parse_index(pages: DataFrame, dated: bool = False) -> DataFrame:
     d = d.withColumn("filename", F.element_at(F.split("path", "/"), -1))
     d = d.withColumn("_r", F.row_number().over(Window.partitionBy("year", "filename").orderBy("ord"))).where("_r = 1")
     number = F.regexp_extract("filename", r"Paper(\d{4})", 1)
-    return d.select("year", F.concat_ws("-", F.lit("miccai"), F.col("year").cast("string"), F.concat(F.lit("Paper"), number)).alias("paper_id"), "filename", F.concat(F.rtrim("base_url", F.lit("/")), F.lit("/"), F.col("path")).alias("paper_url"), "ord")
+    return d.select("year", F.concat_ws("-", F.lit(venue), F.col("year").cast("string"), F.concat(F.lit("Paper"), number)).alias("paper_id"), "filename", F.concat(F.rtrim("base_url", F.lit("/")), F.lit("/"), F.col("path")).alias("paper_url"), "ord")
 
 
 def parse_categories(pages: DataFrame) -> DataFrame:
@@ -234,11 +259,11 @@ def audit_fields(pages: DataFrame, years: DataFrame) -> DataFrame:
     than one list.  LOOSE: a quotation stands between them, outside any list.
     """
     ship(pages.sparkSession)
-    cfg = years.select("year", "era", "score_field_substring")
+    cfg = years.select("year", "era", "score_field_substring", "extra_review_fields")
     d = pages.join(cfg, "year", "left").withColumn("p", page_blocks("html"))
     new = F.coalesce(F.col("era") == NEW_ERA, F.lit(True))
-    d = d.select("paper_id", "score_field_substring", new.alias("new"), F.explode("p.blocks").alias("b")).where(F.col("b.head_id").rlike(r"^review-\d+$"))
-    d = d.withColumn("route", F.when(F.col("b.kind") == "field", route(F.lower("b.label"), F.col("score_field_substring"), F.col("new"))))
+    d = d.select("paper_id", "score_field_substring", "extra_review_fields", new.alias("new"), F.explode("p.blocks").alias("b")).where(F.col("b.head_id").rlike(r"^review-\d+$"))
+    d = d.withColumn("route", F.when(F.col("b.kind") == "field", route(F.lower("b.label"), F.col("score_field_substring"), F.col("new"), F.col("extra_review_fields"))))
     review = ["paper_id", "b.head_id"]
     dropped = d.where((F.col("b.kind") == "field") & F.col("route").isNull()).select("paper_id", F.lit("DROPPED").alias("kind"), F.col("b.label").alias("detail"))
     twice = d.where(F.col("route").isNotNull() & ~F.col("route").isin(*APPEND)).groupBy(*review, "route").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("paper_id", F.lit("OVERWRITTEN").alias("kind"), F.col("route").alias("detail"))

@@ -30,5 +30,6 @@ WORDS = ("doc string, page int, text string, fontname string, size double, x0 do
 LINES = ("doc string, page int, col int, ord int, text string, size double, x0 double, top double, bold boolean, italic boolean, new_flow boolean")
 YEARS = (
     "year int, era string, score_field_substring string, score_parse_mode string, post_rebuttal_has_score boolean, review_scale_max int, "
-    "coauthorship_network_min_papers int, num_top_papers int, n_submitted int, city string"
+    "coauthorship_network_min_papers int, num_top_papers int, n_submitted int, city string, "
+    "extra_review_fields array<struct<label_substring:string,store_as:string>>"
 )

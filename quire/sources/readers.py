@@ -79,11 +79,12 @@ def yaml_rows(path: str) -> dict:
 
 def year_config(spark: SparkSession, base: dict, submissions: dict[int, int] | None = None) -> DataFrame:
     """Configuration as a table, one row a year: the year's block over the base's, with defaults."""
-    names = [c.split()[0] for c in YEARS.split(", ")]
+    names = StructType.fromDDL(YEARS).fieldNames()
     defaults = {"review_scale_max": DEFAULT_SCALE, "coauthorship_network_min_papers": DEFAULT_MIN_PAPERS, "num_top_papers": DEFAULT_TOP, "score_parse_mode": "parens", "post_rebuttal_has_score": False}
     rows = []
     for year, block in sorted((base.get("years") or {}).items()):
         row = defaults | {k: v for k, v in base.items() if k in names} | (block or {}) | {"year": int(year), "n_submitted": (submissions or {}).get(int(year))}
+        row["extra_review_fields"] = [(x["label_substring"], x["store_as"]) for x in row.get("extra_review_fields") or []]
         rows.append(tuple(row.get(n) for n in names))
     return spark.createDataFrame(rows, YEARS)
 

@@ -16,7 +16,7 @@ from quire.streaming import incremental
 
 @pytest.fixture(scope="module")
 def years(spark):
-    return spark.createDataFrame([(2025, "2024_2025", "scale of 1-6", "parens", False, 6, 2, 20, 4, "A"), (2022, "2022_2023", "overall score", "bare_integer", True, 8, 2, 20, None, None)], YEARS)
+    return spark.createDataFrame([(2025, "2024_2025", "scale of 1-6", "parens", False, 6, 2, 20, 4, "A", []), (2022, "2022_2023", "overall score", "bare_integer", True, 8, 2, 20, None, None, [])], YEARS)
 
 
 def review(n, score, post="N/A"):
@@ -68,7 +68,7 @@ def test_audit(spark, years):
 
 def test_index_and_categories(spark):
     html = '<a href="/p/0012-Paper0007.html">x</a><a href="0012-Paper0007.html">again</a><a href="x.html">no</a><a href="0002-Paper0003.html">y</a>'
-    got = pages.parse_index(spark.createDataFrame([(2024, "http://b/", html)], "year int, base_url string, html string")).orderBy("ord").collect()
+    got = pages.parse_index(spark.createDataFrame([(2024, "http://b/", html)], "year int, base_url string, html string"), venue="miccai").orderBy("ord").collect()
     assert [(r.paper_id, r.paper_url) for r in got] == [("miccai-2024-Paper0007", "http://b/0012-Paper0007.html"), ("miccai-2024-Paper0003", "http://b/0002-Paper0003.html")]
     cats = '<h3 id="B">b</h3><div><a href="/1.html">1</a></div><h3 id="A">a</h3><div><a href="/1.html">1</a></div><div><a href="/2.html">2</a></div>'
     areas = pages.parse_categories(spark.createDataFrame([(cats,)], "html string")).collect()
