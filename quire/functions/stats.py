@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.operators.order import percentiles
 from quire.runtime import ship
 
 Z95 = 1.959963985
@@ -152,8 +153,9 @@ def kde(df: DataFrame, by: list[str], value: str, points: int = GRID_POINTS, flo
     v = F.col(value).cast("double")
     held = df.where(v.isNotNull())
     counts = held.groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    quartiles = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
-    shape = held.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(v).alias("_sd"), quartiles.alias("_q")).where(F.col("_n") >= min_n)
+    quartiles = percentiles(held, by, value, (0.25, 0.75), "_q").drop("n")
+    shape = held.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp(v).alias("_sd")).where(F.col("_n") >= min_n)
+    shape = shape.join(quartiles, by) if by else shape.join(quartiles, F.lit(True))
     iqr = F.get("_q", F.lit(1)) - F.get("_q", F.lit(0))
     sd = F.coalesce("_sd", F.lit(0.0))
     sigma = F.when(iqr > 0, F.least(sd, iqr / 1.349)).otherwise(sd)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quire.operators.order import percentiles
+
 
 class LabelMismatch(ValueError):
     """Labels that were made for another partition."""
@@ -116,11 +118,15 @@ def self_agreement(vectors: DataFrame, key: str = "paper_id", least: float = 0.9
 
 def drift(fitted: DataFrame, added: DataFrame, centres: DataFrame) -> DataFrame:
     """One row: distance percentiles of fitted and added vectors, and how many added ones lie beyond the fitted 99th."""
-    q = F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99))
+    q = (0.5, 0.9, 0.99)
     dist = lambda df: nearest_centroid(df, centres).select(F.sqrt("distance2").alias("d"))
-    a = dist(fitted).agg(F.percentile("d", q).alias("fit"))
-    b = dist(added).crossJoin(F.broadcast(a)).agg(F.percentile("d", q).alias("new"), F.first("fit").alias("fit"), F.count_if(F.col("d") > F.get("fit", F.lit(2))).alias("beyond"))
-    return b.select("fit", "new", "beyond")
+    far = dist(added)
+    a = percentiles(dist(fitted), [], "d", q, "fit").select("fit")
+    new = percentiles(far, [], "d", q, "new").select("new")
+    # One row each; counted last, so that the limit is known.
+    limit = a.first()
+    beyond = far.agg(F.count_if(F.col("d") > F.lit(limit.fit[2] if limit else None)).alias("beyond"))
+    return a.join(new, F.lit(True), "full").join(beyond, F.lit(True), "full").select("fit", "new", "beyond")
 
 
 def extend(vectors: DataFrame, incoming: DataFrame, stamp: str, key: str = "paper_id") -> tuple[DataFrame, DataFrame, str]:

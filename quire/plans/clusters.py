@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators import clustering
+from quire.operators import clustering, neighbours
 from quire.plans.registry import Tables, query
 
 
@@ -115,3 +115,16 @@ def nearest_members(t: Tables) -> DataFrame:
 def cluster_terms(t: Tables) -> DataFrame:
     """Class-based TF-IDF terms of each language."""
     return clustering.cluster_terms(t.documents, "lang", F.lit(""), F.col("text"), n=10).select("cluster", "rank", "term", F.round("score", 6).alias("score"))
+
+
+@query()
+def neighbour_graph(t: Tables) -> DataFrame:
+    """The fifteen nearest neighbours of each vector, by projection trees and neighbours' neighbours."""
+    return neighbours.nearest_neighbours(t.embeddings, 15, key="vec_id")
+
+
+@query()
+def neighbour_map(t: Tables) -> DataFrame:
+    """A map of the neighbour graph that starts from the first two principal components."""
+    flat = clustering.project_2d(t.embeddings.where("size(embedding) = 64 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x))")).select(F.col("vec_id").alias("id"), "x", "y")
+    return neighbours.neighbour_map(neighbours.nearest_neighbours(t.embeddings, 15, key="vec_id"), flat)
