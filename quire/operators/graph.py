@@ -5,18 +5,17 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from quire.operators.order import ranked
 from quire.runtime import discard, materialize, ship
 
-#: Largest graph that the layout takes to the driver; its forces are arrays of vertices by vertices.
-MAX_DRIVER_EDGES, MAX_LAYOUT_VERTICES = 200_000, 3_000
-#: Edges of a component that one task merges into communities (some 500 bytes each).
+#: Edges of a component that one task merges into communities (some 500 bytes each); larger ones move in parallel first.
 MAX_COMPONENT_EDGES = 2_000_000
+#: Rounds of moves on a level, and the least gain of modularity for another level.
+SWEEPS, LEAST_GAIN = 8, 1e-7
 
 
 def cooccurrence(items: DataFrame, group: str, item: str, keep: DataFrame | None = None) -> DataFrame:
@@ -102,6 +101,8 @@ def greedy_modularity(edges: list[tuple[str, str, float]], nodes: list[str], tot
     for a, b, w in edges:
         strength[a] += w / (2 * total)
         strength[b] += w / (2 * total)
+        if a == b:  # what a contracted vertex holds inside
+            continue
         between[a][b] = between[a].get(b, 0) + w / (2 * total)
         between[b][a] = between[b].get(a, 0) + w / (2 * total)
     merges = dict.fromkeys(nodes, 0)
@@ -132,14 +133,94 @@ def greedy_modularity(edges: list[tuple[str, str, float]], nodes: list[str], tot
     return sorted((sorted(m) for m in member.values()), key=lambda m: (-len(m), m[0]))
 
 
-def communities(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+def modularity(edges: DataFrame, groups: DataFrame) -> float:
+    """Modularity of (id, community) on u, v, weight; an edge from a vertex to itself is inside."""
+    c = groups.select(F.col("id"), F.col("community").alias("c"))
+    e = edges.select("u", "v", F.col("weight").cast("double").alias("w")).join(c.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(c.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v")
+    total = e.agg(F.sum("w")).first()[0]
+    if not total:
+        return 0.0
+    inside = e.where("cu = cv").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    ends = e.select(F.col("cu").alias("c"), "w").unionByName(e.select(F.col("cv").alias("c"), "w"))
+    squares = ends.groupBy("c").agg(F.sum("w").alias("s")).agg(F.sum(F.pow(F.col("s") / (2 * total), F.lit(2.0)))).first()[0]
+    return inside / total - squares
+
+
+def _move(edges: DataFrame, state: DataFrame, total: float, turn: int) -> DataFrame:
+    """One round of moves: id, k (strength), c (community).
+
+    Half of the vertices, drawn by hash, may go to the neighbouring community of
+    the largest gain, ties by its name; so that two vertices don't swap places for ever.
+    """
+    sums = state.groupBy("c").agg(F.sum("k").alias("in_c"))
+    out = edges.select(F.col("u").alias("id"), F.col("v").alias("other"), "w").unionByName(edges.select(F.col("v").alias("id"), F.col("u").alias("other"), "w")).where("id <> other")
+    near = out.join(state.select(F.col("id").alias("other"), F.col("c").alias("to")), "other").groupBy("id", "to").agg(F.sum("w").alias("links"))
+    movers = state.where(F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(2)) == 0)
+    # The own community is a candidate too, with or without links into it.
+    here = movers.select("id", F.col("c").alias("to"), F.lit(0.0).alias("links"))
+    choices = near.unionByName(here).groupBy("id", "to").agg(F.sum("links").alias("links")).join(movers, "id").join(sums.withColumnRenamed("c", "to"), "to")
+    stays = F.col("to") == F.col("c")
+    gain = F.col("links") - F.col("k") * (F.col("in_c") - F.when(stays, F.col("k")).otherwise(0.0)) / (2 * total)
+    best = choices.withColumn("g", gain).groupBy("id").agg(F.max_by("to", F.struct("g", stays.alias("s"), (-F.xxhash64("to")).alias("h"))).alias("best"))
+    return state.join(best, "id", "left").select("id", "k", F.coalesce("best", "c").alias("c"))
+
+
+def parallel_communities(edges: DataFrame, vertices: DataFrame, merge_edges: int = MAX_COMPONENT_EDGES) -> DataFrame:
+    """id, community (a member's name) of a graph of any size, by moves in parallel and contraction.
+
+    On each level vertices move to neighbouring communities for ``SWEEPS`` rounds,
+    and communities become the vertices of the next one, until modularity gains
+    less than ``LEAST_GAIN``.  What is left is merged greedily as a graph of its own if it
+    has at most ``merge_edges`` edges, which is exact for that graph.  All tables are
+    keyed by vertex or by vertex and community; an aggregate sums a hot vertex's
+    edges before they move.
+    """
+    kind = vertices.schema["id"].dataType.simpleString()
+    e = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("weight").cast("double").alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
+    total = e.agg(F.sum("w")).first()[0]
+    names = vertices.select("id", F.col("id").alias("community"))
+    if not total:
+        return names
+    named = e.withColumnRenamed("w", "weight")
+    names, best, turn = materialize(names), None, 0
+    while True:
+        ends = e.select(F.col("u").alias("id"), "w").unionByName(e.select(F.col("v").alias("id"), "w"))
+        state = materialize(ends.groupBy("id").agg(F.sum("w").alias("k")).withColumn("c", F.col("id")))
+        for _ in range(SWEEPS):
+            new = materialize(_move(e, state, total, turn))
+            discard(state)
+            state, turn = new, turn + 1
+        moved = state.select(F.col("id").alias("community"), F.col("c").alias("to"))
+        after = materialize(names.join(moved, "community", "left").select("id", F.coalesce("to", "community").alias("community")))
+        value = modularity(named, after)
+        if best is not None and value < best + LEAST_GAIN:
+            discard(after)
+            break
+        best, names = value, after
+        cu, cv = (state.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in ("u", "v"))
+        e2 = e.join(cu, "u").join(cv, "v").groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w"))
+        e2 = materialize(e2)
+        e = e2
+    if e.count() <= merge_edges:
+
+        def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+            links = sorted(zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["w"].tolist(), strict=True))
+            groups = greedy_modularity(links, sorted({x for a, b, _ in links for x in (a, b)}), total)
+            return pd.DataFrame([(x, g[0]) for g in groups for x in g], columns=["community", "to"])
+
+        last = e.groupBy(F.lit(0)).applyInPandas(merged, f"community {kind}, to {kind}")
+        names = names.join(last, "community", "left").select("id", F.coalesce("to", "community").alias("community"))
+    return names
+
+
+def communities(edges: DataFrame, vertices: DataFrame, component_edges: int = MAX_COMPONENT_EDGES) -> DataFrame:
     """id, community (0 is the largest, equal sizes by smallest member).
 
     Greedy modularity merges neighbours only, and beside the graph's total
     weight a gain depends on nothing outside its component; so components are
     merged apart, each in a task, and the result is that of the whole graph.
-    Within a component the method is sequential: one of more than
-    ``MAX_COMPONENT_EDGES`` edges is an error, never cut.
+    Within a component the method is sequential: components of more than
+    ``component_edges`` edges go through ``parallel_communities`` first.
     """
     ship(edges.sparkSession)
     kind = vertices.schema["id"].dataType.simpleString()
@@ -147,46 +228,22 @@ def communities(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     parts = materialize(connected_components(held, vertices))
     total = held.agg(F.sum("weight")).first()[0] or 0.0
     linked = held.join(parts.withColumnRenamed("id", "u"), "u")
-    most = linked.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if most > MAX_COMPONENT_EDGES:
-        raise ValueError(f"a component of {most} edges; at most {MAX_COMPONENT_EDGES} are merged in one task, raise the minimum support")
+    sizes = materialize(linked.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    small, large = sizes.where(F.col("n") <= component_edges).select("component"), sizes.where(F.col("n") > component_edges).select("component")
 
     def merged(pdf: pd.DataFrame) -> pd.DataFrame:
         links = list(zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["weight"].tolist(), strict=True))
         groups = greedy_modularity(sorted(links), sorted({x for a, b, _ in links for x in (a, b)}), total)
-        return pd.DataFrame([(x, g[0], len(g)) for g in groups for x in g], columns=["id", "first", "size"])
-
-    found = materialize(linked.groupBy("component").applyInPandas(merged, f"id {kind}, first {kind}, size long"))
-    lone = vertices.select("id").distinct().join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("first"), F.lit(1).cast("long").alias("size"))
+        return pd.DataFrame([(x, g[0]) for g in groups for x in g], columns=["id", "community"])
+
+    found = linked.join(small, "component", "left_semi").groupBy("component").applyInPandas(merged, f"id {kind}, community {kind}")
+    if not large.isEmpty():
+        rest = parts.join(large, "component", "left_semi").select("id")
+        found = found.unionByName(parallel_communities(linked.join(large, "component", "left_semi").select("u", "v", "weight"), rest))
+    found = materialize(found)
+    lone = vertices.select("id").distinct().join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("community"))
     every = found.unionByName(lone)
     # One row a community is numbered, not one a vertex.
-    order = every.select("first", "size").distinct().select("first", (F.row_number().over(Window.orderBy(F.desc("size"), "first")) - 1).alias("community"))
-    return every.join(order, "first").select("id", "community")
-
-
-def _local(edges: DataFrame, vertices: DataFrame) -> tuple[list[tuple[str, str, float]], list[str]]:
-    """The graph on the driver, if it is small enough."""
-    for n, most, what in ((edges.count(), MAX_DRIVER_EDGES, "edges"), (vertices.count(), MAX_LAYOUT_VERTICES, "vertices")):
-        if n > most:
-            raise ValueError(f"{n} {what}; at most {most} are taken to the driver, raise the minimum support")
-    return [(r.u, r.v, float(r.weight)) for r in edges.orderBy("u", "v").collect()], [r.id for r in vertices.select("id").orderBy("id").collect()]
-
-
-def spring_layout(edges: DataFrame, vertices: DataFrame, rounds: int = 50, seed: int = 42) -> DataFrame:
-    """id, x, y: force-directed layout of a small graph, on the driver."""
-    local, nodes = _local(edges, vertices)
-    at = {n: i for i, n in enumerate(nodes)}
-    n = max(len(nodes), 1)
-    pos = np.random.default_rng(seed).random((n, 2))
-    pull = np.zeros((n, n))
-    for a, b, w in local:
-        pull[at[a], at[b]] = pull[at[b], at[a]] = w
-    k, heat = 2.5 / np.sqrt(n), 0.1
-    for step in range(rounds):
-        delta = pos[:, None] - pos[None]
-        dist = np.maximum(np.sqrt((delta**2).sum(-1)), 0.01)
-        force = (delta * (k * k / dist**2 - pull * dist / k)[..., None]).sum(1)
-        size = np.maximum(np.sqrt((force**2).sum(-1)), 0.01)
-        pos += force / size[:, None] * heat * (1 - step / rounds)
-    kind = vertices.schema["id"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame([(x, float(pos[i, 0]), float(pos[i, 1])) for x, i in at.items()], f"id {kind}, x double, y double")
+    named = every.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"))
+    order = materialize(ranked(named.withColumn("_s", -F.col("size")), "_s", "first"))
+    return every.join(order.select("community", F.col("rank").cast("int").alias("n")), "community").select("id", F.col("n").alias("community"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators import graph
+from quire.operators import drawing, graph
 from quire.plans.registry import Tables, query
 
 _PAIRS = """
@@ -70,3 +70,28 @@ SELECT id, n FROM c, t WHERE n >= least
 def labelled_vertices(t: Tables) -> DataFrame:
     """Vertices with at least the 25th largest count, ties included."""
     return graph.label_threshold(graph.active_items(t.lineitem, "l_partkey", "l_orderkey", 1).withColumnRenamed("l_partkey", "id"), 25)
+
+
+@query("""
+WITH RECURSIVE b AS (SELECT doc_id AS id, n_chars % 40 + 1 AS n, greatest(sqrt(n_chars % 40 + 1), 1.0) AS side FROM documents),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY n DESC, id) AS i FROM b),
+lim AS MATERIALIZED (SELECT greatest(sqrt(sum(side)) * 1.6, max(side)) AS width FROM b),
+s AS (
+  SELECT i, id, n, 0.0::DOUBLE AS l, 0.0::DOUBLE AS t, side AS high, side + 0.35::DOUBLE AS x FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.i, o.id, o.n, CASE WHEN x + side > width THEN 0 ELSE x END, CASE WHEN x + side > width THEN t - high - 0.35 ELSE t END,
+         CASE WHEN x + side > width THEN side ELSE greatest(high, side) END, CASE WHEN x + side > width THEN 0 ELSE x END + side + 0.35
+  FROM s JOIN o ON o.i = s.i + 1, lim)
+SELECT id, n, round(l, 6) AS "left", round(t, 6) AS top FROM s
+""")
+def shelf_packing(t: Tables) -> DataFrame:
+    """Boxes of the documents on shelves, largest first."""
+    d = drawing.pack_shelves(t.documents.select(F.col("doc_id").alias("id"), (F.col("n_chars") % 40 + 1).alias("n")))
+    return d.select("id", "n", F.round("left", 6).alias("left"), F.round("top", 6).alias("top"))
+
+
+@query()
+def graph_layout(t: Tables) -> DataFrame:
+    """Layout of the parts of urgent orders: one component of most parts, many small ones."""
+    v = t.part.select(F.col("p_partkey").alias("id"))
+    return drawing.component_layout(strong(t), v, rounds=10)

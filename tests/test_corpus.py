@@ -241,7 +241,6 @@ def test_graph(spark):
     assert {r.id: r.component for r in comp.collect()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "d", "f": "f"}
     got = {r.id: r.community for r in graph.communities(e, v).collect()}
     assert got["a"] == got["b"] != got["d"] == got["e"]
-    assert graph.spring_layout(e, v).count() == 4
 
 
 def plain_communities(edges, nodes):
@@ -265,7 +264,7 @@ def plain_communities(edges, nodes):
         groups[a] |= groups.pop(b)
 
 
-def test_communities_of_all_pairs(spark, monkeypatch):
+def test_communities_of_all_pairs(spark):
     rng = random.Random(5)
     # three components of their own sizes, and two vertices without an edge
     edges = [(a, b, rng.randint(1, 4)) for lo, hi, p in ((0, 25, 0.25), (30, 45, 0.3), (50, 53, 1.0)) for a in range(lo, hi) for b in range(a + 1, hi) if rng.random() < p]
@@ -274,9 +273,9 @@ def test_communities_of_all_pairs(spark, monkeypatch):
     v = spark.createDataFrame([(n,) for n in nodes], "id long")
     assert {r.id: r.community for r in graph.communities(e, v).collect()} == plain_communities(edges, nodes)
     assert {r.id: r.community for r in graph.communities(e.limit(0), v).collect()} == {n: i for i, n in enumerate(nodes)}
-    monkeypatch.setattr(graph, "MAX_COMPONENT_EDGES", 2)
-    with pytest.raises(ValueError, match="component of"):
-        graph.communities(e, v)
+    got = {r.id: r.community for r in graph.communities(e, v, component_edges=2).collect()}
+    assert got.keys() == set(nodes) and sorted(set(got.values())) == list(range(len(set(got.values()))))
+    assert not {got[n] for n in nodes if n < 25} & {got[n] for n in nodes if n >= 30}
 
 
 def test_fingerprint_is_of_the_sorted_lines(spark):
