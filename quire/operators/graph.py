@@ -14,8 +14,8 @@ from quire.runtime import discard, materialize, ship
 
 #: Edges of a component that one task merges into communities (some 500 bytes each); larger ones move in parallel first.
 MAX_COMPONENT_EDGES = 2_000_000
-#: Rounds of moves on a level, and the least gain of modularity for another level.
-SWEEPS, LEAST_GAIN = 8, 1e-7
+#: Rounds of moves on a level and in a refinement, and the least gain of modularity for another refinement.
+SWEEPS, REFINE, LEAST_GAIN = 8, 4, 1e-4
 
 
 def cooccurrence(items: DataFrame, group: str, item: str, keep: DataFrame | None = None) -> DataFrame:
@@ -168,49 +168,61 @@ def _move(edges: DataFrame, state: DataFrame, total: float, turn: int) -> DataFr
 def parallel_communities(edges: DataFrame, vertices: DataFrame, merge_edges: int = MAX_COMPONENT_EDGES) -> DataFrame:
     """id, community (a member's name) of a graph of any size, by moves in parallel and contraction.
 
-    On each level vertices move to neighbouring communities for ``SWEEPS`` rounds,
-    and communities become the vertices of the next one, until modularity gains
-    less than ``LEAST_GAIN``.  What is left is merged greedily as a graph of its own if it
-    has at most ``merge_edges`` edges, which is exact for that graph.  All tables are
-    keyed by vertex or by vertex and community; an aggregate sums a hot vertex's
-    edges before they move.
+    While the graph has more than ``merge_edges`` edges, its vertices move to neighbouring
+    communities for ``SWEEPS`` rounds, and communities become the vertices of the next
+    level.  What is left is merged greedily, which is exact for that graph.  Then the
+    vertices themselves move again, as long as modularity rises.  All tables are keyed
+    by vertex or by vertex and community; an aggregate sums a hot vertex's edges
+    before they move.
     """
     kind = vertices.schema["id"].dataType.simpleString()
-    e = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("weight").cast("double").alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
-    total = e.agg(F.sum("w")).first()[0]
-    names = vertices.select("id", F.col("id").alias("community"))
+    first = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("weight").cast("double").alias("w")).groupBy("u", "v").agg(F.sum("w").alias("w")))
+    total = first.agg(F.sum("w")).first()[0]
+    names = materialize(vertices.select("id", F.col("id").alias("community")))
     if not total:
         return names
-    named = e.withColumnRenamed("w", "weight")
-    names, best, turn = materialize(names), None, 0
-    while True:
+    e, n, turn = first, first.count(), 0
+
+    def moved(e: DataFrame, start: DataFrame | None, rounds: int) -> DataFrame:
+        """id, c after some rounds from (id, c), or from a community a vertex."""
+        nonlocal turn
         ends = e.select(F.col("u").alias("id"), "w").unionByName(e.select(F.col("v").alias("id"), "w"))
-        state = materialize(ends.groupBy("id").agg(F.sum("w").alias("k")).withColumn("c", F.col("id")))
-        for _ in range(SWEEPS):
+        strength = ends.groupBy("id").agg(F.sum("w").alias("k"))
+        state = materialize(strength.withColumn("c", F.col("id")) if start is None else strength.join(start, "id").select("id", "k", "c"))
+        for _ in range(rounds):
             new = materialize(_move(e, state, total, turn))
             discard(state)
             state, turn = new, turn + 1
-        moved = state.select(F.col("id").alias("community"), F.col("c").alias("to"))
-        after = materialize(names.join(moved, "community", "left").select("id", F.coalesce("to", "community").alias("community")))
-        value = modularity(named, after)
-        if best is not None and value < best + LEAST_GAIN:
-            discard(after)
-            break
-        best, names = value, after
+        return state.select("id", "c")
+
+    while n > merge_edges:
+        state = moved(e, None, SWEEPS)
+        names = materialize(names.join(state.select(F.col("id").alias("community"), "c"), "community", "left").select("id", F.coalesce("c", "community").alias("community")))
         cu, cv = (state.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in ("u", "v"))
-        e2 = e.join(cu, "u").join(cv, "v").groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w"))
-        e2 = materialize(e2)
-        e = e2
-    if e.count() <= merge_edges:
+        e = materialize(e.join(cu, "u").join(cv, "v").groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w")))
+        before, n = n, e.count()
+        if n > 0.9 * before:  # no community left to find by moves of vertices
+            break
+    if n <= merge_edges:
 
         def merged(pdf: pd.DataFrame) -> pd.DataFrame:
             links = sorted(zip(pdf["u"].tolist(), pdf["v"].tolist(), pdf["w"].tolist(), strict=True))
             groups = greedy_modularity(links, sorted({x for a, b, _ in links for x in (a, b)}), total)
             return pd.DataFrame([(x, g[0]) for g in groups for x in g], columns=["community", "to"])
 
-        last = e.groupBy(F.lit(0)).applyInPandas(merged, f"community {kind}, to {kind}")
-        names = names.join(last, "community", "left").select("id", F.coalesce("to", "community").alias("community"))
-    return names
+        last = e.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(merged, f"community {kind}, to {kind}")
+        names = materialize(names.join(last, "community", "left").select("id", F.coalesce("to", "community").alias("community")))
+    named, value = first.withColumnRenamed("w", "weight"), None
+    while True:
+        value = modularity(named, names) if value is None else value
+        state = moved(first, names.select("id", F.col("community").alias("c")), REFINE)
+        better = materialize(names.join(state, "id", "left").select("id", F.coalesce("c", "community").alias("community")))
+        now = modularity(named, better)
+        if now < value + LEAST_GAIN:
+            discard(better)
+            return names
+        discard(names)
+        names, value = better, now
 
 
 def communities(edges: DataFrame, vertices: DataFrame, component_edges: int = MAX_COMPONENT_EDGES) -> DataFrame:
@@ -239,7 +251,7 @@ def communities(edges: DataFrame, vertices: DataFrame, component_edges: int = MA
     found = linked.join(small, "component", "left_semi").groupBy("component").applyInPandas(merged, f"id {kind}, community {kind}")
     if not large.isEmpty():
         rest = parts.join(large, "component", "left_semi").select("id")
-        found = found.unionByName(parallel_communities(linked.join(large, "component", "left_semi").select("u", "v", "weight"), rest))
+        found = found.unionByName(parallel_communities(linked.join(large, "component", "left_semi").select("u", "v", "weight"), rest, component_edges))
     found = materialize(found)
     lone = vertices.select("id").distinct().join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("community"))
     every = found.unionByName(lone)

@@ -79,12 +79,12 @@ def planted(groups, size, inside, between, seed):
 def test_parallel_communities_find_planted_groups(spark):
     edges = planted(8, 25, 0.4, 0.01, 1)
     e, v = spark.createDataFrame(edges, "u long, v long, weight double"), spark.range(200)
-    got = graph.parallel_communities(e, v).cache()
+    got = graph.parallel_communities(e, v, merge_edges=200).cache()
     sets = {}
     for r in got.collect():
         sets.setdefault(r.community, set()).add(r.id)
     assert sorted(map(sorted, sets.values())) == [list(range(i * 25, i * 25 + 25)) for i in range(8)]
-    again = graph.parallel_communities(e.repartition(7), v).collect()
+    again = graph.parallel_communities(e.repartition(7), v, merge_edges=200).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, got.collect()))
 
 
