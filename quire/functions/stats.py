@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.operators.order import percentiles
+from quire.operators.order import percentiles, ranged
 from quire.runtime import ship
 
 Z95 = 1.959963985
@@ -56,61 +56,108 @@ def cliffs_delta(df: DataFrame, by: list[str], value: str, side: str) -> DataFra
     return out.withColumn("delta", delta).withColumn("magnitude", magnitude(F.col("delta"))).drop("_under", "_tied")
 
 
-def _ranked_delta(a: np.ndarray, b: np.ndarray) -> float:
-    s = np.sort(b)
-    return float((np.searchsorted(s, a, "left") - (len(s) - np.searchsorted(s, a, "right"))).sum() / (len(a) * len(s)))
+def _draws(group: int, value: float, side: int, count: int, n_boot: int, seed: int) -> np.ndarray:
+    """How often a value that occurs ``count`` times is in each resample.
 
+    Rows enter a resample by independent Poisson numbers of mean 1, so a value's
+    rows together by one of mean ``count``; the seed is the value's own, so the
+    draws don't depend on partitions or the order of rows.
+    """
+    bits = np.float64(value).view(np.uint64)
+    return np.random.default_rng([seed, group & (2**64 - 1), int(bits), side]).poisson(count, n_boot)
 
-def bootstrap_mean(df: DataFrame, by: list[str], value: str, order: str, stat: Callable[..., np.ndarray] = np.mean, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """by..., n, estimate, low, high by percentile bootstrap of a group's values.
 
-    ``stat`` takes an array and ``axis``.  Values are resampled in the order of
-    ``order``, so a group's result depends on its rows alone.  Below three
-    values the bounds are null; so is the estimate of none.  Resamples are drawn
-    in blocks of bounded size.
-    """
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema.fields)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[value].dropna().to_numpy(float)
-        n = len(v)
-        low = high = None
-        if n >= 3:
-            rng = np.random.default_rng(seed)
-            block = max(1, 4_000_000 // n)
-            draws = np.concatenate([stat(v[rng.integers(0, n, (min(block, n_boot - i), n))], axis=1) for i in range(0, n_boot, block)])
-            low, high = (float(x) for x in np.percentile(draws, [100 * alpha / 2, 100 * (1 - alpha / 2)]))
-        head = {c: [pdf[c].iloc[0]] for c in by}
-        return pd.DataFrame(head | {"n": [n], "estimate": [float(stat(v, axis=0)) if n else None], "low": [low], "high": [high]})
+def _sums(df: DataFrame, by: list[str], value: str, side: Column | None, n_boot: int, seed: int) -> DataFrame:
+    """by..., _part, _b (resample), and what the values of a range give to it.
 
+    With ``side``: a, b (rows of each side) and under (pairs of the range in which
+    a's value is the larger, ties half, both doubled); without: a (rows), total (their sum).
+    Values are counted first; a task holds one group's sums at a time.
+    """
     ship(df.sparkSession)
-    return df.select(*by, value, order).groupBy(*by).applyInPandas(one, f"{kinds}, n long, estimate double, low double, high double")
-
-
-def bootstrap_delta(df: DataFrame, by: list[str], value: str, side: str, order: str, n_boot: int = 2_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """by..., delta, low, high: Cliff's delta with percentile bootstrap bounds (null below three a side)."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema.fields)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[value, side]).sort_values(order)
-        on = pdf[side].to_numpy(bool)
-        a, b = pdf[value].to_numpy(float)[on], pdf[value].to_numpy(float)[~on]
-        delta = _ranked_delta(a, b) if len(a) and len(b) else None
-        low = high = None
-        if min(len(a), len(b)) >= 3:
-            rng = np.random.default_rng(seed)
-            draws = [_ranked_delta(a[rng.integers(0, len(a), len(a))], b[rng.integers(0, len(b), len(b))]) for _ in range(n_boot)]
-            low, high = (float(x) for x in np.percentile(draws, [100 * alpha / 2, 100 * (1 - alpha / 2)]))
-        head = {c: [pdf[c].iloc[0] if len(pdf) else None] for c in by}
-        return pd.DataFrame(head | {"delta": [delta], "low": [low], "high": [high]})
+    v = F.col(value).cast("double")
+    held = df.where(v.isNotNull() & ~F.isnan(v))
+    held = held if side is None else held.where(side.isNotNull())
+    sides = [F.count(F.lit(1)).alias("_a"), F.lit(0).cast("long").alias("_c")] if side is None else [F.sum(side.cast("long")).alias("_a"), F.sum((~side).cast("long")).alias("_c")]
+    counts = held.groupBy(*by, (v + 0.0).alias("_v")).agg(*sides).withColumn("_h", F.xxhash64(*by) if by else F.lit(0).cast("long"))
+    ranges = ranged(counts, ["_h", *by, "_v"])
+    names = [f"_by{i}" for i in range(len(by))]
+    kinds = [f"{n} {counts.schema[c].dataType.simpleString()}" for n, c in zip(names, by, strict=True)]
+    cols = ranges.select("_part", *[F.col(c).alias(n) for n, c in zip(names, by, strict=True)], "_i", "_h", "_v", "_a", "_c")
+
+    one_side = side is None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = sums = last = None
+
+        def row() -> pd.DataFrame:
+            return pd.DataFrame([[*key, *(x.tolist() for x in sums)]], columns=["_part", *names, "_from", "a", "b", "x"])
+
+        for pdf in batches:
+            for *head, i, h, value, a, c in pdf.itertuples(index=False):
+                # Another group or range, or another piece of the range's file, has sums of its own.
+                if key is None or i != last + 1 or not all(x == y or (x != x and y != y) for x, y in zip(head, key, strict=False)):
+                    if key is not None:
+                        yield row()
+                    key, sums = [*head, i], [np.zeros(n_boot, np.int64), np.zeros(n_boot, np.int64), np.zeros(n_boot)]
+                last = i
+                first = _draws(int(h), value, 0, a, n_boot, seed) if a else 0
+                if one_side:
+                    sums[2] += first * value
+                else:
+                    second = _draws(int(h), value, 1, c, n_boot, seed) if c else 0
+                    sums[2] += first * (2 * sums[1] + second)
+                    sums[1] += second
+                sums[0] += first
+        if key is not None:
+            yield row()
+
+    out = cols.mapInPandas(run, ", ".join(["_part long", *kinds, "_from long", "a array<long>", "b array<long>", "x array<double>"]))
+    both = F.posexplode(F.arrays_zip("a", "b", "x")).alias("_b", "z")
+    return out.select("_part", "_from", *[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], both).select("_part", "_from", *by, "_b", "z.*")
+
+
+def _bounds(draws: DataFrame, by: list[str], alpha: float) -> DataFrame:
+    """by..., low, high of ``d`` over resamples, rounded where the order of sums could show."""
+    q = F.percentile("d", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    cut = lambda c: F.when(c == 0, 0.0).otherwise(F.round(c / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c)))), 9) * F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c)))))
+    return draws.groupBy(*by).agg(q.alias("q")).select(*by, cut(F.get("q", F.lit(0))).alias("low"), cut(F.get("q", F.lit(1))).alias("high"))
+
+
+def _with_bounds(found: DataFrame, bounds: DataFrame, by: list[str], enough: Column) -> DataFrame:
+    names = [f"_by{i}" for i in range(len(by))]
+    b = bounds.select(*[F.col(c).alias(n) for n, c in zip(names, by, strict=True)], "low", "high")
+    on = [F.col(c).eqNullSafe(F.col(n)) for n, c in zip(names, by, strict=True)] or [F.lit(True)]
+    return found.join(b, on, "left").drop(*names).withColumn("low", F.when(enough, F.col("low"))).withColumn("high", F.when(enough, F.col("high")))
+
+
+def bootstrap_mean(df: DataFrame, by: list[str], value: str, n_boot: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """by..., n, estimate, sd (of the population), low, high: mean with percentile bootstrap bounds.
+
+    Resamples are Poisson ones (see ``_draws``), summed by ranges of values: no
+    task holds a group.  Below three values the bounds are null; so is the
+    estimate of none.  A resample without rows has no mean and is left out.
+    """
+    v = F.col(value).cast("double")
+    found = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("estimate"), F.stddev_pop(v).alias("sd"))
+    draws = _sums(df, by, value, None, n_boot, seed).groupBy(*by, "_b").agg(F.sum("a").alias("a"), F.sum("x").alias("x")).where("a > 0").withColumn("d", F.col("x") / F.col("a"))
+    return _with_bounds(found, _bounds(draws, by, alpha), by, F.col("n") >= 3)
 
-    ship(df.sparkSession)
-    return df.select(*by, value, side, order).groupBy(*by).applyInPandas(one, f"{kinds}, delta double, low double, high double")
 
+def bootstrap_delta(df: DataFrame, by: list[str], value: str, side: str, n_boot: int = 2_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """by..., n_a, n_b, delta, magnitude, low, high: Cliff's delta with percentile bootstrap bounds (null below three a side).
 
-def mean_interval(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by..., n, mean and population standard deviation."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    A range of values counts its own pairs and its rows of each side; the rows of
+    the lower ranges then add theirs, so pairs are never formed.
+    """
+    found = cliffs_delta(df, by, value, side)
+    parts = _sums(df, by, value, F.col(side), n_boot, seed)
+    lower = Window.partitionBy(*by, "_b").orderBy("_part", "_from").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("below", F.coalesce(F.sum("b").over(lower), F.lit(0)))
+    sums = parts.groupBy(*by, "_b").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("x") + 2.0 * F.col("a") * F.col("below")).alias("x"))
+    pairs = F.col("a").cast("double") * F.col("b")
+    draws = sums.where("a > 0 AND b > 0").withColumn("d", F.col("x") / pairs - 1)
+    return _with_bounds(found, _bounds(draws, by, alpha), by, (F.col("n_a") >= 3) & (F.col("n_b") >= 3))
 
 
 def histogram_discrete(df: DataFrame, value: str, low: int | None = None, high: int | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from quire.runtime import materialize
 ROW_BITS = 33
 
 
-def _ranged(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def ranged(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` written in ranges of the keys, sorted; ``_part`` and ``_i`` are a row's range and place in it."""
     d = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
     d = materialize(d)
@@ -26,7 +26,7 @@ def ranked(df: DataFrame, *keys: str, name: str = "rank") -> DataFrame:
 
     Ranges are sorted apart; the rows before a range are a running sum with a row a range.
     """
-    d = _ranged(df, keys)
+    d = ranged(df, keys)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return d.join(starts, "_part").select(*df.columns, (F.col("_start") + F.col("_i")).alias(name))
@@ -50,7 +50,7 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, at: Sequence[float
     """
     by = list(by)
     held = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    d = _ranged(held, [*by, "_v"])
+    d = ranged(held, [*by, "_v"])
     # What a range holds of a group, and what lies before it in the same group: a row a range and group.
     per_range = d.groupBy("_part", *by).agg(F.sum("_c").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

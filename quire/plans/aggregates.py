@@ -198,13 +198,13 @@ def stratified_delta(t: Tables) -> DataFrame:
 @query()
 def bootstrap_mean_ci(t: Tables) -> DataFrame:
     """Percentile bootstrap of the mean length by language."""
-    return stats.bootstrap_mean(labelled(t), ["lang"], "n_chars", "doc_id")
+    return stats.bootstrap_mean(labelled(t), ["lang"], "n_chars")
 
 
 @query()
 def bootstrap_delta_ci(t: Tables) -> DataFrame:
     """Cliff's delta with bootstrap bounds by language."""
-    return stats.bootstrap_delta(labelled(t).withColumn("s", F.col("quality") == 1), ["lang"], "n_chars", "s", "doc_id", n_boot=500)
+    return stats.bootstrap_delta(labelled(t).withColumn("s", F.col("quality") == 1), ["lang"], "n_chars", "s")
 
 
 @query("""

@@ -38,19 +38,47 @@ def test_wilson(spark):
 
 
 def test_bootstrap(spark):
-    df = spark.createDataFrame([("c", i, 2.0) for i in range(5)] + [("two", i, float(i)) for i in range(2)] + [("v", i, float(i % 7)) for i in range(60)], "g string, i int, v double")
-    run = lambda: {r.g: r for r in stats.bootstrap_mean(df, ["g"], "v", "i", n_boot=500).collect()}
-    a, b = run(), run()
-    assert a == b
-    assert (a["c"].low, a["c"].high) == (2.0, 2.0)
+    df = spark.createDataFrame([("c", 2.0) for i in range(9)] + [("two", float(i)) for i in range(2)] + [("v", float(i % 7)) for i in range(60)] + [(None, None), (None, 1.0), ("none", None)], "g string, v double")
+    run = lambda d: {r.g: r for r in stats.bootstrap_mean(d, ["g"], "v", n_boot=500).withColumn("sd", F.round("sd", 9)).collect()}
+    a = run(df)
+    assert a == run(df.repartition(7)) == run(df.coalesce(1)), "the same for any partitions"
+    assert (a["c"].low, a["c"].high, a["c"].sd) == (2.0, 2.0, 0.0)
     assert a["two"].estimate == 0.5 and a["two"].low is None and a["two"].high is None
+    assert (a["none"].n, a["none"].estimate, a[None].n, a[None].estimate, a[None].low) == (0, None, 1, 1.0, None)
     assert a["v"].low < a["v"].estimate < a["v"].high
 
 
+def classical(rng, draw, n_boot=4000):
+    return np.percentile([draw(rng) for _ in range(n_boot)], [2.5, 97.5])
+
+
+def test_bounds_are_near_those_of_drawing_rows(spark):
+    r = np.random.default_rng(7)
+    v, s = np.round(r.gamma(2, 50, 400)), r.random(400) < 0.4
+    v[s] += 20
+    df = spark.createDataFrame([(float(x), bool(y)) for x, y in zip(v, s, strict=True)], "v double, s boolean").withColumn("g", F.lit("g")).repartition(5)
+    m = stats.bootstrap_mean(df, ["g"], "v").first()
+    low, high = classical(r, lambda g: v[g.integers(0, 400, 400)].mean())
+    assert m.estimate == pytest.approx(v.mean()) and m.low == pytest.approx(low, abs=0.15 * (high - low)) and m.high == pytest.approx(high, abs=0.15 * (high - low))
+    d = stats.bootstrap_delta(df, ["g"], "v", "s").first()
+    a, b = v[s], v[~s]
+    delta = lambda x, y: np.sign(x[:, None] - y).mean()
+    low, high = classical(r, lambda g: delta(a[g.integers(0, len(a), len(a))], b[g.integers(0, len(b), len(b))]), 2000)
+    assert d.delta == pytest.approx(delta(a, b)) and d.low == pytest.approx(low, abs=0.15 * (high - low)) and d.high == pytest.approx(high, abs=0.15 * (high - low))
+
+
+def test_no_task_holds_a_group(spark):
+    df = spark.range(100).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"), (F.col("id") % 3 == 0).alias("s"))
+    for d in (stats.bootstrap_mean(df, ["g"], "v", n_boot=50), stats.bootstrap_delta(df, ["g"], "v", "s", n_boot=50)):
+        assert "FlatMapGroups" not in d._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bootstrap_delta(spark):
     df = spark.createDataFrame([(i, float(i), i >= 10) for i in range(20)], "i int, v double, s boolean").withColumn("g", F.lit(0))
-    r = stats.bootstrap_delta(df, ["g"], "v", "s", "i", n_boot=50).first()
+    r = stats.bootstrap_delta(df, ["g"], "v", "s", n_boot=50).first()
     assert (r.delta, r.low, r.high) == (1.0, 1.0, 1.0)
+    few = stats.bootstrap_delta(df.where("i < 12"), ["g"], "v", "s", n_boot=50).first()
+    assert (few.n_b, few.n_a, few.low) == (10, 2, None)
 
 
 def test_histograms(spark):
