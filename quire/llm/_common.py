@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.runtime import SMALL_BATCHES, discard, materialize, ship, work_dir
 
-__all__ = ["ASCII_SPACE", "SMALL_BATCHES", "UPPER", "WORD", "discard", "fixed_partitions", "keyed", "materialize", "read", "slices", "words_in"]
+__all__ = ["ASCII_SPACE", "SMALL_BATCHES", "UPPER", "WORD", "content", "discard", "fixed_partitions", "keyed", "materialize", "read", "slices", "words_in"]
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,6 +59,14 @@ def keyed(df: DataFrame) -> DataFrame:
     raise AssertionError
 
 
+def content(rows: DataFrame) -> Column:
+    """A hash of all of a row's columns (see ``keyed``), for ties: rows that share it are equal,
+    so that it doesn't matter which of them comes first.  Maps and variants can't be hashed and are left out.
+    """
+    fields = [f.name for f in rows.schema["row"].dataType.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return F.xxhash64(F.lit(5), *[F.col("row").getField(c) for c in fields])
+
+
 def words_in(text: Column) -> Column:
     """Number of words (see WORD), 0 for null, as long."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -13,7 +13,7 @@ compared with the notices and with longer headers and texts: wherever an anchor
 of a template occurs, the passage that has it in the template's place.  Passages
 are cut inside their row; only distinct ones leave it.  Document frequencies are
 here counted for all terms.  Titles without a version count as
-whole lines, SPDX tags by their identifier.
+whole lines, SPDX tags by the identifiers in their expressions.
 
 A file has the licence of its best line; if it has none, or only a reservation
 of rights, that of its best passage, title or tag.  Of the long licences (GPL,
@@ -74,10 +74,12 @@ PASSAGES = (
     ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
     ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
     ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("EPL-2.0", "Eclipse Public License v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE"),
     ("GPL-2.0", _GNU.format(name="GNU General Public License", version="2")),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-3.0", _GNU.format(name="GNU General Public License", version="3")),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("LGPL-2.1", _GNU.format(name="GNU Lesser General Public License", version="2.1")),
     ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     ("LGPL-3.0", _GNU.format(name="GNU Lesser General Public License", version="3")),
@@ -85,10 +87,19 @@ PASSAGES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
 )
-#: Terms of a whole line, by licence.
-TITLES = (("Apache-2.0", "apache license"), ("Apache-2.0", "the apache license"), ("MIT", "mit license"), ("MIT", "the mit license"), ("MIT", "the mit license mit"))
-SPDX = r"(?i)SPDX-License-Identifier:[ \t(]*([a-z0-9.+\-]+)"
+#: Terms of a whole line, by licence; a leading "the" is left out before.
+TITLES = (
+    ("Apache-2.0", "apache license"), ("BSD", "bsd license"), ("BSD", "bsd 2 clause license"), ("BSD", "bsd 3 clause license"), ("EPL-2.0", "eclipse public license v 2 0"), ("ISC", "isc license"),
+    ("MIT", "mit license"), ("MIT", "mit license mit"), ("Unlicense", "unlicense"), ("Zlib", "zlib license"),
+)
+TITLE = "(?i)(mit|apache|bsd|clause|isc|zlib|eclipse)[^a-z0-9]+(public[^a-z0-9]+)?license|unlicense"
+#: A tag's expression: identifiers with operators and brackets between them.
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([a-z0-9.+\-() \t]+)"
+#: What an expression says beside licences.
+SPDX_WORDS = ("or", "and", "none", "noassertion")
 THRESHOLD = 0.75
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.\-_].*)?$"
 NOT_TERM = "[^a-z0-9]+"
@@ -225,14 +236,23 @@ def _possible(bags: DataFrame, weights: list[tuple[int, str, str, float]], thres
 
 
 def _named(d: DataFrame) -> DataFrame:
-    """r1, r2, license, score (1) of titles that are a whole line, and of SPDX tags."""
-    words = F.array_join(_terms(F.col("line")), " ")
-    titles = d.where(F.col("text").rlike("(?i)(mit|apache)[^a-z0-9]+license")).select(*ROW, F.explode(F.split("text", "\n")).alias("line")).where(F.char_length("line") <= 80)
-    name = F.coalesce(*[F.when(words == title, licence) for licence, title in TITLES])
+    """r1, r2, license, score (1) of titles that are a whole line, and of SPDX tags.
+
+    A tag's expression counts for each licence in it; NONE and NOASSERTION are no
+    licences, the exception after WITH is none either, case doesn't matter.
+    """
+    words = F.regexp_replace(F.array_join(_terms(F.col("line")), " "), "^the ", "")
+    titles = d.where(F.col("text").rlike(TITLE)).select(*ROW, F.explode(F.filter(F.split("text", "\n"), lambda x: x.rlike(TITLE))).alias("line")).withColumn("words", words)
+    name = F.coalesce(*[F.when(F.col("words") == title, licence) for licence, title in TITLES])
     titles = titles.select(*ROW, name.alias("license"))
     tags = d.where(F.col("text").rlike(SPDX)).select(*ROW, F.explode(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1))).alias("tag"))
-    tag = F.regexp_replace(F.regexp_replace("tag", r"(?i)(-only|-or-later|\+)$", ""), r"(?i)^BSD-[0-9]-Clause$", "BSD")
-    both = titles.where("license IS NOT NULL").unionByName(tags.select(*ROW, tag.alias("license")))
+    ids = F.split(F.regexp_replace("tag", r"(?i)\bwith[ \t()]+[a-z0-9.+\-]+", " "), r"[ \t()]+")
+    tags = tags.select(*ROW, F.explode(F.filter(ids, lambda x: (x != "") & ~F.lower(x).isin(*SPDX_WORDS))).alias("id"))
+    plain = F.regexp_replace(F.regexp_replace("id", r"(?i)(-only|-or-later|\+)$", ""), r"(?i)^BSD-[0-9]-Clause$", "BSD")
+    tags = tags.withColumn("plain", plain)
+    known = sorted({licence for licence, _ in (*NOTICES, *PASSAGES, *TITLES)} - {RESERVED})
+    named = F.coalesce(*[F.when(F.lower("plain") == k.lower(), k) for k in known], F.col("plain"))
+    both = titles.where("license IS NOT NULL").unionByName(tags.select(*ROW, named.alias("license")))
     return both.distinct().withColumn("score", F.lit(1.0))
 
 

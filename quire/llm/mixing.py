@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm._common import WORD, keyed, materialize, read, words_in
+from quire.llm._common import WORD, content, keyed, materialize, read, words_in
 
 WEIGHTS = (1.0, 2.0, 3.0)
 ROWS_PER_RANGE = 500
@@ -68,14 +68,14 @@ def _key(doc_id: Column, text: Column, seed: int) -> Column:
 
 
 def _placed(rows: DataFrame, *, doc_id: str, text: str, source: str, weights: Sequence[float], share: float, max_repeat: float, seed: int) -> DataFrame:
-    """Rows (see ``keyed``) without their struct: r1, r2, doc_id, source, size, key, source_size, target, epochs, extra.
+    """Rows (see ``keyed``) without their struct: r1, r2, doc_id, source, size, key, c1, source_size, target, epochs, extra.
 
     ``epochs`` is how often the mix takes all of the source, ``extra`` how many
     words of the row it takes beyond that.
     """
     row = F.col("row")
     d, t = row.getField(doc_id), row.getField(text)
-    sizes = materialize(rows.select("r1", "r2", d.alias("doc_id"), row.getField(source).alias("source"), words_in(t).alias("size"), _key(d, t, seed).alias("key")))
+    sizes = materialize(rows.select("r1", "r2", d.alias("doc_id"), row.getField(source).alias("source"), words_in(t).alias("size"), _key(d, t, seed).alias("key"), content(rows).alias("c1")))
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     most = sums.agg(F.max("n")).first()[0] or 0
     bits = min(20, max(0, math.ceil(math.log2(max(1, most) / ROWS_PER_RANGE))))
@@ -83,7 +83,7 @@ def _placed(rows: DataFrame, *, doc_id: str, text: str, source: str, weights: Se
     ranged = sizes.withColumn("range", F.shiftright("key", KEY_BITS - bits))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("source", "range").agg(F.sum("size").alias("in_range")).select("source", "range", F.coalesce(F.sum("in_range").over(before), F.lit(0)).alias("range_start"))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "r1", "r2").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "c1", "r1", "r2").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("in_front", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     s, t = starts.alias("s"), targets.alias("t")
     p = placed.alias("p").join(s, F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.range") == F.col("s.range")))
@@ -118,12 +118,12 @@ def apply_mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", so
     rows = keyed(docs)
     p = _placed(rows, doc_id=doc_id, text=text, source=source, weights=weights, share=share, max_repeat=max_repeat, seed=seed)
     # One row a source: its epochs, and the first row in order that isn't taken whole beyond them.
-    order = ("key", "doc_id", "size", "r1", "r2")
+    order = ("key", "doc_id", "size", "c1", "r1", "r2")
     cut = F.min(F.when((F.col("extra") < F.col("size")), F.struct(*order, "extra"))).alias("cut")
     cuts = materialize(p.groupBy("source").agg(F.max("epochs").alias("epochs"), cut).withColumnRenamed("source", "of"))
     row = F.col("row")
     d, t = row.getField(doc_id), row.getField(text)
-    m = rows.join(cuts, row.getField(source).eqNullSafe(F.col("of"))).withColumns({"doc_id": d, "size": words_in(t), "key": _key(d, t, seed)})
+    m = rows.join(cuts, row.getField(source).eqNullSafe(F.col("of"))).withColumns({"doc_id": d, "size": words_in(t), "key": _key(d, t, seed), "c1": content(rows)})
     place, at = F.struct(*order), F.struct(*[F.col("cut").getField(c).alias(c) for c in order])
     extra = F.when(F.col("cut").isNull() | (place < at), F.col("size")).when(place == at, F.col("cut").getField("extra")).otherwise(F.lit(0))
     m = m.where("size > 0").withColumn("extra", extra)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm._common import SMALL_BATCHES, discard, keyed, materialize, read, slices
+from quire.llm._common import SMALL_BATCHES, content, discard, keyed, materialize, read, slices
 
 WORDS, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 256
 GROUP_DOCS, GROUP_SHINGLES, SMALL_BUCKET = 1_000, 1_000_000, 32
@@ -124,25 +124,25 @@ class Signer:
 
 
 def signatures(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, bands: int, bands_rows: int) -> DataFrame:
-    """doc_id, r1, r2, d1, d2 (digest of the shingle set), n (its size), bands of rows (see ``keyed``)."""
-    names = ["doc_id", "r1", "r2", "d1", "d2", "n", "bands"]
+    """doc_id, r1, r2, c1 (hash of all columns), d1, d2 (digest of the shingle set), n (its size), bands of rows (see ``keyed``)."""
+    names = ["doc_id", "r1", "r2", "c1", "d1", "d2", "n", "bands"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, bands_rows)
         for b in batches:
             d, n, keys = [], [], []
-            for x in b.column(3):
+            for x in b.column(4):
                 s = shingles(x.as_py(), words)
                 d.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8"))
                 n.append(len(s))
                 keys.append(signer.sign(s) if len(s) else [])
             digests = [pa.array([int(x[i]) for x in d], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *digests, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), *digests, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names)
         _HASHES.empty()  # the worker lives on
 
     row = F.col("row")
-    ids = rows.select(row.getField(doc_id).cast("long").alias("doc_id"), "r1", "r2", row.getField(text).cast("binary").alias("text"))
-    return ids.mapInArrow(run, "doc_id long, r1 long, r2 long, d1 long, d2 long, n long, bands array<long>")
+    ids = rows.select(row.getField(doc_id).cast("long").alias("doc_id"), "r1", "r2", content(rows).alias("c1"), row.getField(text).cast("binary").alias("text"))
+    return ids.mapInArrow(run, "doc_id long, r1 long, r2 long, c1 long, d1 long, d2 long, n long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def _classes(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
     bands, per_band = choose_bands(threshold, recall, max_hashes)
     sig = materialize(signatures(rows, doc_id=doc_id, text=text, words=words, bands=bands, bands_rows=per_band), **SMALL_BATCHES)
     # The row of the smallest id stands for a shingle set; null ids come last.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "r1", "r2")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "c1", "r1", "r2")).alias("first")
     reps = sig.where("n > 0").groupBy("d1", "d2").agg(first, F.count(F.lit(1)).alias("weight"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = materialize(reps.select("*", "first.r1", "first.r2", F.monotonically_increasing_id().alias("rep")))
     banded = reps.select("rep", F.explode("bands").alias("band"))
@@ -324,7 +324,7 @@ def _large(rows: DataFrame, placed: DataFrame, colliding: DataFrame, args: dict)
 
 def keep_one(docs: DataFrame, **how: object) -> DataFrame:
     """One row of each class of near copies, the one of the smallest id (null last;
-    of equal ids any one); ``how`` as in ``near_duplicates``."""
+    of equal ids the row of the smallest hash of all columns, the same in every run); ``how`` as in ``near_duplicates``."""
     rows = keyed(docs)
     gone = materialize(_classes(rows, **how).where("NOT first").select("r1", "r2"))
     kept = rows.join(gone.hint("merge"), ["r1", "r2"], "left_anti")

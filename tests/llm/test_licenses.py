@@ -81,3 +81,17 @@ def test_a_very_long_licence_file(spark):
     mit = dict(licenses.PASSAGES)["MIT"]
     df = spark.createDataFrame([(1, "a/LICENSE", "word " * 30_000 + mit + " word" * 30_000), (2, "b/x", "license software\n" * 3_000)], "doc_id long, path string, text string")
     assert {r.doc_id: r.license for r in scan(df).collect()} == {1: "MIT", 2: None}
+
+
+def test_titles_and_tags_of_any_form(spark):
+    rows = [
+        (1, " " * 90 + "MIT License" + " " * 90, ["MIT"]), (2, "=" * 40 + " The MIT License " + "=" * 40, ["MIT"]), (3, "BSD 3-Clause License\n\nCopyright", ["BSD"]), (4, "# SPDX-License-Identifier: mit", ["MIT"]),
+        (5, "SPDX-License-Identifier: NOASSERTION", []), (6, "x SPDX-License-Identifier: (MIT OR apache-2.0)\n", ["Apache-2.0", "MIT"]), (7, "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 AND bsd-3-clause", ["BSD", "GPL-2.0"]),
+        (8, "spdx-license-identifier: NONE", []), (9, "the MIT License and more words in this line", []), (10, "SPDX-License-Identifier: LicenseRef-Own", ["LicenseRef-Own"]),
+        (11, "Permission to use, copy, modify, and/or distribute this\nsoftware for any purpose with or without fee is hereby granted,\nprovided that the above copyright notice and this permission notice appear in all copies.", ["ISC"]),
+        (12, "ISC License", ["ISC"]), (13, "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.", ["Unlicense"]),
+    ]
+    df = spark.createDataFrame([(i, f"{i}/x", t) for i, t, _ in rows], "doc_id long, path string, text string")
+    keyed = licenses.keyed(df)
+    got = {r.doc_id: r.found for r in licenses.own_licenses(keyed).join(keyed.select("r1", "r2", "row.doc_id"), ["r1", "r2"]).collect()}
+    assert got == {i: want for i, _, want in rows if want}

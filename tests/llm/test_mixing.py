@@ -92,3 +92,14 @@ def test_mixed_rows_without_or_with_one_id(spark, monkeypatch, rows):
     taken = sorted((r.size, r.taken) for r in m if r.source == "b")
     assert all(t <= 3 * s for s, t in taken)
     assert apply_mix(df.limit(0)).collect() == []
+
+
+def test_reruns_agree_where_ids_are_repeated(spark, tmp_path):
+    """Texts of one id and one size: the same ones are taken, from whatever files and in whatever order."""
+    docs = [(7, f"word{i} two three", "a" if i % 4 else "b", 5) for i in range(40)] + [(8, "x " * 50, "b", 100)] * 2
+    runs = []
+    for i, order in enumerate((docs, docs[::-1], sorted(docs, key=str))):
+        spark.createDataFrame(order, "doc_id long, text string, source string, n_chars long").repartition(i + 1).write.parquet(str(tmp_path / f"{i}"))
+        table = spark.read.parquet(str(tmp_path / f"{i}"))
+        runs.append(sorted(map(tuple, mixing.apply_mix(table, share=0.6).collect())))
+    assert runs[0] == runs[1] == runs[2] and 0 < len(runs[0])

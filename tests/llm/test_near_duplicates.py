@@ -102,3 +102,14 @@ def test_repeated_ids_with_other_texts(spark, monkeypatch, limits):
     assert len(kept) == len(members)
     text_of = {t: root for (i, (root, _)), (_, t) in zip(plain.items(), rows, strict=True)}
     assert sorted(text_of[r.text] for r in kept) == sorted(members)
+
+
+def test_the_same_copy_stays_in_every_run(spark, tmp_path):
+    """Near copies of one id, or without one: the one that stays doesn't depend on files or their order."""
+    words = [f"w{i}" for i in range(200)]
+    docs = [(None if k > 5 else 3, " ".join([*words[:k], f"other{k}", *words[k + 1 :]]), f"s{k % 2}") for k in (1, 3, 5, 30, 40, 50)] + [(3, " ".join([*words[:5], "other5", *words[6:]]), "s9")]
+    runs = set()
+    for i, order in enumerate((docs, docs[::-1], docs[3:] + docs[:3])):
+        spark.createDataFrame(order, "doc_id long, text string, source string").repartition(i + 1).write.parquet(str(tmp_path / f"{i}"))
+        runs.add(tuple(map(tuple, nd.keep_one(spark.read.parquet(str(tmp_path / f"{i}"))).collect())))
+    assert len(runs) == 1 and len(next(iter(runs))) == 1
