@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StopWordsRemover
@@ -170,11 +169,6 @@ def unnamed_clusters(assignments: DataFrame, labels: DataFrame) -> DataFrame:
     return assignments.select("cluster_id").where("cluster_id IS NOT NULL").distinct().join(labels.select("cluster_id"), "cluster_id", "left_anti")
 
 
-def ring_distance(n: int) -> float:
-    """Spacing of nodes in a layout of n."""
-    return 2.5 / math.sqrt(max(n, 1))
-
-
 def attach_map(papers: DataFrame, coords: DataFrame, labels: DataFrame | None = None, digits: int = 3) -> DataFrame:
     """papers with umap_x, umap_y (rounded), cluster_id and cluster_label of (paper_id, x, y, cluster_id)."""
     c = coords.select("paper_id", F.round("x", digits).alias("umap_x"), F.round("y", digits).alias("umap_y"), "cluster_id")
