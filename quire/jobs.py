@@ -8,17 +8,19 @@
     program     WORDS OUT --year Y --posters P [--venue V] [--orals N] [--spotlights N] [--names PAPERS]   booklet of talk
                 pages (before page P, three columns) and a poster table (from P): OUT/papers, OUT/talks; fails if a
                 talk isn't one paper's or a number doesn't hold
-    cluster     VECTORS OUT [--k 20]    fit, and print the partition's fingerprint
+    cluster     VECTORS OUT [--k 20]    fit, and print the partition's stamp
     extend      VECTORS INCOMING STAMP OUT
     describe    VECTORS PAPERS [--terms 18] [--titles 12]
     check       VECTORS LABELS          labels made for this partition, and for all its clusters
-    export      PAPERS OUT [QUERY]      CSV of a browse query (``year=2022&sort=score-desc``)
+    export      PAPERS OUT [QUERY] [--format csv|json|index|array]   a browse query (``year=2022&sort=score-desc``) as CSV files
+                or one JSON file; the whole corpus as one file: the compact browse index, or an array of all papers
 """
 
 from __future__ import annotations
 
 import argparse
 import sys
+from datetime import UTC, datetime
 
 from pyspark.errors import SparkRuntimeException
 from pyspark.sql import SparkSession
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quire import runtime
 from quire.operators import booklet, browse, clustering, layout, matching, metrics, pages
-from quire.sources import readers, writers
+from quire.sources import document, readers, writers
 from quire.streaming import incremental
 
 
@@ -106,7 +108,7 @@ def program(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def cluster(spark: SparkSession, a: argparse.Namespace) -> int:
     clustering.fit_kmeans(spark.read.parquet(a.vectors).drop("cluster_id"), a.k).write.mode("overwrite").parquet(a.out)
-    print(clustering.partition_fingerprint(spark.read.parquet(a.out)).first().fingerprint)
+    print(clustering.partition_stamp(spark.read.parquet(a.out)).first().fingerprint)
     return 0
 
 
@@ -141,8 +143,20 @@ def check(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def export(spark: SparkSession, a: argparse.Namespace) -> int:
     papers = spark.read.parquet(a.papers)
-    rows = browse.rows(browse.browse_index(papers), browse.BrowseQuery.from_url(a.query))
-    writers.write_csv(browse.csv_rows(rows, metrics.scales(papers)), a.out)
+    query, today = browse.BrowseQuery.from_url(a.query), datetime.now(UTC).date().isoformat()
+    index, scales = browse.browse_index(papers), metrics.scales(papers)
+    kind = a.format or "csv"
+    if kind == "csv":
+        writers.write_csv(browse.csv_rows(browse.rows(index, query), scales), a.out)
+    elif kind == "json":
+        writers.write_export(index, query, scales, today, today, a.out)
+    elif kind == "index":
+        writers.write_index(index, scales, today, a.out)
+    elif kind == "array":
+        document.write_json_array(papers, a.out, "paper_id")
+    else:
+        print(f"no format {kind}", file=sys.stderr)
+        return 1
     return 0
 
 
@@ -150,7 +164,7 @@ JOBS = {
     normalise: ["raw", "out"], parse: ["pages", "config", "out"], audit: ["pages", "config"], ingest: ["source", "schema", "sink", "checkpoint", "--key"],
     match: ["programs", "papers", "out", "--overrides", "+report"],
     program: ["words", "out", "--year=2026", "--posters=1", "--venue", "--orals", "--spotlights", "--names"], cluster: ["vectors", "out", "--k=20"], extend: ["vectors", "incoming", "stamp", "out"],
-    describe: ["vectors", "papers", "--terms=18", "--titles=12"], check: ["vectors", "labels"], export: ["papers", "out", "?query"],
+    describe: ["vectors", "papers", "--terms=18", "--titles=12"], check: ["vectors", "labels"], export: ["papers", "out", "?query", "--format"],
 }
 
 

@@ -8,9 +8,9 @@ from urllib.parse import parse_qs, urlencode
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.functions.text import clean, searchable
+from quire.operators.order import ranked
 
 TYPE_NAMES = ("poster", "oral", "spotlight")
 SORTS = ("year-desc", "year-asc", "score-desc", "score-asc", "title-asc")
@@ -136,25 +136,30 @@ def facet(index: DataFrame, query: BrowseQuery, by: str = "area") -> DataFrame:
 
 def encoded_areas(index: DataFrame) -> DataFrame:
     """area, area_id: the dictionary of the compact index, in order of the name."""
-    return index.select(F.explode("areas").alias("area")).distinct().withColumn("area_id", F.row_number().over(Window.orderBy("area")) - 1)
+    names = index.select(F.explode("areas").alias("area")).where("area IS NOT NULL").distinct()
+    return ranked(names, "area", name="area_id").withColumn("area_id", F.col("area_id").cast("int"))
 
 
-def compact_index(index: DataFrame, scales: DataFrame, built: str) -> DataFrame:
-    """One row with the whole index as JSON: areas as numbers, null links omitted.
-
-    An export of a browsable corpus; its size is that of the file itself.
-    """
-    areas = index.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("areas")))).alias("areas"))
+def compact_records(index: DataFrame) -> DataFrame:
+    """id and value: each paper of the compact index as JSON, areas as numbers, null links omitted; ids are unique."""
+    named = index.select("id", F.posexplode("areas").alias("pos", "area")).join(encoded_areas(index), "area")
+    numbers = named.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "area_id"))), lambda x: x["area_id"]).alias("area_ids"))
     code = F.element_at(F.create_map(*[x for i, t in enumerate(TYPE_NAMES) for x in (F.lit(t), F.lit(i))]), F.col("type"))
-    d = index.crossJoin(F.broadcast(areas.withColumnRenamed("areas", "all_areas")))
     record = F.struct(
-        "id", "year", "title", "authors", F.transform("areas", lambda a: F.array_position("all_areas", a) - 1).alias("areas"), "url", "score", "score_norm", "reviews",
+        "id", "year", "title", "authors", F.coalesce("area_ids", F.expr("CAST(array() AS ARRAY<INT>)")).alias("areas"), "url", "score", "score_norm", "reviews",
         F.col("early").cast("int").alias("early"), code.alias("type"), "session", "pdf_url", "doi", "sharedit_url", "code_url", "supp_url", "lncs",
         F.when(F.size("dataset_urls") > 0, F.col("dataset_urls")).alias("dataset_urls"),
     )
-    papers = d.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", record.alias("r")))), lambda x: x["r"]).alias("papers"))
-    by_year = scales.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("year").cast("string").alias("k"), "scale")))).alias("scales"))
-    return areas.crossJoin(by_year).crossJoin(papers).select(F.to_json(F.struct(F.lit(built).alias("built"), "areas", "scales", "papers")).alias("value"))
+    return index.join(numbers, "id", "left").select("id", F.to_json(record).alias("value"))
+
+
+def compact_index(index: DataFrame, scales: DataFrame) -> DataFrame:
+    """section, place, value of the compact index: 0 area names in order, 1 scales by year, 2 papers by id."""
+    inner = lambda c: F.substring(F.to_json(c), F.lit(2), F.length(F.to_json(c)) - 2)
+    areas = index.select(F.explode("areas").alias("area")).where("area IS NOT NULL").distinct().select(F.lit(0).alias("section"), F.col("area").alias("place"), inner(F.array("area")).alias("value"))
+    year = F.col("year").cast("string")
+    by_year = scales.select(F.lit(1).alias("section"), year.alias("place"), inner(F.create_map(year, F.col("scale"))).alias("value"))
+    return areas.unionByName(by_year).unionByName(compact_records(index).select(F.lit(2).alias("section"), F.col("id").alias("place"), "value"))
 
 
 def csv_rows(index: DataFrame, scales: DataFrame) -> DataFrame:
@@ -178,15 +183,19 @@ def csv_lines(table: DataFrame) -> DataFrame:
     return table.select(F.concat_ws(",", *[cell(c) for c in table.columns]).alias("line"))
 
 
-def json_records(index: DataFrame, scales: DataFrame) -> DataFrame:
-    """Records of the JSON export; null fields are left out by the writer."""
-    s = index.join(scales, "year", "left")
-    return s.select(
-        F.col("id").alias("paper_id"), "year", "title", "authors", F.col("areas").alias("subject_areas"), F.col("score").alias("mean_score"),
+def record_columns() -> list[Column]:
+    """Fields of a record of the JSON export, from the index and its year's scale."""
+    return [
+        F.col("id").alias("paper_id"), F.col("year"), F.col("title"), F.col("authors"), F.col("areas").alias("subject_areas"), F.col("score").alias("mean_score"),
         F.coalesce("scale", F.lit(DEFAULT_SCALE)).alias("scale_max"), F.col("reviews").alias("reviewer_scores"), F.col("type").alias("presentation_type"),
-        F.col("early").alias("early_accepted"), F.col("url").alias("paper_url"), "session", "pdf_url", "doi", "sharedit_url", "code_url", "supp_url",
+        F.col("early").alias("early_accepted"), F.col("url").alias("paper_url"), *[F.col(c) for c in ("session", "pdf_url", "doi", "sharedit_url", "code_url", "supp_url")],
         F.when(F.size("dataset_urls") > 0, F.col("dataset_urls")).alias("dataset_urls"), F.col("lncs").alias("lncs_volume"),
-    )
+    ]
+
+
+def json_records(index: DataFrame, scales: DataFrame) -> DataFrame:
+    """Records of the JSON export; null fields are left out by the writer."""
+    return index.join(scales, "year", "left").select(*record_columns())
 
 
 def export_name(query: BrowseQuery, extension: str, stem: str = "papers") -> str:
@@ -196,17 +205,13 @@ def export_name(query: BrowseQuery, extension: str, stem: str = "papers") -> str
     return "-".join(b for b in bits if b) + "." + extension
 
 
-def json_document(index: DataFrame, query: BrowseQuery, scales: DataFrame, built: str, exported: str, link: str = "") -> DataFrame:
-    """One row: the query's records with the filters, order and counts that made them."""
-    query = query.checked()
+def filters(query: BrowseQuery) -> dict:
+    """The filters that are set, by the names of the JSON export."""
     shown = {"search": query.q, "year": query.year, "presentation_type": query.type, "subject_area": query.area, "has_code": query.code, "early_accepted": query.early}
-    filters = [F.lit(v).alias(k) for k, v in shown.items() if v]
-    held = index.where(query.predicate())
-    records = json_records(held, scales)
-    place = F.row_number().over(Window.orderBy(*query.order())).alias("_o")
-    keyed = records.join(held.select(F.col("id").alias("paper_id"), place), "paper_id")
-    papers = keyed.agg(F.count(F.lit(1)).alias("count"), F.transform(F.sort_array(F.collect_list(F.struct("_o", F.struct(*records.columns).alias("r")))), lambda x: x["r"]).alias("papers"))
-    total = index.agg(F.count(F.lit(1)).alias("total_papers"))
-    by_year = scales.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("year").cast("string").alias("k"), "scale")))).alias("review_scale_max_by_year"))
-    head = [F.lit(link).alias("link"), F.lit(exported).alias("exported"), F.lit(built).alias("index_built"), (F.struct(*filters) if filters else F.expr("map()")).alias("filters"), F.lit(query.sort).alias("sort")]
-    return papers.crossJoin(total).crossJoin(by_year).select(F.to_json(F.struct(*head, "count", "total_papers", "review_scale_max_by_year", "papers")).alias("value"))
+    return {k: v for k, v in shown.items() if v}
+
+
+def json_export(index: DataFrame, query: BrowseQuery, scales: DataFrame) -> DataFrame:
+    """value: the query's records as JSON, in its order."""
+    query = query.checked()
+    return index.where(query.predicate()).join(scales, "year", "left").orderBy(*query.order()).select(F.to_json(F.struct(*record_columns())).alias("value"))

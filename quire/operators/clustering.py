@@ -68,34 +68,55 @@ def project_2d(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
     return out.withColumn("x", F.get("_a", F.lit(0))).withColumn("y", F.get("_a", F.lit(1))).drop("_v", "_p", "_a")
 
 
-def partition_fingerprint(assignments: DataFrame, key: str = "paper_id", cluster: str = "cluster_id", chunk_bits: int = 0) -> DataFrame:
+def _lines(assignments: DataFrame, key: str, cluster: str) -> DataFrame:
+    line = F.concat(F.col(key).cast("string"), F.lit("\t"), F.col(cluster).cast("string"), F.lit("\n"))
+    return assignments.where(F.col(cluster).isNotNull()).select(F.col(key).cast("string").alias("k"), F.coalesce(line, F.lit("")).alias("line"))
+
+
+def partition_fingerprint(assignments: DataFrame, key: str = "paper_id", cluster: str = "cluster_id") -> DataFrame:
     """One row: SHA-256 of the sorted lines ``key TAB cluster``, and their number n.
 
-    The lines are sorted by ranges and pass through the driver in order, a
-    partition at a time, into one running digest; they are never held together.
-    With ``chunk_bits`` they are hashed by ranges of their hash first, which
-    needs no single stream but gives another digest.
+    The stamp of label files made elsewhere.  The lines are sorted by ranges and
+    pass through the driver in order, a partition at a time, into one running
+    digest; they are never held together.  ``partition_stamp`` has no such stream.
     """
-    line = F.concat(F.col(key).cast("string"), F.lit("\t"), F.col(cluster).cast("string"), F.lit("\n"))
-    rows = assignments.where(F.col(cluster).isNotNull()).select(F.col(key).cast("string").alias("k"), line.alias("line"))
-    if not chunk_bits:
-        digest, n = hashlib.sha256(), 0
-        for r in rows.orderBy(F.asc_nulls_last("k"), "line").select("line").toLocalIterator():
-            digest.update((r.line or "").encode())
-            n += 1
-        return assignments.sparkSession.createDataFrame([(digest.hexdigest(), n)], "fingerprint string, n long")
-    text = lambda: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda s: s["line"]), "")
-    parts = rows.groupBy(F.shiftrightunsigned(F.xxhash64("k"), 64 - chunk_bits).alias("part")).agg(F.sha2(text(), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda s: s["h"]), ""), 256).alias("fingerprint"), F.sum("n").alias("n"))
+    digest, n = hashlib.sha256(), 0
+    for r in _lines(assignments, key, cluster).orderBy(F.asc_nulls_last("k"), "line").select("line").toLocalIterator():
+        digest.update(r.line.encode())
+        n += 1
+    return assignments.sparkSession.createDataFrame([(digest.hexdigest(), n)], "fingerprint string, n long")
+
+
+#: Hexadecimal digits of a key's hash that a leaf of the stamp's tree stands for, and the levels above it.
+LEAF, LEVELS = 6, (4, 2)
+TREE = "tree:"
+
+
+def partition_stamp(assignments: DataFrame, key: str = "paper_id", cluster: str = "cluster_id") -> DataFrame:
+    """One row: ``tree:`` and the root of a tree of SHA-256 over the lines ``key TAB cluster``, and their number n.
+
+    A leaf digests the sorted distinct lines, with their counts, of the keys
+    whose hash begins with its six digits; a node digests its up to 256 children
+    in order.  No task holds more than a leaf, which is the 16,777,216th part of
+    the keys, or a node; neither order nor partitioning of the rows matters.  An
+    empty partition has the digest of no bytes.  A null key's line is empty.
+    """
+    counted = _lines(assignments, key, cluster).groupBy("line", F.substring(F.sha2(F.coalesce("k", F.lit("")), 256), 1, LEAF).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    digest = lambda parts: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*parts))), lambda x: F.concat_ws(" ", *[x[p].cast("string") for p in parts])), ""), 256)
+    tree = counted.groupBy("node").agg(digest(["line", "n"]).alias("digest"), F.sum("n").alias("n"))
+    for digits in LEVELS:
+        tree = tree.groupBy(F.substring("node", 1, digits).alias("up")).agg(digest(["node", "digest"]).alias("digest"), F.sum("n").alias("n")).withColumnRenamed("up", "node")
+    root = tree.agg(digest(["node", "digest"]).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
+    return root.select(F.concat(F.lit(TREE), F.col("digest")).alias("fingerprint"), "n")
 
 
 def verify_labels(assignments: DataFrame, stamp: str | None, key: str = "paper_id", cluster: str = "cluster_id") -> str:
-    """The partition's fingerprint; raises unless it is the labels' stamp."""
-    found = partition_fingerprint(assignments, key, cluster).first()["fingerprint"]
+    """The partition's fingerprint, of the stamp's kind; raises unless it is the labels' stamp."""
     if not stamp:
         raise LabelMismatch("the labels have no fingerprint")
+    found = (partition_stamp if stamp.startswith(TREE) else partition_fingerprint)(assignments, key, cluster).first()["fingerprint"]
     if found != stamp:
-        raise LabelMismatch(f"the labels are for {stamp[:12]}, the partition is {found[:12]}")
+        raise LabelMismatch(f"the labels are for {stamp[:17]}, the partition is {found[:17]}")
     return found
 
 
@@ -135,7 +156,7 @@ def extend(vectors: DataFrame, incoming: DataFrame, stamp: str, key: str = "pape
     new = incoming.join(vectors.select(key), key, "left_anti")
     placed = nearest_centroid(new, centres).withColumn("cluster_id", F.col("nearest").cast(vectors.schema["cluster_id"].dataType)).select(*[c for c in vectors.columns])
     both = vectors.unionByName(placed)
-    return both, drift(vectors, new, centres), partition_fingerprint(both, key).first()["fingerprint"]
+    return both, drift(vectors, new, centres), partition_stamp(both, key).first()["fingerprint"]
 
 
 def nearest_members(vectors: DataFrame, centres: DataFrame, n: int = 12, key: str = "paper_id") -> DataFrame:

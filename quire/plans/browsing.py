@@ -74,3 +74,15 @@ def search_text(t: Tables) -> DataFrame:
     from quire.functions.text import searchable
 
     return t.documents.select("doc_id", searchable(F.concat_ws(" ", "lang", "source")).alias("search"))
+
+
+@query(_INDEX + """, a AS (SELECT area, row_number() OVER (ORDER BY area) - 1 AS k FROM (SELECT DISTINCT unnest([lang, source]) AS area FROM d) WHERE area IS NOT NULL)
+SELECT id::BIGINT AS id, year, concat('[', coalesce(concat_ws(',', x.k, y.k), ''), ']') AS areas, (type = 'oral')::INT AS type, score_norm
+FROM d LEFT JOIN a x ON lang = x.area LEFT JOIN a y ON source = y.area
+""")
+def compact_papers(t: Tables) -> DataFrame:
+    """Papers of the compact index, areas as numbers."""
+    missing = [c for c in ("authors", "url", "score", "reviews", "session", "pdf_url", "doi", "sharedit_url", "code_url", "supp_url", "lncs", "dataset_urls")]
+    whole = index(t).drop("title").select("*", *[F.lit(None).cast("array<string>" if c in ("authors", "dataset_urls") else "string").alias(c) for c in missing], F.lit("").alias("title"))
+    field = lambda name: F.get_json_object("value", f"$.{name}")
+    return browse.compact_records(whole).select("id", field("year").cast("int").alias("year"), field("areas").alias("areas"), field("type").cast("int").alias("type"), field("score_norm").cast("double").alias("score_norm"))

@@ -82,6 +82,18 @@ def partition_fingerprint(t: Tables) -> DataFrame:
     return clustering.partition_fingerprint(vectors(t))
 
 
+@query("""
+WITH c AS (SELECT sha256(vec_id::VARCHAR)[1:6] AS node, vec_id::VARCHAR || chr(9) || label::VARCHAR || chr(10) AS line, count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY ALL),
+l AS (SELECT node, sha256(string_agg(line || ' ' || n, '' ORDER BY line, n)) AS digest, sum(n) AS n FROM c GROUP BY node),
+m AS (SELECT node[1:4] AS up, sha256(string_agg(node || ' ' || digest, '' ORDER BY node)) AS digest, sum(n) AS n FROM l GROUP BY up),
+t AS (SELECT up[1:2] AS top, sha256(string_agg(up || ' ' || digest, '' ORDER BY up)) AS digest, sum(n) AS n FROM m GROUP BY top)
+SELECT 'tree:' || sha256(string_agg(top || ' ' || digest, '' ORDER BY top)) AS fingerprint, sum(n)::BIGINT AS n FROM t
+""")
+def partition_stamp(t: Tables) -> DataFrame:
+    """Digest of the assignment as a tree of ranges of the keys' hashes."""
+    return clustering.partition_stamp(vectors(t))
+
+
 @query("SELECT label AS cluster_id, count(*) AS n FROM embeddings GROUP BY 1")
 def cluster_sizes(t: Tables) -> DataFrame:
     return vectors(t).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.browse import BOM, csv_lines
+from quire.operators import browse
+from quire.operators.browse import BOM, BrowseQuery, csv_lines
+from quire.sources.document import section, write_document
 
 
 def write_papers(papers: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -26,9 +30,26 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
-def write_index(index_row: DataFrame, path: str) -> None:
-    """The one-row browse index as one text file."""
-    index_row.select("value").coalesce(1).write.mode("overwrite").text(path)
+def write_index(index: DataFrame, scales: DataFrame, built: str, path: str) -> None:
+    """The compact browse index as one JSON file; its rows are written by the tasks that hold them."""
+    head = f'{{"built":{json.dumps(built, ensure_ascii=False)},"areas":['
+    sections = [section(head, ",", "],"), section('"scales":{', ",", "},"), section('"papers":[', ",\n", "]}\n")]
+    write_document(browse.compact_index(index, scales).orderBy("section", "place"), path, sections)
+
+
+def write_export(index: DataFrame, query: BrowseQuery, scales: DataFrame, built: str, exported: str, path: str, link: str = "") -> None:
+    """A query's records as one JSON file that says which filters, order and counts made them.
+
+    The driver sees counts and the scales, a row a year.
+    """
+    query = query.checked()
+    by_year = {str(r.year): r.scale for r in scales.orderBy("year").collect()}
+    head = {
+        "link": link, "exported": exported, "index_built": built, "filters": browse.filters(query), "sort": query.sort,
+        "count": index.where(query.predicate()).count(), "total_papers": index.count(), "review_scale_max_by_year": by_year,
+    }
+    rows = browse.json_export(index, query, scales).select(F.lit(0).alias("section"), "value")
+    write_document(rows, path, [section(json.dumps(head, ensure_ascii=False)[:-1] + ', "papers": [\n', ",\n", "\n]}\n")])
 
 
 def write_csv(table: DataFrame, path: str) -> None:
@@ -63,8 +84,10 @@ def unmatched_stub(unmatched: DataFrame) -> DataFrame:
     return heads.unionByName(rows).orderBy("year", "k", "t").select("line")
 
 
-def talks_document(talks: DataFrame, summary: DataFrame) -> DataFrame:
-    """One JSON object: talks by paper id, and the summary by year."""
-    t = talks.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("paper_id", F.struct("type", "session_id", "session_title", "day", "match").alias("t"))))).alias("papers"))
-    s = summary.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("year").cast("string").alias("k"), F.to_json(F.struct("*")).alias("v"))))).alias("summary"))
-    return t.crossJoin(s).select(F.to_json(F.struct("papers", "summary")).alias("value"))
+def write_talks(talks: DataFrame, summary: DataFrame, path: str) -> None:
+    """Talks by paper id, and the summary by year, as one JSON file."""
+    entry = lambda k, v: F.concat(F.substring(F.to_json(F.array(k)), F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(": "), F.to_json(v))
+    t = talks.select(F.lit(0).alias("section"), F.col("paper_id").alias("place"), entry(F.col("paper_id"), F.struct("type", "session_id", "session_title", "day", "match")).alias("value"))
+    year = F.col("year").cast("string")
+    s = summary.select(F.lit(1).alias("section"), year.alias("place"), entry(year, F.struct("*")).alias("value"))
+    write_document(t.unionByName(s).orderBy("section", "place"), path, [section('{"papers": {\n', ",\n", "},\n"), section('"summary": {', ",\n", "}}\n")])

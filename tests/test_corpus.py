@@ -1,5 +1,6 @@
 """Papers from pages to metrics, ranks, browsing, exports and ingestion."""
 
+import collections
 import hashlib
 import json
 import random
@@ -156,7 +157,8 @@ def test_exports(spark, papers, tmp_path):
     writers.write_csv(table.where("year = '2025'").coalesce(1), str(tmp_path / "csv"))
     raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "csv").glob("part-*")) if p.stat().st_size)
     assert raw.startswith("﻿year,title".encode()) and raw.endswith(b"\r\n") and '"Quo""te, é"'.encode() in raw
-    got = json.loads(browse.compact_index(index, scales, "2026-01-01").first().value)
+    writers.write_index(index, scales, "2026-01-01", str(tmp_path / "index.json"))
+    got = json.loads((tmp_path / "index.json").read_text())
     assert got["areas"] == ["Other", "Skin", "X -> CT", "X-Ray"] and got["scales"]["2022"] == 6
     assert [p["id"] for p in got["papers"]] == ["p1", "p2", "p3", "p4", "p5"] and got["papers"][0]["areas"] == [2, 3, 0] and "session" not in got["papers"][0]
     assert browse.json_records(index, scales).count() == 5
@@ -285,6 +287,32 @@ def test_fingerprint_is_of_the_sorted_lines(spark):
     assert (got.fingerprint, got.n) == (hashlib.sha256(b"".join(lines)).hexdigest(), 5)
 
 
+def test_stamp_is_a_tree_over_the_keys(spark):
+    rows = [(f"k{i}", i % 3) for i in range(500)] + [("k1", 1), ("k2", 0), ("é", 3), (None, 1), ("x", None)]
+    kind = "paper_id string, cluster_id int"
+    lines = collections.Counter()
+    for k, c in rows:
+        if c is not None:
+            lines[hashlib.sha256((k or "").encode()).hexdigest()[:6], "" if k is None else f"{k}\t{c}\n"] += 1
+    level = collections.defaultdict(list)
+    for (node, line), n in lines.items():
+        level[node].append((line.encode(), n))
+    tree = {k: hashlib.sha256(b"".join(x + f" {n}".encode() for x, n in sorted(v))).hexdigest() for k, v in level.items()}
+    for digits in (4, 2, 0):
+        up = collections.defaultdict(str)
+        for k in sorted(tree):
+            up[k[:digits]] += f"{k} {tree[k]}"
+        tree = {k: hashlib.sha256(v.encode()).hexdigest() for k, v in up.items()}
+    stamps = [clustering.partition_stamp(spark.createDataFrame(d, kind).repartition(p)).first() for d, p in ((rows, 3), (rows[::-1], 1))]
+    assert [(s.fingerprint, s.n) for s in stamps] == [("tree:" + tree[""], 504)] * 2
+    d = spark.createDataFrame(rows, kind)
+    assert clustering.verify_labels(d, stamps[0].fingerprint) == stamps[0].fingerprint
+    with pytest.raises(clustering.LabelMismatch):
+        clustering.verify_labels(d.where("paper_id <> 'k7'"), stamps[0].fingerprint)
+    empty = clustering.partition_stamp(spark.createDataFrame([], kind)).first()
+    assert (empty.fingerprint, empty.n) == ("tree:" + hashlib.sha256(b"").hexdigest(), 0)
+
+
 def test_components_of_a_path(spark):
     n = 200
     e = spark.createDataFrame([(i, i + 1) for i in range(n)], "u long, v long")

@@ -7,7 +7,7 @@ import pytest
 from quire import jobs
 from quire.operators import browse, clustering, metrics
 from quire.schemas import PAPERS
-from quire.sources import readers
+from quire.sources import readers, writers
 
 
 @pytest.fixture
@@ -39,6 +39,11 @@ def test_normalise_match_and_export(spark, raw, capsys):
     assert jobs.main(["export", papers, str(raw / "csv"), "year=2022&sort=score-desc"]) == 0
     lines = "".join(p.read_text() for p in sorted((raw / "csv").glob("part-*"))).replace("﻿", "").split("\n")
     assert sum("Title number" in x for x in lines) == 8
+    assert jobs.main(["export", papers, str(raw / "q.json"), "year=2022&sort=score-desc", "--format", "json"]) == 0
+    assert [p["title"] for p in json.loads((raw / "q.json").read_text())["papers"]] == [f"Title number {i} of 2022" for i in range(8)]  # equal scores: by id
+    assert jobs.main(["export", papers, str(raw / "i.json"), "--format", "index"]) == jobs.main(["export", papers, str(raw / "a.json"), "--format", "array"]) == 0
+    assert len(json.loads((raw / "i.json").read_text())["papers"]) == len(json.loads((raw / "a.json").read_text())) == 16
+    assert jobs.main(["export", papers, str(raw / "n"), "--format", "none"]) == 1
 
 
 def test_effects_and_documents(spark, raw):
@@ -48,10 +53,11 @@ def test_effects_and_documents(spark, raw):
     assert got[0].delta == -0.25
     assert metrics.with_strata(papers, papers.presentation_type == "oral").groupBy("stratum").count().count() == 3
     index, scales = browse.browse_index(papers), metrics.scales(papers)
-    doc = json.loads(browse.json_document(index, browse.BrowseQuery(year=2025, type="oral", sort="score-desc"), scales, "b", "e").first().value)
+    writers.write_export(index, browse.BrowseQuery(year=2025, type="oral", sort="score-desc"), scales, "b", "e", str(raw / "x.json"))
+    doc = json.loads((raw / "x.json").read_text())
     assert doc["filters"] == {"year": 2025, "presentation_type": "oral"} and doc["count"] == 4 and doc["total_papers"] == 16
     assert [p["paper_id"] for p in doc["papers"]] == sorted(p["paper_id"] for p in doc["papers"])
-    (raw / "index.json").write_text(browse.compact_index(index, scales, "b").first().value)
+    writers.write_index(index, scales, "b", str(raw / "index.json"))
     back = readers.index_json(spark, str(raw / "index.json")).collect()
     assert len(back) == 16 and back[0].areas == ["A -> B"] and back[0].scale == 6
 
@@ -62,7 +68,7 @@ def test_clusters(spark, tmp_path, capsys):
     assert jobs.main(["cluster", str(tmp_path / "v"), str(tmp_path / "c"), "--k", "2"]) == 0
     stamp = capsys.readouterr().out.split()[-1]
     c = spark.read.parquet(str(tmp_path / "c"))
-    assert stamp == clustering.partition_fingerprint(c).first().fingerprint
+    assert stamp == clustering.partition_stamp(c).first().fingerprint
     (tmp_path / "l.json").write_text(json.dumps({"labels": {"0": "A", "1": "B"}, "clustering": stamp}))
     assert jobs.main(["check", str(tmp_path / "c"), str(tmp_path / "l.json")]) == 0
     (tmp_path / "l.json").write_text(json.dumps({"labels": {"0": "A"}, "clustering": "other"}))
