@@ -2,7 +2,8 @@
 
     normalise   RAW_GLOB OUT            yearly JSON files to Parquet tables, without error rows
     parse       PAGES CONFIG OUT        pages (paper_id, url, year, html) to papers; fails above 5 % errors
-    audit       PAGES CONFIG            questions that parsing would lose; fails if there are any
+    audit       PAGES CONFIG [--year Y] [--sample N] [--seed 42]   questions that parsing would lose, in all pages
+                or in N of each year; fails if there are any, or no page of the year
     ingest      SOURCE SCHEMA SINK CHECKPOINT [--key K]   new Parquet files, once
     match       PROGRAMS PAPERS OUT [--overrides YAML] [--report]   talks to papers; fails if any is unmatched
     program     WORDS OUT --year Y --posters P [--venue V] [--orals N] [--spotlights N] [--names PAPERS]   booklet of talk
@@ -12,6 +13,10 @@
     extend      VECTORS INCOMING STAMP OUT
     describe    VECTORS PAPERS [--terms 18] [--titles 12]
     check       VECTORS LABELS          labels made for this partition, and for all its clusters
+    stamp       VECTORS LABELS [--model NAME]   bind a label file to this partition; fails if a cluster has no name
+    switch      MASTER VECTORS COORDS LABELS   map and clusters of a model into the next version of the master; fails
+                if labels or coordinates (paper_id, x, y) aren't those of the vectors
+    active      MASTER                  version, vectors and coordinates in use
     export      PAPERS OUT [QUERY] [--format csv|json|index|array]   a browse query (``year=2022&sort=score-desc``) as CSV files
                 or one JSON file; the whole corpus as one file: the compact browse index, or an array of all papers
 """
@@ -27,8 +32,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quire import runtime
-from quire.operators import booklet, browse, clustering, layout, matching, metrics, pages
-from quire.sources import document, readers, writers
+from quire.operators import booklet, browse, clustering, layout, matching, metrics, pages, ranking
+from quire.sources import document, readers, snapshots, writers
 from quire.streaming import incremental
 
 
@@ -63,7 +68,15 @@ def parse(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def audit(spark: SparkSession, a: argparse.Namespace) -> int:
-    faults = pages.audit_fields(spark.read.parquet(a.pages), _config(spark, a.config)).orderBy(F.desc("n_papers"), "kind", "detail")
+    held = spark.read.parquet(a.pages)
+    if a.year:
+        held = held.where(F.col("year") == a.year)
+    if held.isEmpty():
+        print("no pages", file=sys.stderr)
+        return 1
+    if a.sample:
+        held = ranking.sample_each(held, "year", "paper_id", a.sample, a.seed)
+    faults = pages.audit_fields(held, _config(spark, a.config)).orderBy(F.desc("n_papers"), "kind", "detail")
     faults.show(100, truncate=False)
     return int(not faults.isEmpty())
 
@@ -141,6 +154,42 @@ def check(spark: SparkSession, a: argparse.Namespace) -> int:
     return int(unnamed > 0)
 
 
+def stamp(spark: SparkSession, a: argparse.Namespace) -> int:
+    v = spark.read.parquet(a.vectors)
+    # A row a cluster.
+    names = {str(r.cluster_id): r.label for r in readers.labels_json(spark, a.labels).collect()}
+    missing = sorted(r.cluster_id for r in clustering.unnamed_clusters(v, readers.labels_json(spark, a.labels)).collect())
+    if missing:
+        print(f"no name for clusters {missing}", file=sys.stderr)
+        return 1
+    writers.write_labels(names, clustering.partition_stamp(v).first().fingerprint, a.labels, a.model)
+    return 0
+
+
+def switch(spark: SparkSession, a: argparse.Namespace) -> int:
+    v, coords, labels = spark.read.parquet(a.vectors), spark.read.parquet(a.coords), readers.labels_json(spark, a.labels)
+    first = labels.first()
+    try:
+        clustering.verify_labels(v, first.clustering if first else None)
+        patch = clustering.map_patch(v, coords, labels)
+        version, n = snapshots.update(spark, a.master, patch, vectors=a.vectors, coords=a.coords, labels=a.labels)
+    except (ValueError, FileNotFoundError) as e:
+        print(e, file=sys.stderr)
+        return 1
+    print(f"version {version}, {n} papers changed")
+    return 0
+
+
+def active(spark: SparkSession, a: argparse.Namespace) -> int:
+    try:
+        m = snapshots.manifest(a.master)
+    except FileNotFoundError as e:
+        print(e, file=sys.stderr)
+        return 1
+    print(f"version {m['version']}, " + ", ".join(f"{k} {x}" for k, x in sorted(m["notes"].items())))
+    return 0
+
+
 def export(spark: SparkSession, a: argparse.Namespace) -> int:
     papers = spark.read.parquet(a.papers)
     query, today = browse.BrowseQuery.from_url(a.query), datetime.now(UTC).date().isoformat()
@@ -161,10 +210,10 @@ def export(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 JOBS = {
-    normalise: ["raw", "out"], parse: ["pages", "config", "out"], audit: ["pages", "config"], ingest: ["source", "schema", "sink", "checkpoint", "--key"],
+    normalise: ["raw", "out"], parse: ["pages", "config", "out"], audit: ["pages", "config", "--year=0", "--sample=0", "--seed=42"], ingest: ["source", "schema", "sink", "checkpoint", "--key"],
     match: ["programs", "papers", "out", "--overrides", "+report"],
     program: ["words", "out", "--year=2026", "--posters=1", "--venue", "--orals", "--spotlights", "--names"], cluster: ["vectors", "out", "--k=20"], extend: ["vectors", "incoming", "stamp", "out"],
-    describe: ["vectors", "papers", "--terms=18", "--titles=12"], check: ["vectors", "labels"], export: ["papers", "out", "?query", "--format"],
+    describe: ["vectors", "papers", "--terms=18", "--titles=12"], check: ["vectors", "labels"], stamp: ["vectors", "labels", "--model"], switch: ["master", "vectors", "coords", "labels"], active: ["master"], export: ["papers", "out", "?query", "--format"],
 }
 
 

@@ -190,8 +190,15 @@ def unnamed_clusters(assignments: DataFrame, labels: DataFrame) -> DataFrame:
     return assignments.select("cluster_id").where("cluster_id IS NOT NULL").distinct().join(labels.select("cluster_id"), "cluster_id", "left_anti")
 
 
-def attach_map(papers: DataFrame, coords: DataFrame, labels: DataFrame | None = None, digits: int = 3) -> DataFrame:
-    """papers with umap_x, umap_y (rounded), cluster_id and cluster_label of (paper_id, x, y, cluster_id)."""
-    c = coords.select("paper_id", F.round("x", digits).alias("umap_x"), F.round("y", digits).alias("umap_y"), "cluster_id")
-    out = papers.drop("umap_x", "umap_y", "cluster_id", "cluster_label").join(c, "paper_id", "left")
-    return out if labels is None else attach_labels(out, labels)
+def map_patch(vectors: DataFrame, coords: DataFrame, labels: DataFrame, key: str = "paper_id", digits: int = 3) -> DataFrame:
+    """key, umap_x, umap_y (rounded), cluster_id, cluster_label of the vectors that are in a cluster.
+
+    Raises where coordinates and vectors aren't of the same keys.
+    """
+    v = vectors.where("cluster_id IS NOT NULL").select(key, "cluster_id")
+    both = v.withColumn("_v", F.lit(1)).join(coords.select(key, "x", "y", F.lit(1).alias("_c")), key, "full")
+    lost = both.agg(F.count_if(F.col("_c").isNull()).alias("c"), F.count_if(F.col("_v").isNull()).alias("v")).first()
+    if lost.c or lost.v:
+        raise ValueError(f"{lost.c} vectors without coordinates, {lost.v} coordinates without a vector")
+    placed = both.select(key, F.round("x", digits).alias("umap_x"), F.round("y", digits).alias("umap_y"), "cluster_id")
+    return attach_labels(placed, labels).select(key, "umap_x", "umap_y", "cluster_id", "cluster_label")

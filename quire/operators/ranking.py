@@ -29,6 +29,17 @@ def first_of_each(df: DataFrame, key: Sequence[str], *order: Column | str) -> Da
     return top_k_per(df, key, 1, *order, rank="_r").drop("_r")
 
 
+def sample_each(df: DataFrame, by: str, key: str, n: int, seed: int) -> DataFrame:
+    """n rows of each group, those with the smallest hashes of seed and key; reruns and other partitionings give the same.
+
+    Equal keys go by the key's order and then as Spark finds them; each task
+    passes on n rows a group only.
+    """
+    mixed = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_hash", key))
+    return df.withColumn("_hash", mixed).withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_hash", "_rank")
+
+
 def both_ends(df: DataFrame, k: int, value: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
     """The k smallest and the k largest rows, with ``end``; rows that are both come twice."""
     low = Window.partitionBy(*by).orderBy(value, tie) if by else Window.partitionBy(F.lit(0)).orderBy(value, tie)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import browse
 from quire.operators.browse import BOM, BrowseQuery, csv_lines
-from quire.sources.document import section, write_document
+from quire.sources.document import filesystem, section, write_document
 
 
 def write_papers(papers: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -25,11 +25,6 @@ def write_exploded(papers: DataFrame, path: str) -> None:
     papers.select("paper_id", "year", F.posexplode("subject_areas").alias("ord", "area")).write.mode("overwrite").parquet(f"{path}/areas")
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """One object a line; null fields are left out."""
-    df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
-
-
 def write_index(index: DataFrame, scales: DataFrame, built: str, path: str) -> None:
     """The compact browse index as one JSON file; its rows are written by the tasks that hold them."""
     head = f'{{"built":{json.dumps(built, ensure_ascii=False)},"areas":['
@@ -65,14 +60,13 @@ def write_csv(table: DataFrame, path: str) -> None:
     both.select("line").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
-def append_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.write.mode("append").parquet(path)
-
-
-def replace_columns(master: DataFrame, patch: DataFrame, key: str) -> DataFrame:
-    """master with the patch's columns in place of its own, by key; keys without a patch get nulls."""
-    names = [c for c in patch.columns if c != key]
-    return master.drop(*names).join(patch, key, "left")
+def write_labels(names: dict[str, str], stamp: str, path: str, model: str | None = None) -> None:
+    """A label file that is bound to a partition by its stamp."""
+    there, place = filesystem(path)
+    made = f"{place}.new"
+    with there.open_output_stream(made) as f:
+        f.write(json.dumps({"model": model, "clustering": stamp, "labels": dict(sorted(names.items(), key=lambda x: int(x[0])))}, indent=2, ensure_ascii=False).encode())
+    there.move(made, place)
 
 
 def unmatched_stub(unmatched: DataFrame) -> DataFrame:
