@@ -5,6 +5,7 @@
     audit       PAGES CONFIG [--year Y] [--sample N] [--seed 42]   questions that parsing would lose, in all pages
                 or in N of each year; fails if there are any, or no page of the year
     ingest      SOURCE SCHEMA SINK CHECKPOINT [--key K]   new Parquet files, once
+    fetch       URLS QUEUE CACHE CHECKPOINT [--limit N] [--delay 5]   pages of urls (url) that the cache lacks, resumed where a run ended
     match       PROGRAMS PAPERS OUT [--overrides YAML] [--report]   talks to papers; fails if any is unmatched
     program     WORDS OUT --year Y --posters P [--venue V] [--orals N] [--spotlights N] [--names PAPERS]   booklet of talk
                 pages (before page P, three columns) and a poster table (from P): OUT/papers, OUT/talks; fails if a
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from quire import runtime
 from quire.operators import booklet, browse, clustering, layout, matching, metrics, pages, ranking
 from quire.sources import document, readers, snapshots, writers
+from quire.sources import pages as page_source
 from quire.streaming import incremental
 
 
@@ -86,6 +88,12 @@ def ingest(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def fetch(spark: SparkSession, a: argparse.Namespace) -> int:
+    urls = page_source.missing_pages(spark.read.parquet(a.urls).select("url").distinct(), page_source.cached(spark, a.cache), limit=a.limit or None)
+    print(page_source.fetch(urls, a.queue, a.cache, a.checkpoint, delay=str(a.delay)))
+    return 0
+
+
 def match(spark: SparkSession, a: argparse.Namespace) -> int:
     papers = spark.read.parquet(a.papers)
     over = readers.overrides(spark, readers.yaml_rows(a.overrides) if a.overrides else {})
@@ -210,7 +218,7 @@ def export(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 JOBS = {
-    normalise: ["raw", "out"], parse: ["pages", "config", "out"], audit: ["pages", "config", "--year=0", "--sample=0", "--seed=42"], ingest: ["source", "schema", "sink", "checkpoint", "--key"],
+    normalise: ["raw", "out"], parse: ["pages", "config", "out"], audit: ["pages", "config", "--year=0", "--sample=0", "--seed=42"], ingest: ["source", "schema", "sink", "checkpoint", "--key"], fetch: ["urls", "queue", "cache", "checkpoint", "--limit=0", "--delay=5"],
     match: ["programs", "papers", "out", "--overrides", "+report"],
     program: ["words", "out", "--year=2026", "--posters=1", "--venue", "--orals", "--spotlights", "--names"], cluster: ["vectors", "out", "--k=20"], extend: ["vectors", "incoming", "stamp", "out"],
     describe: ["vectors", "papers", "--terms=18", "--titles=12"], check: ["vectors", "labels"], stamp: ["vectors", "labels", "--model"], switch: ["master", "vectors", "coords", "labels"], active: ["master"], export: ["papers", "out", "?query", "--format"],

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import time
-import urllib.request
-from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from quire.functions.text import normalize_title
@@ -137,63 +133,3 @@ def embeddings(spark: SparkSession, path: str) -> DataFrame:
     ids, vectors, clusters = z["paper_ids"], z["embeddings"], z["cluster_ids"]
     rows = [(str(i), [float(x) for x in v], int(c), k) for k, (i, v, c) in enumerate(zip(ids, vectors, clusters, strict=True))]
     return spark.createDataFrame(rows, "paper_id string, embedding array<float>, cluster_id int, ord long")
-
-
-def missing_pages(urls: DataFrame, cache: DataFrame, key: str = "url", limit: int | None = None) -> DataFrame:
-    """Urls that the page cache lacks."""
-    out = urls.join(cache.select(key), key, "left_anti")
-    return out if limit is None else out.orderBy(key).limit(limit)
-
-
-class _Url(InputPartition):
-    def __init__(self, urls: list[str]) -> None:
-        self.urls = urls
-
-
-class _Pages(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.urls = [u for u in options.get("urls", "").split() if u]
-        self.tries, self.delay, self.timeout = int(options.get("tries", 3)), float(options.get("delay", 5)), float(options.get("timeout", 30))
-        self.per_task = int(options.get("pertask", 50))
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Url(self.urls[i : i + self.per_task]) for i in range(0, len(self.urls), self.per_task)] or [_Url([])]
-
-    def read(self, partition: _Url) -> Iterator[tuple]:
-        for url in partition.urls:
-            html = error = None
-            for attempt in range(self.tries):
-                try:
-                    with urllib.request.urlopen(url, timeout=self.timeout) as r:
-                        html, error = r.read().decode("utf-8", "replace"), None
-                    break
-                except OSError as e:
-                    error = str(e)
-                    if attempt + 1 < self.tries:
-                        time.sleep(self.delay)
-            yield url, html, error
-
-
-class PageSource(DataSource):
-    """``spark.read.format("quire-pages").option("urls", "...")``: url, html, error.
-
-    Fetches with a constant delay between tries; pages are UTF-8 whatever the
-    server says, and a page that can't be had is a row with its error.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "quire-pages"
-
-    def schema(self) -> str:
-        return "url string, html string, error string"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _Pages(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    from quire.runtime import ship
-
-    ship(spark)
-    spark.dataSource.register(PageSource)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.operators import browse, clustering, graph, layout, metrics, pages, ranking
 from quire.operators.browse import BrowseQuery
 from quire.schemas import LINES, PAPERS, WORDS, YEARS
+from quire.sources import pages as page_source
 from quire.sources import readers, writers
 from quire.streaming import incremental
 
@@ -192,7 +193,7 @@ def test_sources_and_sinks(spark, papers, tmp_path):
 
 def test_page_source(spark, tmp_path):
     (tmp_path / "a.html").write_text("<p>é</p>", encoding="utf-8")
-    readers.register(spark)
+    page_source.register(spark)
     urls = f"file://{tmp_path}/a.html file://{tmp_path}/b.html"
     got = spark.read.format("quire-pages").option("urls", urls).option("delay", "0").load().collect()
     assert [(r.html, r.error is None) for r in got] == [("<p>é</p>", True), (None, False)]
