@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.stats import cliffs_delta, wilson
-from quire.functions.text import accepts, any_pattern, canonical_subject, chars_without_space, first_word, short_subject, verdict, verdict_rank
+from quire.functions.stats import bootstrap_delta, cliffs_delta, wilson
+from quire.functions.text import accepts, any_pattern, canonical_subject, chars_without_space, confidence_level, first_word, short_subject, verdict, verdict_rank
 
 
 def flag(col: Column) -> Column:
@@ -203,6 +203,81 @@ def page_summary(papers: DataFrame) -> DataFrame:
     )
 
 
+def page_report(papers: DataFrame, talks: DataFrame | None = None, n_boot: int = 2_000) -> DataFrame:
+    """A row a year with talks: its page_summary, the effect of orals against posters with bounds, and its match.
+
+    early_oral is the share of early accepted orals; without ``n_boot`` there are
+    no bounds, without ``talks`` (year, paper_id, type, match) no match.
+    """
+    oral, spotlight = F.col("n_oral"), F.col("n_spotlight")
+    early = papers.groupBy("year").agg((100 * F.avg(F.when(F.col("presentation_type") == "oral", flag(F.col("early_accepted"))))).alias("early_oral"))
+    out = page_summary(papers).drop("all_matched", "early_selected").where(oral + spotlight > 0).withColumn("n_selected", oral + spotlight).join(early, "year")
+    sides = compared(papers.select("year", "presentation_type", "avg_score_raw"), COMPARISONS[:1])
+    effect = bootstrap_delta(sides, ["year"], "avg_score_raw", "first_side", n_boot) if n_boot else cliffs_delta(sides, ["year"], "avg_score_raw", "first_side")
+    out = out.join(effect.drop("n_a", "n_b"), "year", "left")
+    return out if talks is None else out.join(match_summary(talks).select("year", "extracted", "matched", F.col("match_rate_pct").alias("match_rate")), "year", "left")
+
+
+def page_totals(report: DataFrame) -> DataFrame:
+    """One row over a page_report with its match: totals, extremes with their years (ties: the first year), whether all talks are matched."""
+    known = F.col("delta").isNotNull()
+    total = lambda c: F.sum(c).alias(f"total_{c[2:]}")
+    return report.agg(
+        F.sort_array(F.collect_list("year")).alias("years"), *[total(c) for c in ("n_papers", "n_oral", "n_spotlight", "n_selected")], (100 * F.sum("n_selected") / F.sum("n_papers")).alias("pct_selected"),
+        F.min("delta").alias("delta_min"), F.min(F.when(known, F.struct("delta", "year")))["year"].alias("delta_min_year"),
+        F.max("delta").alias("delta_max"), F.min(F.when(known, F.struct((-F.col("delta")).alias("d"), "year")))["year"].alias("delta_max_year"),
+        F.min("pct_selected").alias("pct_selected_min"), F.max("pct_selected").alias("pct_selected_max"),
+        F.sort_array(F.collect_list(F.when(F.col("n_spotlight") > 0, F.col("year")))).alias("spotlight_years"), F.coalesce(F.bool_and(F.col("match_rate") == 100), F.lit(True)).alias("all_matched"),
+    )
+
+
+def _scores(papers: DataFrame) -> DataFrame:
+    """year, early, score (whole), top of reviews with a score and a scale."""
+    r = papers.select("year", flag(F.col("early_accepted")).alias("early"), F.explode("reviews").alias("r"))
+    return r.where("r.score_raw IS NOT NULL").select("year", "early", F.floor("r.score_raw").alias("score"), F.col("r.score_max").alias("top"))
+
+
+def score_distribution(papers: DataFrame) -> DataFrame:
+    """year, score, n, n_early of reviews with scores from 1 to the year's scale, empty scores included; others are left out."""
+    counts = _scores(papers).groupBy("year", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("early").alias("n_early"), F.max("top").alias("top"))
+    # From the counts: a row a year and score.
+    frame = counts.groupBy("year").agg(F.max("top").alias("top")).where("top >= 1").select("year", F.explode(F.sequence(F.lit(1).cast("long"), F.floor("top"))).alias("score"))
+    return frame.join(counts.drop("top"), ["year", "score"], "left").select("year", "score", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_early", F.lit(0)).alias("n_early"))
+
+
+def average_histograms(papers: DataFrame) -> DataFrame:
+    """year, bin, left, right, n, n_early of the papers' average scores: 2 (scale - 1) equal bins a year, that early papers share.
+
+    The last bin is closed on the right; a single value lies in the middle of a width of 1.
+    """
+    held = papers.where("avg_score_raw IS NOT NULL").select("year", F.col("avg_score_raw").cast("double").alias("v"), flag(F.col("early_accepted")).alias("early"))
+    edges = held.groupBy("year").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).join(scales(papers), "year")
+    one = F.col("lo") == F.col("hi")
+    edges = edges.select("year", F.when(one, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(one, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"), F.greatest(2 * (F.col("scale") - 1), F.lit(1)).cast("int").alias("bins"))
+    edges = edges.withColumn("width", (F.col("hi") - F.col("lo")) / F.col("bins"))
+    at = F.least(F.floor((F.col("v") - F.col("lo")) / F.col("width")), F.col("bins") - 1).cast("int")
+    counts = held.join(edges, "year").groupBy("year", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("early").alias("n_early"))
+    frame = edges.select("*", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"))
+    left = F.col("lo") + F.col("bin") * F.col("width")
+    return frame.join(counts, ["year", "bin"], "left").select("year", "bin", left.alias("left"), (left + F.col("width")).alias("right"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_early", F.lit(0)).alias("n_early"))
+
+
+def disagreement(papers: DataFrame) -> DataFrame:
+    """year, score_range, n of papers that weren't accepted early, from the year's smallest to its largest range."""
+    known = F.filter(F.col("reviews.score_raw"), lambda x: x.isNotNull())
+    spread = F.floor(F.array_max(known) - F.array_min(known))
+    counts = papers.where(flag(F.col("early_accepted")) == 0).select("year", spread.alias("score_range")).where("score_range IS NOT NULL").groupBy("year", "score_range").agg(F.count(F.lit(1)).alias("n"))
+    frame = counts.groupBy("year").agg(F.min("score_range").alias("a"), F.max("score_range").alias("b")).select("year", F.explode(F.sequence("a", "b")).alias("score_range"))
+    return frame.join(counts, ["year", "score_range"], "left").select("year", "score_range", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def mean_confidence(papers: DataFrame) -> DataFrame:
+    """paper_id, year, n, confidence: mean of the known confidence levels of a paper's reviews (null if there are none)."""
+    levels = F.filter(F.transform("reviews", lambda r: confidence_level(r["confidence_label"])), lambda x: x.isNotNull())
+    mean = F.when(F.size(levels) > 0, F.aggregate(levels, F.lit(0.0), lambda a, x: a + x) / F.size(levels))
+    return papers.select("paper_id", "year", F.coalesce(F.size(levels), F.lit(0)).alias("n"), mean.alias("confidence"))
+
+
 def extremes(df: DataFrame, by: str, value: str) -> DataFrame:
     """One row: (by, value) of the smallest and the largest value; ties to the smallest ``by``."""
     return df.where(F.col(value).isNotNull()).agg(

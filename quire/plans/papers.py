@@ -169,6 +169,78 @@ def paper_page_summary(t: Tables) -> DataFrame:
     return s.select("year", "n_papers", "n_oral", "n_spotlight", *r6("pct_selected", "early_selected", "early_poster"), "all_matched")
 
 
+_REPORT = _P + """,
+sel AS (SELECT * FROM p WHERE type IN ('oral', 'spotlight')),
+tk AS (SELECT year, count(*) AS extracted, count(*) FILTER (cluster_id <> 7 OR year % 2 = 0) AS matched FROM sel GROUP BY 1),
+g AS (SELECT year, type, round(score, 9) AS score, count(*) AS n FROM p JOIN s USING (paper_id) WHERE score IS NOT NULL AND type IN ('oral', 'poster') GROUP BY ALL),
+dl AS (SELECT a.year, sum(a.n * b.n * CASE WHEN a.score > b.score THEN 1 WHEN a.score < b.score THEN -1 ELSE 0 END) / sum(a.n * b.n) AS delta FROM g a JOIN g b ON a.year = b.year AND a.type = 'oral' AND b.type = 'poster' GROUP BY 1),
+rep AS (
+  SELECT year, count(*) AS n_papers, count(*) FILTER (type = 'oral') AS n_oral, count(*) FILTER (type = 'spotlight') AS n_spotlight, count(*) FILTER (type IN ('oral', 'spotlight')) AS n_selected,
+         100 * count(*) FILTER (type IN ('oral', 'spotlight')) / count(*) AS pct_selected, 100 * avg(coalesce(early, false)::INT) FILTER (type = 'oral') AS early_oral, 100 * avg(coalesce(early, false)::INT) FILTER (type = 'poster') AS early_poster
+  FROM p GROUP BY 1 HAVING count(*) FILTER (type IN ('oral', 'spotlight')) > 0),
+rp AS (SELECT rep.*, delta, extracted, matched, 100 * matched / extracted AS match_rate FROM rep LEFT JOIN dl USING (year) LEFT JOIN tk USING (year))
+"""
+
+
+def report(t: Tables) -> DataFrame:
+    """The page report of papers whose talks are matched but for one group of odd years."""
+    p = papers(t).withColumn("avg_score_raw", F.round("avg_score_raw", 9))
+    found = (F.col("cluster_id") != 7) | (F.col("year") % 2 == 0)
+    talks = p.where(F.col("presentation_type").isin("oral", "spotlight")).select("year", F.when(found, F.col("paper_id")).alias("paper_id"), F.col("presentation_type").alias("type"), F.when(found, "exact").otherwise("unmatched").alias("match"))
+    return metrics.page_report(p, talks, n_boot=0)
+
+
+@query(_REPORT + "SELECT year, n_papers, n_oral, n_spotlight, n_selected, round(pct_selected, 6) AS pct_selected, round(early_oral, 6) AS early_oral, round(early_poster, 6) AS early_poster, round(delta, 6) AS delta, extracted, matched, round(match_rate, 6) AS match_rate FROM rp")
+def paper_page_report(t: Tables) -> DataFrame:
+    """A year's page: papers, talks, early rates, effect of orals against posters, match."""
+    return report(t).select("year", "n_papers", "n_oral", "n_spotlight", "n_selected", *r6("pct_selected", "early_oral", "early_poster", "delta"), "extracted", "matched", *r6("match_rate"))
+
+
+@query(_REPORT + """
+SELECT array_to_string(list(year ORDER BY year), ',') AS years, sum(n_papers)::BIGINT AS total_papers, sum(n_selected)::BIGINT AS total_selected, round(100 * sum(n_selected) / sum(n_papers), 6) AS pct_selected,
+       round(min(delta), 6) AS delta_min, arg_min(year, (delta, year)) FILTER (delta IS NOT NULL) AS delta_min_year, round(max(delta), 6) AS delta_max, arg_min(year, (-delta, year)) FILTER (delta IS NOT NULL) AS delta_max_year,
+       round(min(pct_selected), 6) AS pct_selected_min, round(max(pct_selected), 6) AS pct_selected_max, bool_and(match_rate = 100) AS all_matched FROM rp
+""")
+def paper_page_totals(t: Tables) -> DataFrame:
+    """Totals and extremes over the years of the page report."""
+    out = metrics.page_totals(report(t)).withColumn("years", F.array_join(F.col("years").cast("array<string>"), ","))
+    return out.select("years", "total_papers", "total_selected", *r6("pct_selected", "delta_min"), "delta_min_year", *r6("delta_max"), "delta_max_year", *r6("pct_selected_min", "pct_selected_max"), "all_matched")
+
+
+@query(_P + """,
+c AS (SELECT year, raw::BIGINT AS score, count(*) AS n, sum(coalesce(early, false)::INT)::BIGINT AS n_early, max(top) AS top FROM r WHERE raw IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT year, unnest(range(1, max(top) + 1)) AS score FROM c GROUP BY 1)
+SELECT year, score::BIGINT AS score, coalesce(n, 0)::BIGINT AS n, coalesce(n_early, 0)::BIGINT AS n_early FROM f LEFT JOIN c USING (year, score)
+""")
+def paper_score_distribution(t: Tables) -> DataFrame:
+    """Reviewers' scores by year, of all papers and of those accepted early."""
+    return metrics.score_distribution(papers(t))
+
+
+@query(_P + """,
+v AS (SELECT year, round(score, 9) AS v, coalesce(early, false)::INT AS early FROM p JOIN s USING (paper_id) WHERE score IS NOT NULL),
+sc AS (SELECT year, max(top) AS scale FROM r GROUP BY 1),
+e AS (SELECT year, min(v) AS lo, max(v) AS hi, 2 * (any_value(scale) - 1) AS bins FROM v JOIN sc USING (year) GROUP BY 1),
+c AS (SELECT year, least(floor((v - lo) / ((hi - lo) / bins)), bins - 1)::INT AS bin, count(*) AS n, sum(early)::BIGINT AS n_early FROM v JOIN e USING (year) GROUP BY 1, 2),
+f AS (SELECT year, lo, (hi - lo) / bins AS width, unnest(range(0, bins))::INT AS bin FROM e)
+SELECT year, bin, round(lo + bin * width, 6) AS "left", round(lo + bin * width + width, 6) AS "right", coalesce(n, 0)::BIGINT AS n, coalesce(n_early, 0)::BIGINT AS n_early FROM f LEFT JOIN c USING (year, bin)
+""")
+def paper_average_histograms(t: Tables) -> DataFrame:
+    """Papers' average scores in bins that early papers share."""
+    d = metrics.average_histograms(papers(t).withColumn("avg_score_raw", F.round("avg_score_raw", 9)))
+    return d.select("year", "bin", *r6("left", "right"), "n", "n_early")
+
+
+@query(_P + """,
+c AS (SELECT year, score_range, count(*) AS n FROM (SELECT year, paper_id, (max(raw) - min(raw))::BIGINT AS score_range FROM r WHERE NOT coalesce(early, false) GROUP BY 1, 2 HAVING count(raw) > 0) GROUP BY 1, 2),
+f AS (SELECT year, unnest(range(min(score_range), max(score_range) + 1)) AS score_range FROM c GROUP BY 1)
+SELECT year, score_range, coalesce(n, 0)::BIGINT AS n FROM f LEFT JOIN c USING (year, score_range)
+""")
+def paper_disagreement(t: Tables) -> DataFrame:
+    """Score ranges of papers that weren't accepted early."""
+    return metrics.disagreement(papers(t))
+
+
 @query(_P + "SELECT DISTINCT year FROM p WHERE type IN ('oral', 'spotlight')")
 def paper_years_with_talks(t: Tables) -> DataFrame:
     return metrics.years_with_talks(papers(t))
