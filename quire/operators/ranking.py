@@ -41,20 +41,21 @@ def sample_each(df: DataFrame, by: str, key: str, n: int, seed: int) -> DataFram
 
 
 def both_ends(df: DataFrame, k: int, value: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
-    """The k smallest and the k largest rows, with ``end``; rows that are both come twice."""
-    low = Window.partitionBy(*by).orderBy(value, tie) if by else Window.partitionBy(F.lit(0)).orderBy(value, tie)
-    high = Window.partitionBy(*by).orderBy(F.desc(value), F.desc(tie)) if by else Window.partitionBy(F.lit(0)).orderBy(F.desc(value), F.desc(tie))
-    r = df.withColumn("_l", F.row_number().over(low)).withColumn("_h", F.row_number().over(high))
+    """The k smallest and the k largest rows, of all or of each group, with ``end``; rows that are both come twice."""
+    if not by:
+        # Each task passes on k rows of an end.
+        low = df.orderBy(value, tie).limit(k).withColumn("end", F.lit("low"))
+        return low.unionByName(df.orderBy(F.desc(value), F.desc(tie)).limit(k).withColumn("end", F.lit("high")))
+    r = df.withColumn("_l", F.row_number().over(Window.partitionBy(*by).orderBy(value, tie))).withColumn("_h", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(value), F.desc(tie))))
     ends = F.filter(F.array(F.when(F.col("_l") <= k, F.lit("low")), F.when(F.col("_h") <= k, F.lit("high"))), lambda x: x.isNotNull())
     return r.where((F.col("_l") <= k) | (F.col("_h") <= k)).withColumn("end", F.explode(ends)).drop("_l", "_h")
 
 
 def half_and_half(df: DataFrame, top: int, value: str, tie: str) -> DataFrame:
-    """All rows if there are at most ``top``, else half of them from each end."""
-    n = Window.partitionBy(F.lit(0))
-    r = df.withColumn("_n", F.count(F.lit(1)).over(n)).withColumn("_l", F.row_number().over(n.orderBy(value, tie)))
-    half = top // 2
-    return r.where((F.col("_n") <= top) | (F.col("_l") <= half) | (F.col("_l") > F.col("_n") - half)).drop("_n", "_l")
+    """All rows if there are at most ``top``, else half of them from each end; (value, tie) is unique."""
+    if df.limit(top + 1).count() <= top:
+        return df
+    return both_ends(df, top // 2, value, tie).drop("end")
 
 
 def movers(shares: DataFrame, k: int = 8, min_total: int = 30, area: str = "area", year: str = "year") -> DataFrame:

@@ -325,3 +325,26 @@ def cumulative_counts(t: Tables) -> DataFrame:
     """How many values lie below each one."""
     c = t.lineitem.groupBy(F.col("l_quantity").alias("v")).agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
     return ranking.cumulative(c, ["one"], "v", "n", "below").drop("one")
+
+
+_BRANDS = """
+WITH b AS (SELECT p_brand AS brand, p_type AS kind, count(*) AS n, round(avg(p_retailprice), 6) AS price FROM part GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (ORDER BY price, brand, kind) AS lo, row_number() OVER (ORDER BY price DESC, brand DESC, kind DESC) AS hi FROM b)
+"""
+
+
+def _brands(t: Tables) -> DataFrame:
+    g = t.part.groupBy(F.col("p_brand").alias("brand"), F.col("p_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 6).alias("price"))
+    return g.withColumn("key", F.struct("brand", "kind"))
+
+
+@query(_BRANDS + "SELECT brand, kind, n, price, 'low' AS \"end\" FROM k WHERE lo <= 8 UNION ALL SELECT brand, kind, n, price, 'high' FROM k WHERE hi <= 8")
+def both_ends(t: Tables) -> DataFrame:
+    """The eight cheapest and the eight dearest kinds of parts."""
+    return ranking.both_ends(_brands(t), 8, "price", "key").drop("key")
+
+
+@query(_BRANDS + "SELECT brand, kind, n, price FROM k WHERE lo <= 15 OR hi <= 15 OR (SELECT count(*) FROM b) <= 30")
+def half_and_half(t: Tables) -> DataFrame:
+    """Thirty kinds of parts, half of them from each end, or all where there are fewer."""
+    return ranking.half_and_half(_brands(t), 30, "price", "key").drop("key")
