@@ -6,7 +6,7 @@
                 or in N of each year; fails if there are any, or no page of the year
     ingest      SOURCE SCHEMA SINK CHECKPOINT [--key K]   new Parquet files, once
     fetch       URLS QUEUE CACHE CHECKPOINT [--limit N] [--delay 5]   pages of urls (url) that the cache lacks, resumed where a run ended
-    match       PROGRAMS PAPERS OUT [--overrides YAML] [--report]   talks to papers; fails if any is unmatched
+    match       PROGRAMS PAPERS OUT [--overrides YAML] [--json FILE] [--report]   talks to papers; fails if any is unmatched
     program     WORDS OUT --year Y --posters P [--venue V] [--orals N] [--spotlights N] [--names PAPERS]   booklet of talk
                 pages (before page P, three columns) and a poster table (from P): OUT/papers, OUT/talks; fails if a
                 talk isn't one paper's or a number doesn't hold
@@ -106,6 +106,8 @@ def match(spark: SparkSession, a: argparse.Namespace) -> int:
                 print(r.line)
         return 1
     matching.talk_of_paper(m).write.mode("overwrite").parquet(a.out)
+    if a.json:
+        writers.write_talks(spark.read.parquet(a.out), metrics.match_summary(m), a.json)
     return 0
 
 
@@ -219,7 +221,7 @@ def export(spark: SparkSession, a: argparse.Namespace) -> int:
 
 JOBS = {
     normalise: ["raw", "out"], parse: ["pages", "config", "out"], audit: ["pages", "config", "--year=0", "--sample=0", "--seed=42"], ingest: ["source", "schema", "sink", "checkpoint", "--key"], fetch: ["urls", "queue", "cache", "checkpoint", "--limit=0", "--delay=5"],
-    match: ["programs", "papers", "out", "--overrides", "+report"],
+    match: ["programs", "papers", "out", "--overrides", "--json", "+report"],
     program: ["words", "out", "--year=2026", "--posters=1", "--venue", "--orals", "--spotlights", "--names"], cluster: ["vectors", "out", "--k=20"], extend: ["vectors", "incoming", "stamp", "out"],
     describe: ["vectors", "papers", "--terms=18", "--titles=12"], check: ["vectors", "labels"], stamp: ["vectors", "labels", "--model"], switch: ["master", "vectors", "coords", "labels"], active: ["master"], export: ["papers", "out", "?query", "--format"],
 }

@@ -29,7 +29,9 @@ def test_normalise_match_and_export(spark, raw, capsys):
     talk = lambda t, n: {"type": "oral", "title_raw": t, "authors_raw": [], "order": n}
     prog = {"year": 2022, "sessions": [{"session_id": "1", "session_title": "S", "presentations": [talk("Title number 3 of 2022", 1), talk("TITLE NUMBER 4 of 2022!", 2)]}]}
     (raw / "prog.json").write_text(json.dumps(prog))
-    assert jobs.main(["match", str(raw / "prog.json"), papers, str(raw / "m")]) == 0
+    assert jobs.main(["match", str(raw / "prog.json"), papers, str(raw / "m"), "--json", str(raw / "talks.json")]) == 0
+    assert json.loads((raw / "talks.json").read_text())["summary"]["2022"]["matched"] == 2
+    assert {(r.paper_id, r.type, r.session_id) for r in readers.talks_json(spark, str(raw / "talks.json")).collect()} == {("2022-3", "oral", "1"), ("2022-4", "oral", "1")}
     assert {r.paper_id for r in spark.read.parquet(str(raw / "m")).collect()} == {"2022-3", "2022-4"}
     prog["sessions"][0]["presentations"].append(talk("Something else entirely", 3))
     (raw / "prog.json").write_text(json.dumps(prog))
