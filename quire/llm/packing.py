@@ -21,6 +21,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from bisect import bisect_right, insort
@@ -39,11 +40,14 @@ from quire.llm._common import SMALL_BATCHES, materialize, read
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 STEP_TOKENS = 2048 * 256
-CACHED_BYTES = 40_000_000
+CACHED_BYTES = 160_000_000
 ENTRY_BYTES = 200  # of a dictionary entry, beside the word's and its ids' own
 HELD_TOKENS = 2_000_000
 CHUNK = 1_000_000
 
+#: Pre-tokens of a word without an apostrophe (contractions) or angle brackets (added tokens).
+PARTS = re.compile(r"[^\W\d_]+|[0-9]|[!-&(-/:;=?@\[-`{-~]+")
+
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
     ("doc_tokens", pa.int64()), ("task", pa.int64()), ("tier", pa.int64()), ("window", pa.int64()), ("offset", pa.int64()),
@@ -107,10 +111,30 @@ class WordEncoder(dict):
                     self._put(low, ids)
             ids += mark
         else:
-            ids = self._whole(word)
+            ids = self._parts(word)
         self._put(word, ids)
         return ids
 
+    def _parts(self, word: str) -> bytes:
+        """Ids of a word by its pre-tokens: runs of letters, digits one by one, runs of ASCII marks.
+
+        What could be an added token or a contraction, or has other characters, goes to the tokenizer.
+        """
+        parts = PARTS.findall(word)
+        if sum(map(len, parts)) != len(word) or max(word) >= "\u0250" or "\u0130" in word:
+            return self._whole(word)
+        found = []
+        for part in parts:
+            low = part.lower()
+            if not low.isascii() and not low.isalpha():  # a number beyond 0 to 9
+                return self._whole(word)
+            ids = self.get(low)
+            if ids is None:
+                ids = self._stem(low)
+                self._put(low, ids)
+            found.append(ids)
+        return b"".join(found)
+
     def encode(self, text: str) -> bytes:
         text = text.replace("\n", " ")
         if len(text) <= CHUNK:

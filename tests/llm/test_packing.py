@@ -85,3 +85,13 @@ def test_windows_are_full():
 @pytest.mark.parametrize("text", ["The,the. THE", "x" * 3000, "naïve café.", "a.b,c", ".", ",,", "don't 's it's,", "Öffnung. ŒUVRE ß, ǅungla İx ſtern ﬁn. Ŀl ŉ", "中文, ру́сский Σίσυφος ΣΑΣ."])
 def test_encoder_equals_tokenizer(text):
     assert np.frombuffer(WordEncoder(PATH).encode(text), "<u4").tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+
+
+def test_words_of_marks_and_digits_need_no_tokenizer_call(monkeypatch):
+    words = ["abc$$$", "Éa12b!!", "|", "2024-05", "x_y,", "ABC***.", "ſoft#1"]
+    encoder, plain = WordEncoder(PATH), WordEncoder(PATH)
+    want = [plain._whole(w) for w in words]
+    others = ["it's", "<|endoftext|>", "a<b", "x²", "İa1", "中1", "é1", "ǅ1"]
+    assert [encoder[w] for w in others] == [plain._whole(w) for w in others]
+    monkeypatch.setattr(WordEncoder, "_whole", lambda self, word: pytest.fail(word))
+    assert [encoder[w] for w in words] == want
