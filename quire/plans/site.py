@@ -42,11 +42,12 @@ def _item(label: str | Column, body: Column | str) -> Column:
 
 
 def paper_pages(t: Tables) -> DataFrame:
-    """paper_id, url, year, html."""
+    """paper_id, url, year, html; a page is dear to parse, so the documents are dealt out evenly, however their files are cut."""
     k, year = F.col("k"), F.col("year")
     new = year >= 2024
     words = F.concat(F.lit("Comments "), F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]{2,}"), F.lit(0)), " "))
-    d = t.documents.select(F.col("doc_id").alias("k"), (F.col("doc_id") % 5 + 2021).cast("int").alias("year"), F.coalesce("lang", F.lit("xx")).alias("lang"), words.alias("w"))
+    documents = t.documents.select("doc_id", "lang", "text").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    d = documents.select(F.col("doc_id").alias("k"), (F.col("doc_id") % 5 + 2021).cast("int").alias("year"), F.coalesce("lang", F.lit("xx")).alias("lang"), words.alias("w"))
 
     name = _html("Title ", k, " in ", F.col("lang"))
     title = (
@@ -133,7 +134,7 @@ FROM s
 """)
 def page_reviews(t: Tables) -> DataFrame:
     """Reviews of those pages, their questions routed to fields."""
-    return parsed(t).select("paper_id", F.inline("reviews")).fillna(-1, ["post_rebuttal_score_raw", "review_stack_rank", "review_stack_size"])
+    return pages.parse_papers(paper_pages(t), years(t)).select("paper_id", F.inline("reviews")).fillna(-1, ["post_rebuttal_score_raw", "review_stack_rank", "review_stack_size"])
 
 
 @query(_PAPERS + """,
@@ -147,7 +148,7 @@ FROM numbered
 """)
 def page_meta_reviews(t: Tables) -> DataFrame:
     """Meta-reviews of those pages: numbered without a gap, all headings, or a bare list, by era."""
-    return parsed(t).select("paper_id", F.inline("meta_reviews"))
+    return pages.parse_papers(paper_pages(t), years(t)).select("paper_id", F.inline("meta_reviews"))
 
 
 @query(_PAPERS + """,
