@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from quire.functions.html import categories, page_blocks
 from quire.functions.text import bare_int, blank_to_null, int_in_parens, label_without_score, verdict_lower
-from quire.runtime import ship
+from quire.runtime import materialize, ship
 from quire.schemas import META_REVIEW, REVIEW
 
 # Fields of a review, the parts of a label that lead to them, the eras, and a part that must be there as well.
@@ -282,10 +282,13 @@ def audit_fields(pages: DataFrame, years: DataFrame) -> DataFrame:
     """
     ship(pages.sparkSession)
     cfg = years.select("year", "era", "score_field_substring", "extra_review_fields")
-    d = pages.join(cfg, "year", "left").withColumn("p", page_blocks("html"))
+    d = pages.join(F.broadcast(cfg), "year", "left").withColumn("p", page_blocks("html"))
     new = F.coalesce(F.col("era") == NEW_ERA, F.lit(True))
     d = d.select("paper_id", "score_field_substring", "extra_review_fields", new.alias("new"), F.explode("p.blocks").alias("b")).where(F.col("b.head_id").rlike(r"^review-\d+$"))
-    d = d.withColumn("route", F.when(F.col("b.kind") == "field", route(F.lower("b.label"), F.col("score_field_substring"), F.col("new"), F.col("extra_review_fields"))))
+    field = F.col("b.kind") == "field"
+    d = d.select("paper_id", F.struct("b.no", "b.head_id", "b.kind", F.when(field, F.col("b.label")).alias("label")).alias("b"), F.when(field, route(F.lower("b.label"), F.col("score_field_substring"), F.col("new"), F.col("extra_review_fields"))).alias("route"))
+    # Each fault is looked for in the same rows, so the pages are parsed once; answers aren't among the columns.
+    d = materialize(d)
     review = ["paper_id", "b.head_id"]
     dropped = d.where((F.col("b.kind") == "field") & F.col("route").isNull()).select("paper_id", F.lit("DROPPED").alias("kind"), F.col("b.label").alias("detail"))
     twice = d.where(F.col("route").isNotNull() & ~F.col("route").isin(*APPEND)).groupBy(*review, "route").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("paper_id", F.lit("OVERWRITTEN").alias("kind"), F.col("route").alias("detail"))
