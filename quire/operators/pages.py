@@ -163,8 +163,8 @@ def _meta_reviews(blocks: Column, headings: Column, new_era: Column) -> Column:
     chosen = F.when(new_era, run).otherwise(ids)
     usable = lambda f: ~F.upper(F.trim(f["lines"])).isin("", "N/A")
 
-    def one(i: Column, n: Column) -> Column:
-        f = F.filter(blocks, lambda b: (b["head_id"] == i) & (b["kind"] == "field"))
+    def one(x: Column) -> Column:
+        f = x["fields"]
         low = lambda b: F.lower(b["label"])
         final = F.filter(f, lambda b: F.contains(low(b), F.lit("after you have reviewed the rebuttal")))
         pre = F.filter(f, lambda b: F.startswith(low(b), F.lit("your recommendation")) & ~F.contains(low(b), F.lit("after you have reviewed the rebuttal")))
@@ -173,13 +173,14 @@ def _meta_reviews(blocks: Column, headings: Column, new_era: Column) -> Column:
         ).otherwise(F.contains(low(b), F.lit("provide your assessment")) | F.contains(low(b), F.lit("justify your recommendation")) | ~F.contains(low(b), F.lit("rank"))))
         at = lambda c, what: F.try_element_at(F.transform(c, lambda b: b[what]), F.lit(-1))
         rec = F.when(new_era, F.coalesce(blank_to_null(at(final, "lines")), at(pre, "lines"))).otherwise(at(final, "inline"))
-        return F.struct((n + 1).alias("meta_reviewer_num"), rec.alias("recommendation"), blank_to_null(F.array_join(F.transform(other, lambda b: b["lines"]), "\n\n")).alias("text"))
+        return F.struct(x["no"].alias("meta_reviewer_num"), rec.alias("recommendation"), blank_to_null(F.array_join(F.transform(other, lambda b: b["lines"]), "\n\n")).alias("text"))
 
     bare = F.filter(blocks, lambda b: (b["head_id"] == "metareview-id") & (b["kind"] == "field"))
     filled = F.filter(bare, usable)
     kept = F.filter(filled, lambda b: ~F.contains(F.lower(b["label"]), F.lit("rank")))
     alone = F.array(F.struct(F.lit(1).alias("meta_reviewer_num"), F.lit(None).cast("string").alias("recommendation"), blank_to_null(F.array_join(F.transform(kept, lambda b: b["lines"]), "\n\n")).alias("text")))
-    listed = F.transform(chosen, one)
+    own = F.transform(chosen, lambda i, n: F.struct((n + 1).alias("no"), F.filter(blocks, lambda b: (b["head_id"] == i) & (b["kind"] == "field")).alias("fields")))
+    listed = F.transform(own, one)
     return F.when(~new_era & (F.size(ids) == 0) & (F.size(filled) > 0), alone).otherwise(listed)
 
 
@@ -241,7 +242,6 @@ def parse_papers(pages: DataFrame, years: DataFrame, areas: DataFrame | None = N
         F.size("reviews").alias("num_reviews"), (F.array_max(raw) - F.array_min(raw)).alias("score_range"), mean(raw).alias("avg_score_raw"), mean(norm).alias("avg_score_normalized"),
         feedback.alias("author_feedback_text"), "reviews", "meta_reviews", F.when(F.col("html").isNull(), "no page").alias("error"),
     )
-
     none = F.expr("CAST(array() AS ARRAY<STRING>)")
     first = out.columns[:6]
     rest = out.columns[6:]
@@ -251,6 +251,7 @@ def parse_papers(pages: DataFrame, years: DataFrame, areas: DataFrame | None = N
     out = out.withColumn("_file", filename).join(areas.select(F.col("filename").alias("_file"), F.col("areas").alias("_areas")), "_file", "left")
     return out.select(*first, F.coalesce("_areas", none).alias("subject_areas"), *rest)
 
+
 def parse_index(pages: DataFrame, dated: bool = False, *, venue: str) -> DataFrame:
     """year, paper_id, filename, paper_url, ord of index pages (year, base_url, html).
 
