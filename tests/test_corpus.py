@@ -281,6 +281,20 @@ def test_communities_of_all_pairs(spark):
     assert not {got[n] for n in nodes if n < 25} & {got[n] for n in nodes if n >= 30}
 
 
+def test_dense_components_merge_as_others_do_without_a_heap(monkeypatch):
+    rng = random.Random(8)
+    for n, p in ((1, 1.0), (9, 0.4), (24, 0.7), (40, 1.0)):
+        nodes = sorted(f"n{i}" for i in range(n))
+        edges = [(a, b, rng.choice([1.0, 2.0, 0.5])) for i, a in enumerate(nodes) for b in nodes[i:] if rng.random() <= p]
+        for total in (None, 3.0 * len(edges)):
+            with monkeypatch.context() as m:
+                m.setattr(graph, "DENSE", 0)
+                want = graph.greedy_modularity(edges, nodes, total)
+            with monkeypatch.context() as m:
+                m.setattr(graph.heapq, "heapify", lambda heap: pytest.fail("a heap of all pairs"))
+                assert graph.greedy_modularity(edges, nodes, total) == want
+
+
 def test_fingerprint_is_of_the_sorted_lines(spark):
     rows = [("b", 1), ("a", 2), ("é", 3), ("B", 4), ("a\U0001f600", 5), ("x", None)]
     lines = sorted(f"{k}\t{c}\n".encode() for k, c in rows if c is not None)
