@@ -7,8 +7,8 @@ UDFs, because no built-in has the same result.
 
 from __future__ import annotations
 
-import bisect
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -376,25 +376,126 @@ def ratio_bounds(a: list[str], b: list[str]) -> np.ndarray:
     return np.where(m + n == 0, 100.0, 200.0 * longest / np.maximum(m + n, 1))
 
 
-def most_alike(a: list[str], b: list[str], least: float, top: int) -> list[tuple[int, str, float]]:
-    """(place in ``a``, string of ``b``, ratio): for each of ``a`` the ``top`` best at ``least`` or more, equal ones by string.
+def _codes(a: list[str], b: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """Characters of both lists as places in their common alphabet, and its size."""
+    n = np.cumsum([len(s) for s in a + b])[:-1]
+    points = np.frombuffer("".join(a + b).encode("utf-32-le", "surrogatepass"), "<u4")
+    alphabet, codes = np.unique(points, return_inverse=True)
+    out = np.split(codes.astype(np.int64), n)
+    return out[: len(a)], out[len(a) :], len(alphabet)
+
+
+def _masks(texts: list[np.ndarray], size: int) -> np.ndarray:
+    """Where each text has each character, as bits: (words of 64 places, texts, characters and one that no text has)."""
+    lengths = np.array([len(x) for x in texts], np.int64)
+    words = max(1, -(-int(lengths.max(initial=0)) // 64))
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = ((place // 64) * len(texts) + np.repeat(np.arange(len(texts)), lengths)) * (size + 1) + np.concatenate([*texts, np.zeros(0, np.int64)])
+    out = np.zeros(words * len(texts) * (size + 1), np.uint64)
+    np.add.at(out, at, np.uint64(1) << (place % 64).astype(np.uint64))
+    return out.reshape(words, len(texts), size + 1)
+
+
+def _advance(row: np.ndarray, hit: np.ndarray) -> None:
+    """One row of ``indel_ratio``'s dynamic program for many pairs, words of 64 places first; ``hit`` is overwritten."""
+    carry = None
+    for r, h in zip(row, hit, strict=True):
+        h &= r
+        up = r + h
+        if len(row) > 1:
+            over = up < h
+            if carry is not None:
+                up += carry
+                over |= up < carry
+            carry = over.astype(np.uint64)
+        r -= h
+        r |= up
+
+
+def lcs_of_all(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each of ``a`` and each of ``b``."""
+    x, y, size = _codes(a, b)
+    # The longest first, so that those which have a character at a place stand together.
+    order = np.argsort([-len(v) for v in y], kind="stable")
+    lengths = np.array([len(y[j]) for j in order], np.int64)
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    columns = np.split(np.concatenate([*(y[j] for j in order), np.zeros(0, np.int64)])[np.argsort(place, kind="stable")], np.cumsum(np.bincount(place)))[:-1]
+    out = np.zeros((len(a), len(b)), np.int64)
+    by_length = np.argsort([len(v) for v in x], kind="stable")
+    for i in range(0, len(a), 16):
+        some = by_length[i : i + 16]
+        masks = _masks([x[k] for k in some], size)
+        row = np.full((len(masks), len(some), len(b)), ~np.uint64(0))
+        for c in columns:
+            _advance(row[:, :, : len(c)], masks.take(c, axis=2))
+        out[some[:, None], order] = np.bitwise_count(~row).sum(axis=0, dtype=np.int64)
+    return out
+
+
+def lcs_of_pairs(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of ``a[i]`` and ``b[j]`` for each pair of places; quickest in the order of ``i``."""
+    x, y, size = _codes(a, b)
+    out = np.zeros(len(i), np.int64)
+    width = np.array([len(v).bit_length() for v in y], np.int64)[j]
+    for w in np.unique(width):  # a table for strings of similar length, so that a long one doesn't widen it for all
+        pairs = np.flatnonzero(width == w)
+        used, columns = np.unique(j[pairs], return_inverse=True)
+        lengths = np.array([len(y[k]) for k in used], np.int64)
+        table = np.full((int(lengths.max()), len(used)), size, np.int32)
+        place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        table[place, np.repeat(np.arange(len(used)), lengths)] = np.concatenate([y[k] for k in used])
+        words = max(len(x[k]) for k in np.unique(i[pairs])) // 64 + 1
+        step = max(1, min(1 << 16, (1 << 22) // (words * (size + 1))))
+        for k in range(0, len(pairs), step):
+            some, row_of = np.unique(i[pairs[k : k + step]], return_inverse=True)
+            masks = _masks([x[t] for t in some], size)
+            flat, at, to = masks.reshape(len(masks), -1), row_of * (size + 1), columns[k : k + step]
+            row = np.full((len(masks), len(at)), ~np.uint64(0))
+            for c in table:
+                _advance(row, flat.take(at + c.take(to), axis=1))
+            out[pairs[k : k + step]] = np.bitwise_count(~row).sum(axis=0, dtype=np.int64)
+    return out
 
-    Strings are tried from the highest bound down, until no bound can reach the worst one held.
+
+def cut_places(sample: list[str], edits: int, most: int = 48, longest: int = 16) -> tuple[list[int], float]:
+    """Places, from a title's end, that cut it in ``edits`` + 1 pieces, and the share of pairs that a piece brings together.
+
+    The pieces are those that the fewest pairs of ``sample`` share, so that words
+    which most titles have fall into one.  What is too short to be cut is more
+    than ``edits`` shorter than most titles; without such places the share is 1.
     """
+    most = min(most, sorted(map(len, sample))[len(sample) // 20] - edits - 1) if sample else 0
+    if most < edits:
+        return [], 1.0
+
+    def shared(pieces: list[str]) -> float:
+        n = max(len(pieces), 2)
+        return 1e-7 + sum(k * (k - 1) for k in Counter(pieces).values()) / (n * (n - 1))
+
+    cost = {(lo, hi): shared([s[len(s) - hi : len(s) - lo] for s in sample if len(s) > hi]) for hi in range(1, most + 1) for lo in range(max(0, hi - longest), hi)}
+    held = {0: (0.0, [0])}
+    for piece in range(1, edits + 1):
+        # A piece meets as many places of the other title as edits before it, and after it, allow.
+        weight = min(piece, edits - piece + 2)
+        ends: dict[int, tuple[float, list[int]]] = {}
+        for (lo, hi), c in cost.items():
+            if lo in held:
+                ends[hi] = min(ends.get(hi, (9e9, [])), (held[lo][0] + weight * c, [*held[lo][1], hi]))
+        held = ends
+    share, places = min((c + shared([s[: len(s) - end] for s in sample if len(s) > end]), places) for end, (c, places) in held.items())
+    return places, share
+
+
+def most_alike(a: list[str], b: list[str], least: float, top: int) -> list[tuple[int, str, float]]:
+    """(place in ``a``, string of ``b``, ratio): for each of ``a`` the ``top`` best at ``least`` or more, equal ones by string."""
+    both = np.array([len(s) for s in a], np.int64)[:, None] + np.array([len(s) for s in b], np.int64)
+    scores = np.where(both == 0, 100.0, 200.0 * lcs_of_all(a, b) / np.maximum(both, 1))
     out = []
-    bounds = ratio_bounds(a, b)
-    for i, s in enumerate(a):
-        row = bounds[i]
-        tried = np.flatnonzero(row >= least - 1e-9)
-        held: list[tuple[float, str]] = []
-        for j in tried[np.argsort(-row[tried])]:
-            if len(held) == top and row[j] < -held[-1][0] - 1e-9:
-                break
-            score = indel_ratio(s, b[j])
-            if score >= least:
-                bisect.insort(held, (-score, b[j]))
-                del held[top:]
-        out += [(i, t, -score) for score, t in held]
+    for i, row in enumerate(scores):
+        good = np.flatnonzero(row >= least)
+        if len(good) > top:
+            good = good[row[good] >= np.partition(row[good], -top)[-top]]
+        out += [(i, t, -score) for score, t in sorted((-float(row[j]), b[j]) for j in good)[:top]]
     return out
 
 

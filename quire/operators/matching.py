@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.functions.text import author_surnames, casefold, last_first, most_alike, normalize_title, normalize_title_casefold, speaker_surname
+from quire.functions.text import author_surnames, casefold, cut_places, last_first, lcs_of_pairs, most_alike, normalize_title, normalize_title_casefold, speaker_surname
 from quire.runtime import materialize, ship
 
 ACCEPT, MARGIN, CONSIDER, RANKED = 92.0, 3.0, 82.0, 3
 #: Talks and titles, about, that one task compares at a time.
 TILE = 1000
+#: Characters by which titles differ that an index finds, one after the other, and pairs of a talk and a title from which it is asked.
+EDITS, INDEXED = (4, 8, 9), 500_000_000
+#: Titles that the places of cuts are chosen on, and the share of pairs up to which an index is quicker than tiles.
+SAMPLE, SELECTIVE = 3000, 0.05
+#: Pieces of titles, about, that one task holds at a time.
+PIECES = 40_000
 
 
 def attach_types(papers: DataFrame, talks: DataFrame, default: str = "poster") -> DataFrame:
@@ -115,6 +122,93 @@ def alike(talks: DataFrame, titles: DataFrame, least: float, top: int) -> DataFr
     return a.groupBy(key).cogroup(b.groupBy(key)).applyInArrow(best, f"_b {kinds['_b']}, ord {kinds['ord']}, title string, score double")
 
 
+def within_edits(talks: DataFrame, titles: DataFrame, edits: int, places: list[int], least: float) -> DataFrame:
+    """(_b, ord, title, score): all titles of a talk's block at ``least`` or more that ``edits`` lost or added characters lead to.
+
+    Columns as in ``alike``; titles no longer than the last of ``places`` are left
+    out.  Titles are cut in ``edits`` + 1 pieces at ``places`` from their end.
+    Counted from there, some piece stands whole in the talk behind exactly as many
+    edits as there are pieces behind it: so it is looked for at that many places,
+    every second one, and what lies before it may differ by the remaining edits.
+    Pieces meet by hash, and ratios are counted for what meets.  A piece that more
+    than TILE rows have is cut, on both sides, into parts of about TILE rows.
+    """
+    length, last = F.char_length("norm"), places[-1]
+    spans = list(zip(places, places[1:], strict=False))
+    own = [(k, 0, lo, hi) for k, (lo, hi) in enumerate(spans)] + [(edits, 0, last, -1)]
+    asked = [(k, d, lo + d, hi + d) for k, (lo, hi) in enumerate(spans) for d in range(-k, k + 1, 2)] + [(edits, d, last + d, -1) for d in range(-edits, edits + 1, 2)]
+
+    def pieces(df: DataFrame, cuts: list[tuple[int, int, int, int]]) -> DataFrame:
+        every = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("k", "d", "lo", "hi"), x, strict=True)]) for x in cuts])).alias("x")
+        df = df.select("*", every).select(*df.columns, "x.*").where((F.col("lo") >= 0) & F.when(F.col("hi") < 0, length > F.col("lo")).otherwise(length >= F.col("hi")))
+        piece = F.when(F.col("hi") < 0, F.substring("norm", 1, length - F.col("lo"))).otherwise(F.substring("norm", length - F.col("hi") + 1, F.col("hi") - F.col("lo")))
+        return df.withColumn("key", F.xxhash64("_b", "k", piece)).drop("lo", "hi")
+
+    a = pieces(talks.where("_b IS NOT NULL AND norm IS NOT NULL").select("_b", "ord", "norm"), asked)
+    b = pieces(titles.where("_b IS NOT NULL AND norm IS NOT NULL").select("_b", "norm").where(length > last), own)
+    many = lambda df, n: df.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(n)).where(F.col(n) > 1)
+    often = materialize(many(a, "_ps").join(many(b, "_qs"), "key", "full"))
+    n = math.ceil((talks.count() * len(asked) + titles.count() * len(own)) / PIECES) or 1
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(F.col(n), F.lit(1))).cast("int")
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    key = F.xxhash64("key", "_p", "_q").alias("key")
+    a = a.join(often, "key", "left").select("_b", "ord", "norm", "k", "d", "key", part("ord", "_ps").alias("_p"), other("_qs").alias("_q")).select("_b", "ord", "norm", "k", "d", key)
+    b = b.join(often, "key", "left").select("norm", "key", other("_ps").alias("_p"), part("norm", "_qs").alias("_q")).select("norm", key)
+    a, b = (df.withColumn("_g", F.pmod("key", F.lit(n)).cast("int")) for df in (a, b))
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        x, y = x.combine_chunks().sort_by("norm"), y.combine_chunks().sort_by("key")
+        kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        titles = y["norm"].to_pylist()
+        if x.num_rows and titles:
+            norm = x["norm"].combine_chunks().dictionary_encode()
+            texts, text = norm.dictionary.to_pylist(), norm.indices.to_numpy()
+            m, n = (np.array([len(s) for s in t], np.int64) for t in (texts, titles))
+            k, d, keys, sought = (t.to_numpy() for t in (x["k"], x["d"], y["key"], x["key"]))
+            start = np.searchsorted(keys, sought)
+            met = np.searchsorted(keys, sought, "right") - start
+            ends = np.cumsum(met)
+            first = 0
+            while first < len(ends):
+                # Rows that meet a million titles, or one row.
+                done = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 1_000_000, "right")))
+                times = met[first:done]
+                i = np.repeat(np.arange(first, done), times)
+                j = np.arange(len(i)) + np.repeat(start[first:done] - (np.cumsum(times) - times), times)
+                fits = np.abs(m[text[i]] - n[j] - d[i]) <= edits - k[i]
+                i, j = i[fits], j[fits]
+                if len(i):
+                    both, common = m[text[i]] + n[j], lcs_of_pairs(texts, titles, text[i], j)
+                    score = 200.0 * common / both
+                    good = (both - 2 * common <= edits) & (score >= least)
+                    kept.append((i[good], j[good], score[good]))
+                first = done
+        i, j, score = (np.concatenate(t) for t in zip(*kept, strict=True))
+        return x.select(["_b", "ord"]).take(pa.array(i)).append_column("title", y["norm"].take(pa.array(j)).cast(pa.string())).append_column("score", pa.array(score))
+
+    kinds = {f.name: f.dataType.simpleString() for f in a.schema.fields}
+    found = a.groupBy("_g").cogroup(b.groupBy("_g")).applyInArrow(meet, f"_b {kinds['_b']}, ord {kinds['ord']}, title string, score double")
+    return found.distinct()
+
+
+def out_of_reach(talks: DataFrame, titles: DataFrame, edits: int, last: int) -> DataFrame:
+    """(_b, ord, beyond): no title that ``within_edits`` doesn't find has a ratio above ``beyond``.
+
+    From the lengths that titles of the block have: a title of length n differs
+    from a talk of length m by m - n characters at least, and by an odd number if
+    that is odd.
+    """
+    n = titles.where("norm IS NOT NULL").groupBy("_b").agg(F.collect_set(F.char_length("norm")).alias("_n"))
+    m = F.char_length("norm")
+
+    def ratio(n: Column) -> Column:
+        gap = F.abs(m - n)
+        least = F.when((n <= last) | (gap > edits), gap).otherwise(edits + 1 + F.pmod(edits + 1 - gap, F.lit(2)))
+        return F.when(m + n == 0, 100.0).otherwise(100.0 * (1 - least / (m + n)))
+
+    return talks.join(n, "_b").groupBy("_b", "ord").agg(F.max(F.array_max(F.transform("_n", ratio))).alias("beyond"))
+
+
 def match_talks(talks: DataFrame, papers: DataFrame, overrides: DataFrame, *, block: str = "year") -> DataFrame:
     """talks plus paper_id, match (override, skipped, exact, fuzzy, speaker, unmatched), best_title, best_score.
 
@@ -124,8 +218,10 @@ def match_talks(talks: DataFrame, papers: DataFrame, overrides: DataFrame, *, bl
     most alike the best at 92 or more with a margin of 3, if one paper has it;
     of those at 82 or more, in order, the first paper with an author of the
     speaker's surname.  Only talks that no earlier stage settles reach the
-    similarity function, and only with titles of their own block.  A paper that
-    several talks reach keeps the last one; the others keep their match.  The
+    similarity function, and only with titles of their own block.  Where these make
+    many pairs, a talk is first held against the titles within a few edits, and
+    against all of its block only if titles further away could change its match.
+    A paper that several talks reach keeps the last one; the others keep their match.  The
     best title is given where it is at 82 or more; ``best_guesses`` has it for the
     talks that stay unmatched.
     """
@@ -140,18 +236,46 @@ def match_talks(talks: DataFrame, papers: DataFrame, overrides: DataFrame, *, bl
     settled = F.col("is_skip").isNotNull() | F.col("_exact").isNotNull()
     open_ = materialize(t.where(~settled & F.col("ord").isNotNull()).select(F.col(block).alias("_b"), "ord", "norm", "speaker").distinct())
     titles = materialize(titles)
-    # Titles below CONSIDER settle nothing.
-    scored = alike(open_.select("_b", "ord", "norm").distinct(), titles, CONSIDER, RANKED).join(titles.withColumnRenamed("norm", "title"), ["_b", "title"])
-    by_talk = Window.partitionBy("_b", "ord").orderBy(F.desc("score"), "title")
-    ranked = scored.withColumn("rank", F.row_number().over(by_talk)).where(F.col("rank") <= RANKED)
-    best = ranked.groupBy("_b", "ord").agg(
-        F.max(F.when(F.col("rank") == 1, F.struct("title", "score", "n", "one"))).alias("b"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0)).alias("second"),
-    )
     near = p.withColumn("names", author_surnames("authors"))
-    speaking = ranked.join(open_.where("speaker IS NOT NULL").select("_b", "ord", "speaker"), ["_b", "ord"]).withColumn("surname", speaker_surname(F.col("speaker")))
-    by_name = speaking.join(near.select(F.col("_b"), F.col("norm").alias("title"), "paper_id", "names"), ["_b", "title"]).where(F.array_contains("names", F.col("surname")))
-    by_name = by_name.groupBy("_b", "ord").agg(F.min(F.struct("rank", "paper_id")).alias("s"))
-    f = best.join(by_name, ["_b", "ord"], "left").select(F.col("_b").alias("_bf"), F.col("ord").alias("_of"), "b", "second", F.col("s.paper_id").alias("_speaker"))
+
+    def verdicts(scored: DataFrame) -> DataFrame:
+        by_talk = Window.partitionBy("_b", "ord").orderBy(F.desc("score"), "title")
+        ranked = scored.join(titles.withColumnRenamed("norm", "title"), ["_b", "title"]).withColumn("rank", F.row_number().over(by_talk)).where(F.col("rank") <= RANKED)
+        best = ranked.groupBy("_b", "ord").agg(
+            F.max(F.when(F.col("rank") == 1, F.struct("title", "score", "n", "one"))).alias("b"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0.0)).alias("second"), F.count(F.lit(1)).alias("held"),
+        )
+        speaking = ranked.join(open_.where("speaker IS NOT NULL").select("_b", "ord", "speaker"), ["_b", "ord"]).withColumn("surname", speaker_surname(F.col("speaker")))
+        by_name = speaking.join(near.select(F.col("_b"), F.col("norm").alias("title"), "paper_id", "names"), ["_b", "title"]).where(F.array_contains("names", F.col("surname")))
+        return best.join(by_name.groupBy("_b", "ord").agg(F.min(F.struct("rank", "paper_id")).alias("s")), ["_b", "ord"], "left")
+
+    rest, done = open_, []
+    by_block = titles.groupBy("_b").agg(F.count(F.lit(1)).alias("y"))
+    sample: list[str] = []
+    for edits in EDITS:
+        pairs = rest.groupBy("_b").agg(F.count(F.lit(1)).alias("x")).join(by_block, "_b").agg(F.sum(F.col("x") * F.col("y").cast("double"))).first()[0] or 0
+        if pairs < INDEXED:
+            break
+        sample = sample or [r.norm for r in titles.where("norm IS NOT NULL").select("norm").orderBy(F.xxhash64("norm"), "norm").limit(SAMPLE).collect()]
+        places, share = cut_places(sample, edits)
+        if not places or share > SELECTIVE:
+            break
+        asked = rest.select("_b", "ord", "norm").distinct()
+        beyond = out_of_reach(asked, titles, edits, places[-1]).withColumn("beyond", F.col("beyond") + 1e-9)
+        found = materialize(within_edits(asked, titles, edits, places, CONSIDER).join(beyond, ["_b", "ord"]).where("score > beyond"))
+        # What is found above the ratio that others can have is what all pairs would give.
+        v = verdicts(found.drop("beyond")).join(found.groupBy("_b", "ord").agg(F.max("beyond").alias("beyond")), ["_b", "ord"]).join(rest.groupBy("_b", "ord").agg(F.max("speaker").alias("speaker")), ["_b", "ord"])
+        able, apart = (F.col("b.score") >= ACCEPT) & (F.col("b.n") == 1), lambda c: F.col("b.score") - F.col(c) >= MARGIN
+        known = F.col("held") > 1
+        fuzzy = able & F.when(known, apart("second")).otherwise(apart("beyond"))
+        never = ~able | (known & ~apart("second"))
+        v = materialize(v.where((F.col("held") == RANKED) | fuzzy | (never & (F.col("s").isNotNull() | F.col("speaker").isNull()))).drop("beyond", "speaker"))
+        done.append(v)
+        rest = materialize(rest.join(v.select("_b", "ord"), ["_b", "ord"], "left_anti"))
+    # Titles below CONSIDER settle nothing.
+    f = verdicts(alike(rest.select("_b", "ord", "norm").distinct(), titles, CONSIDER, RANKED))
+    for v in done:
+        f = f.unionByName(v)
+    f = f.select(F.col("_b").alias("_bf"), F.col("ord").alias("_of"), "b", "second", F.col("s.paper_id").alias("_speaker"))
     t = t.join(f, (F.col(block) == F.col("_bf")) & (F.col("ord") == F.col("_of")), "left").drop("_bf", "_of")
     fuzzy = (F.col("b.score") >= ACCEPT) & (F.col("b.score") - F.col("second") >= MARGIN) & (F.col("b.n") == 1)
     method = (

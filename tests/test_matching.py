@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from quire.functions.text import indel_ratio, most_alike, ratio_bounds
+from quire.functions.text import cut_places, indel_ratio, lcs_of_all, lcs_of_pairs, most_alike, ratio_bounds
 from quire.operators import matching, metrics
 from quire.schemas import OVERRIDES, TALKS
 
@@ -71,6 +72,62 @@ def test_tiles_give_what_all_pairs_give(spark, monkeypatch, least):
     assert {i: sorted(v)[:2] for i, v in got.items()} == {i: v for i, v in want.items() if v}
 
 
+def test_common_subsequences_of_long_strings_too():
+    r = random.Random(5)
+    a = [*_strings(60, 1), "x" * 64, "y" * 65 + "b" * 64, "".join(r.choices("ab", k=200))]
+    b = [*_strings(60, 1)[::2], "x" * 63 + "y" * 64, "".join(r.choices("abx", k=131))]
+    want = np.array([[round(indel_ratio(s, t) * (len(s) + len(t)) / 200) for t in b] for s in a])
+    i, j = (x.ravel() for x in np.indices(want.shape))
+    assert (lcs_of_all(a, b) == want).all() and (lcs_of_pairs(a, b, i, j) == want.ravel()).all()
+
+
+def _edited(n, seed):
+    """Titles that differ in digits, and talks some edits away from them."""
+    r = random.Random(seed)
+    titles = sorted({f"{r.choice(['old', 'large', 'é blue'])} ring {r.randrange(99)} {r.getrandbits(40):010x}" for _ in range(n)} | {"ring", "a", "", "ring " * 30})
+    talks = []
+    for s in titles:
+        t = list(s)
+        for _ in range(r.randrange(10)):
+            k = r.randrange(len(t) + 1)
+            t[k : k + r.choice([0, 1, 1])] = r.choice(["", "", "x", "7"])
+        talks.append("".join(t))
+    return talks, titles
+
+
+@pytest.mark.parametrize("edits", [4, 8])
+def test_pieces_find_all_titles_within_the_edits(spark, monkeypatch, edits):
+    monkeypatch.setattr(matching, "TILE", 7)
+    a, b = _edited(150, edits)
+    talks = spark.createDataFrame([(k, i, s) for k in (1, None) for i, s in enumerate(a)] + [(1, 9999, None), (2, 0, "x")], "_b int, ord int, norm string")
+    titles = spark.createDataFrame([(k, s) for k in (1, 3, None) for s in b] + [(1, None)], "_b int, norm string")
+    places, _ = cut_places([s for s in b if len(s) > 9], edits)
+    assert len(places) == edits + 1
+    got = {(r.ord, r.title): r.score for r in matching.within_edits(talks, titles, edits, places, 50.0).collect()}
+    distance = lambda s, t: len(s) + len(t) - round(indel_ratio(s, t) * (len(s) + len(t)) / 100)
+    near = {(i, t): indel_ratio(s, t) for i, s in enumerate(a) for t in b if len(t) > places[-1] and distance(s, t) <= edits and indel_ratio(s, t) >= 50}
+    assert got == near and len(near) > 50
+    beyond = {r.ord: r.beyond for r in matching.out_of_reach(talks, titles, edits, places[-1]).collect() if r._b == 1}
+    assert all(indel_ratio(s, t) <= beyond[i] + 1e-9 for i, s in enumerate(a) for t in b if (i, t) not in near and (distance(s, t) > edits or len(t) <= places[-1]))
+
+
+def test_the_staged_match_gives_what_all_pairs_give(spark, monkeypatch):
+    monkeypatch.setattr(matching, "SELECTIVE", 9.0)
+    a, b = _edited(150, 3)
+    papers = spark.createDataFrame([(k, f"{k}-{i}", s, [f"Maker{i % 5}, A"]) for k in (1, 2) for i, s in enumerate(b + b[:9])], "year int, paper_id string, title string, authors array<string>")
+    talks = spark.createDataFrame([(k, i, s, f"A Maker{i % 5}, Lab" if i % 3 else None) for k in (1, 2) for i, s in enumerate(a)], "year int, ord int, title_raw string, speaker string")
+    none = spark.createDataFrame([], OVERRIDES)
+    want = sorted(map(tuple, matching.match_talks(talks, papers, none).collect()), key=repr)
+    asked = []
+    plain = matching.alike
+    monkeypatch.setattr(matching, "alike", lambda t, *rest: asked.append(t.count()) or plain(t, *rest))
+    monkeypatch.setattr(matching, "INDEXED", 1)
+    assert sorted(map(tuple, matching.match_talks(talks, papers, none).collect()), key=repr) == want
+    assert {x[5] for x in want} >= {"exact", "fuzzy", "speaker", "unmatched"}
+    # What the pieces settle isn't held against all titles again.
+    assert 0 < asked[0] < len(want) - sum(x[5] == "exact" for x in want)
+
+
 def test_cascade_of_empty_tables_nulls_and_repeated_talks(spark):
     papers = spark.createDataFrame([(1, "a", "Deep learning for liver segmentation", ["Doe, Jane"]), (1, "n", None, None), (None, "m", "Some title", None)], "year int, paper_id string, title string, authors array<string>")
     talk = (1, 0, "Deep learning for liver segmentatin", None)
