@@ -146,28 +146,34 @@ def signatures(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", w
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of all nodes of edges (a, b); the root is the smallest node.
+    """(node, root) of all nodes of edges (a, b), written; nodes have one root, a node, if and only if edges connect them.
 
-    Alternates large-star and small-star steps, each a minimum by node and a
-    join; rounds are written to the shared folder, some log n of them.
+    Each round moves every node to the least of itself and its neighbours and
+    keeps the edges between what is left, so that all but the first work on
+    less; some log n rounds.  The least is by number, by which the buckets' stars
+    fold at once; from the first round that leaves more than half of the edges,
+    by a hash of its own each, as a path in order of numbers loses one node a round.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
+    left, hashed, moves = e.count(), False, []
+    while left or not moves:
+        rank = (lambda c, seed=len(moves): F.xxhash64(F.lit(seed), c)) if hashed else F.col
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = materialize(large.distinct())
-        discard(low, e)
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        discard(large, low)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        near = both.select("a", F.when(rank("a") <= rank("b"), F.col("a")).otherwise(F.col("b")).alias("to"))
+        to = materialize(near.groupBy("a").agg(F.min_by("to", rank("to")).alias("to")))
+        ends = e.join(to, "a").select(F.col("to").alias("x"), F.col("b").alias("a")).join(to, "a").where("x <> to")
+        rest = materialize(ends.select(F.greatest("x", "to").alias("a"), F.least("x", "to").alias("b")).distinct())
+        discard(e)
+        e, before, left = rest, left, rest.count()
+        hashed = hashed or left > before / 2
+        moves.append(to)
+    roots = moves[0].select(F.col("a").alias("node"), F.col("to").alias("root"))
+    for to in moves[1:]:
+        then = to.select(F.col("a").alias("root"), F.col("to").alias("next"))
+        roots = roots.join(then, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    roots = materialize(roots)
+    discard(e, *moves)
+    return roots
 
 
 def links_of(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -257,7 +263,7 @@ def _classes(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", wor
     banded = reps.select("rep", F.explode("bands").alias("band"))
     buckets = materialize(banded.groupBy("band").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1"))
     colliding = materialize(banded.join(buckets, "band"))
-    comps = materialize(components(colliding.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))))
+    comps = components(colliding.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
     placed = materialize(comps.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(reps.select(*MEMBER, "n"), "rep"))
     sizes = placed.groupBy("comp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"))
     large = materialize(sizes.where((F.col("docs") > GROUP_DOCS) | (F.col("total") > GROUP_SHINGLES)))
@@ -296,16 +302,16 @@ def _large(rows: DataFrame, placed: DataFrame, colliding: DataFrame, args: dict)
     placed = materialize(placed)
     within = materialize(colliding.join(placed.select("rep"), "rep"))
     hot = components(within.where((F.col("members") > SMALL_BUCKET) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    hot = materialize(hot.select(F.col("node").alias("rep"), F.col("root").alias("sub")))
+    subs = hot.select(F.col("node").alias("rep"), F.col("root").alias("sub"))
     # Blocks of a bounded number of documents and shingles; each meets each other once.
-    sub = placed.join(hot, "rep")
+    sub = placed.join(subs, "rep")
     parts = sub.groupBy("sub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_DOCS * 2), F.ceil(F.sum("n") / GROUP_SHINGLES * 2)).cast("int").alias("q"))
     dealt = sub.join(parts, "sub").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "rep"), "q").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
     i, j = F.least("block", "other"), F.greatest("block", "other")
     blocks = dealt.select(F.concat_ws(":", F.when(i == j, "w").otherwise("x"), F.col("sub").cast("string"), i.cast("string"), j.cast("string")).alias("key"), *MEMBER, (F.col("block") > i).cast("int").alias("side"))
     # Pairs of small buckets, unless both are in one of the groups above.
-    few = within.where(F.col("members") <= SMALL_BUCKET).select("band", "rep").join(hot, "rep", "left")
+    few = within.where(F.col("members") <= SMALL_BUCKET).select("band", "rep").join(subs, "rep", "left")
     pairs = few.alias("a").join(few.alias("b"), "band").where("a.rep < b.rep AND (a.sub IS NULL OR b.sub IS NULL OR a.sub <> b.sub)")
     pairs = pairs.select(F.col("a.rep").alias("centre"), F.col("b.rep").alias("rep")).distinct().join(placed.select("rep", "n"), "rep")
     # A centre's partners, at most SMALL_BUCKET a band, are dealt to tasks of a bounded number of shingles.
@@ -318,7 +324,7 @@ def _large(rows: DataFrame, placed: DataFrame, colliding: DataFrame, args: dict)
     found = materialize(verify(rows, members, **args), **SMALL_BATCHES)
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     out = materialize(found.groupBy("rep").agg(F.sum("links").alias("links")).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), "links"))
-    discard(placed, within, hot, pairs, members, found)
+    discard(placed, within, hot, pairs, members, found, roots)
     return out
 
 

@@ -113,3 +113,44 @@ def test_the_same_copy_stays_in_every_run(spark, tmp_path):
         spark.createDataFrame(order, "doc_id long, text string, source string").repartition(i + 1).write.parquet(str(tmp_path / f"{i}"))
         runs.add(tuple(map(tuple, nd.keep_one(spark.read.parquet(str(tmp_path / f"{i}"))).collect())))
     assert len(runs) == 1 and len(next(iter(runs))) == 1
+
+
+def test_components_in_few_written_tables(spark, monkeypatch):
+    """A star around its smallest node takes one round; paths, in order and against it, and stars of stars a few."""
+    written, write = [], nd.materialize
+    monkeypatch.setattr(nd, "materialize", lambda df, **values: written.append(df) or write(df, **values))
+
+    def roots(edges):
+        written.clear()
+        found = [tuple(r) for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+        assert len(found) == len(dict(found)) == len({x for a, b in edges if a != b for x in (a, b)})
+        return dict(found)
+
+    assert set(roots([(x, 1) for x in range(2, 500)] + [(7, 7)]).values()) == {1} and len(written) <= 4
+    path = [(x, x + 1) for x in range(1000, 1060)]
+    assert len(set(roots(path).values())) == 1 and len(written) <= 20
+    rng = random.Random(4)
+    stars = [(x, x // 20) for x in range(2000, 4000)] + [(100 + x, 100 + x // 5) for x in range(50)]
+    mixed = [e[:: rng.choice((1, -1))] for e in stars + [(9000 + a, 9000 + b) for a, b in path] + stars[:30]]
+    rng.shuffle(mixed)
+    groups, want = {}, {}
+    for n, root in roots(mixed).items():
+        groups.setdefault(root, set()).add(n)
+    for a, b in mixed:
+        both = want.get(a, {a}) | want.get(b, {b})
+        want |= dict.fromkeys(both, both)
+    assert all(root in members for root, members in groups.items())
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in want.values() if len(g) > 1}
+    assert roots([]) == {}
+
+
+def test_taking_a_large_group_apart_writes_few_tables(spark, monkeypatch):
+    """Each table costs at least a task for every shuffle partition, however small it is."""
+    monkeypatch.setattr(nd, "GROUP_DOCS", 12)
+    monkeypatch.setattr(nd, "SMALL_BUCKET", 3)
+    written, write = [], nd.materialize
+    monkeypatch.setattr(nd, "materialize", lambda df, **values: written.append(df) or write(df, **values))
+    docs = list(enumerate(family(random.Random(6), 40)))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    assert len(written) <= 40
